@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that one step of a batch function holds at a time.
 STEP_BYTES = 8 << 20
@@ -13,7 +14,7 @@ STEP_BYTES = 8 << 20
 
 def slices(texts: pa.Array, most_bytes: int = STEP_BYTES, most_rows: int = 2000) -> Iterator[tuple[int, int]]:
     """Cuts the rows of a batch into runs of bounded text; a longer row stands alone."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
     first = total = 0
     for i, n in enumerate(sizes.tolist()):
         if i > first and (total + n > most_bytes or i - first >= most_rows):
