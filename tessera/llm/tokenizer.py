@@ -8,13 +8,23 @@ before; only new words go through the ``tokenizers`` library.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 
 #: Id written after the last id of every document.
 END_ID = 2
+#: Marks that make a piece of their own after a letter or digit.
+MARKS = "!\"#$%&()*+,-./:;=?@[]^_`{|}~"
 _ENCODERS: dict[tuple[str, int], "WordEncoder"] = {}
 
 
+def _ends_plainly(word: str) -> bool:
+    """Whether the last character is a letter or digit that stays one by itself."""
+    c = word[-1]
+    return c < "\u0250" and (c.isalpha() and c == c.lower() or "0" <= c <= "9")
+
+
 class WordEncoder:
     """Encodes texts through a word table of at most ``max_words`` words.
 
@@ -24,7 +34,7 @@ class WordEncoder:
     theirs.  A null text encodes as an empty one.
     """
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 500_000):
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
@@ -46,12 +56,39 @@ class WordEncoder:
         hits[0] = 0
         kept = np.argsort(-hits, kind="stable")[: self._max_words // 2]
         kept = np.sort(kept[hits[kept] > 1])
-        parts = [self._ids[self._off[i] : self._off[i] + self._len[i]].copy() for i in kept]
-        lens = self._len[kept].copy()
+        ids, lens = self._gather(kept)
         self._clear()
-        self._store([words[i] for i in kept], np.concatenate(parts) if parts else np.zeros(0, np.uint32), lens)
+        self._store([words[i] for i in kept.tolist()], ids, lens)
+
+    def _gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of table entries end to end, and the number of each."""
+        lens = self._len[entries].astype(np.int64)
+        ends = np.cumsum(lens)
+        total = int(ends[-1]) if len(ends) else 0
+        return self._ids[np.repeat(self._off[entries] - ends + lens, lens) + np.arange(total)], lens
 
     def _learn(self, words: list[str]) -> None:
+        """Add words; one that ends in marks is put together from its two parts."""
+        joined: list[tuple[str, str, str]] = []
+        asked: dict[str, None] = {}
+        for w in words:
+            core = w.rstrip(MARKS)
+            if core and len(core) < len(w) and _ends_plainly(core) and "<|" not in w:
+                tail = w[len(core) :]
+                joined.append((w, core, tail))
+                asked[core] = asked[tail] = None
+            else:
+                asked[w] = None
+        if plain := [w for w in asked if w not in self._index]:
+            self._encode_words(plain)
+        if joined:
+            parts = np.array([(self._index[c], self._index[t]) for _, c, t in joined], np.int64).ravel()
+            fresh = [i for i, (w, _, _) in enumerate(joined) if w not in self._index]
+            pick = parts.reshape(-1, 2)[fresh].ravel()
+            flat, lens = self._gather(pick)
+            self._store([joined[i][0] for i in fresh], flat, lens.reshape(-1, 2).sum(1))
+
+    def _encode_words(self, words: list[str]) -> None:
         enc = self._tok.encode(words, is_pretokenized=True, add_special_tokens=False)
         ids = np.asarray(enc.ids, np.uint32)
         of = np.asarray(enc.word_ids, np.int64)
@@ -84,24 +121,21 @@ class WordEncoder:
                 counts[i] = len(w)
                 words += w
         get = self._index.get
-        idx = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        idx = np.array(list(map(get, words, repeat(-1))), np.int64)
         if len(missing := np.flatnonzero(idx < 0)):
-            new = list(dict.fromkeys(words[i] for i in missing))
+            new = list(dict.fromkeys(absent := [words[i] for i in missing.tolist()]))
             if len(self._index) + len(new) > self._max_words:
                 self._shrink()
                 get = self._index.get
-                idx = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                idx = np.array(list(map(get, words, repeat(-1))), np.int64)
                 missing = np.flatnonzero(idx < 0)
-                new = list(dict.fromkeys(words[i] for i in missing))
+                new = list(dict.fromkeys(absent := [words[i] for i in missing.tolist()]))
             self._learn(new)
-            idx[missing] = np.fromiter((get(words[i]) for i in missing), np.int64, len(missing))
+            idx[missing] = list(map(get, absent))
         self._hits[: len(self._index)] += np.bincount(idx, minlength=len(self._index))
-        lens = self._len[idx].astype(np.int64)
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self._ids[np.repeat(self._off[idx] - ends + lens, lens) + np.arange(total)]
+        flat, lens = self._gather(idx)
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        before = np.concatenate([[0], ends])
+        before = np.concatenate([[0], np.cumsum(lens)])
         return flat, before[bounds[1:]] - before[bounds[:-1]]
 
     def encode_with_end(self, texts: list[str | None], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +148,7 @@ class WordEncoder:
         return out, lens + 1
 
 
-def encoder(path: str, max_words: int = 1_000_000) -> WordEncoder:
+def encoder(path: str, max_words: int = 500_000) -> WordEncoder:
     """The encoder of this process for a tokenizer file."""
     if (path, max_words) not in _ENCODERS:
         _ENCODERS[path, max_words] = WordEncoder(path, max_words)
