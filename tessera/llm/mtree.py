@@ -21,20 +21,12 @@ from tessera.llm.vectors import finite
 from tessera.runtime import materialize
 
 #: Entries of a leaf, and children of a routing page.
-PAGE, FANOUT = 64, 8
+PAGE, FANOUT = 512, 8
 #: Vectors of a shard and queries of a block.
 SHARD, BLOCK = 8192, 1024
 PAGES = "shard int, page int, parent int, center binary, radius double, parent_dist double, top double, ids binary, entries binary, entry_dist binary"
 
 
-def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows."""
-    most = max(1, int(np.abs(a).max(initial=0))) * max(1, int(np.abs(b).max(initial=0))) * max(1, a.shape[1])
-    if most < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
-
-
 def _lifted(rows: np.ndarray, top: float) -> np.ndarray:
     norm = (rows.astype(np.float64) ** 2).sum(1)
     return np.concatenate([rows.astype(np.float64), np.sqrt(np.maximum(top - norm, 0))[:, None]], axis=1)
@@ -84,7 +76,10 @@ class MTree:
             self.children[p["parent"]].append(p["page"])
         self.children = [np.array(c, np.int64) for c in self.children]
         width = self.centers.shape[1] - 1
-        self.leaves = {p["page"]: (np.frombuffer(p["ids"], "<i8"), np.frombuffer(p["entries"], "<i8").reshape(-1, width), np.frombuffer(p["entry_dist"])) for p in pages if p["ids"] is not None}
+        whole = {p["page"]: np.frombuffer(p["entries"], "<i8").reshape(-1, width) for p in pages if p["ids"] is not None}
+        self.most = max(max(abs(int(w.max())), abs(int(w.min()))) for w in whole.values())
+        # sums below 2**53 are exact in double precision, which is faster than integers
+        self.leaves = {p["page"]: (np.frombuffer(p["ids"], "<i8"), whole[p["page"]], whole[p["page"]].astype(np.float64), np.frombuffer(p["entry_dist"])) for p in pages if p["ids"] is not None}
         self.computed = 0
 
     def search(self, ident: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
@@ -92,6 +87,7 @@ class MTree:
         q = np.concatenate([query.astype(np.float64), [0.0]])
         norm = float(query.astype(np.float64) @ query.astype(np.float64))
         slack = 1e-9 * (norm + self.top) + 0.5
+        exact = max(1, self.most) * max(1, int(np.abs(query).max())) * len(query) < 2**53
         best: list[tuple[int, int]] = []  # a heap with the worst first: (score, -id)
         limit = np.inf
 
@@ -106,12 +102,13 @@ class MTree:
             if bound > limit:
                 break
             if page in self.leaves:
-                ids, entries, far = self.leaves[page]
+                ids, entries, floats, far = self.leaves[page]
                 near = np.flatnonzero((np.abs(away - far) <= limit) & (ids != ident))
                 self.computed += len(near)
-                score = _scores(query[None], entries[near])[0]
-                if len(best) == k:
-                    near, score = near[score >= best[0][0]], score[score >= best[0][0]]
+                score = (floats[near] @ q[:-1]).astype(np.int64) if exact else entries[near] @ query
+                if len(near) > k:  # ties with the last of the page's best stay in
+                    keep = score >= max(np.partition(score, -k)[-k], best[0][0] if len(best) == k else np.iinfo(np.int64).min)
+                    near, score = near[keep], score[keep]
                 for s, i in zip(score.tolist(), ids[near].tolist()):
                     if len(best) < k:
                         heapq.heappush(best, (s, -i))
