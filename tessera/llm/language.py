@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tessera.llm.arrow import release
+
 #: Prediction for a text that is null or has no letter.
 UNDETERMINED = "und"
 OUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
@@ -114,7 +116,9 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
     @F.pandas_udf(OUT)
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([classify(model, t) for t in texts], columns=[f.name for f in OUT])
+        found = pd.DataFrame([classify(model, t) for t in texts], columns=[f.name for f in OUT])
+        release()
+        return found
 
     found = docs.withColumn("_found", predict(letters(F.col(text))))
     return found.withColumns({f.name: F.col("_found")[f.name] for f in OUT}).drop("_found")
