@@ -72,7 +72,7 @@ def describe(docs: DataFrame, n: int, num: int, den: int, levels: np.ndarray) ->
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(cid, items) of the documents whose ids ``wanted`` (cid) holds."""
+    """(cid, items) of the documents whose ids ``wanted`` (cid) holds, and a few more."""
     some = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("cid")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,31 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["cid", "items"])
 
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "cid long, items array<long>")
-    return materialize(found.join(wanted.distinct(), "cid", "left_semi"), "ngram-sets")
+    return materialize(found, "ngram-sets")
+
+
+def _hits(lead: DataFrame, often: DataFrame) -> DataFrame:
+    """Prefix shingles of ``lead`` that are in ``often``, with both sides' columns.
+
+    Most prefix shingles are of one text only; a fixed-size filter drops their
+    rows before anything is moved, and the join drops what it lets through.
+    """
+    some = lead.sparkSession.sparkContext.broadcast(id_filter(often.select("token"), 26))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = some.value
+        for batch in batches:
+            column = batch.column("tokens")
+            count = np.diff(column.offsets.to_numpy())
+            token = column.flatten().to_numpy()
+            row = np.repeat(np.arange(len(count)), count)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
+            keep = maybe_in(token, packed)
+            row = row[keep]
+            yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(row)), batch.column("n").take(pa.array(row)), pa.array(pos[keep].astype(np.int32)), pa.array(token[keep])], names=["cid", "n", "pos", "token"])
+
+    entries = lead.select("cid", "n", "tokens").mapInArrow(run, "cid long, n long, pos int, token long")
+    return materialize(entries.join(often, "token"), "ngram-hits")
 
 
 def _verify_block(table: pa.Table, num: int, den: int) -> pa.Table:
@@ -171,10 +195,9 @@ def ngram_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bit
     key = ["d1", "d2", "n"]
     classes = materialize(info.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("cid")), "ngram-classes")
     lead = materialize(info.join(classes, (info.doc_id == classes.cid) & (info.d1 == classes.d1) & (info.d2 == classes.d2)).select("cid", info.n, "tokens", "cells"), "ngram-lead")
-    entries = lead.select("cid", "n", F.posexplode("tokens").alias("pos", "token"))
-    # most prefix shingles are of one text only; the join drops their rows
-    often = entries.groupBy("token").agg(F.count("*").alias("m"), F.min("cid").alias("leader")).filter("m > 1")
-    hits = materialize(entries.join(often, "token"), "ngram-hits")
+    entries = lead.select("cid", F.explode("tokens").alias("token"))
+    often = materialize(entries.groupBy("token").agg(F.count("*").alias("m"), F.min("cid").alias("leader")).filter("m > 1"), "ngram-often")
+    hits = _hits(lead, often)
     sizes = lead.select("cid", "n", "cells")
     pairs = _listed_pairs(hits, num, den)
     both = pairs.join(sizes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca")), "a").join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb")), "b")

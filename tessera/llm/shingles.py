@@ -17,7 +17,8 @@ from tessera.llm.arrow import slices
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 MAX_WORDS = 250_000
-BLOCK_BITS = 16
+#: Blocks of a summary, and groups of partitions that are folded first.
+BLOCKS, GROUPS = 64, 16
 _WORDS: dict[bytes, int] = {}
 
 
@@ -72,7 +73,7 @@ def folded(blobs: DataFrame, fold: Callable[[list[np.ndarray]], np.ndarray], kin
         total = fold([np.frombuffer(d.decompress(x), kind) for x in table.column("data").to_pylist()])
         return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "data": pa.array([zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(total).astype(kind).tobytes())], pa.binary())})
 
-    once = blobs.withColumn("part", F.pmod("part", F.lit(256))).groupBy("block", "part").applyInArrow(merge, "block int, data binary")
+    once = blobs.withColumn("part", F.pmod("part", F.lit(GROUPS))).groupBy("block", "part").applyInArrow(merge, "block int, data binary")
     rows = once.groupBy("block").applyInArrow(merge, "block int, data binary").collect()
     d = zstandard.ZstdDecompressor()
     return sorted(((r["block"], np.frombuffer(d.decompress(bytes(r["data"])), kind)) for r in rows), key=lambda x: x[0])
@@ -81,7 +82,7 @@ def folded(blobs: DataFrame, fold: Callable[[list[np.ndarray]], np.ndarray], kin
 def blobs_of(part: int, values: np.ndarray, kind: str) -> Iterator[pa.RecordBatch]:
     """The blocks of one partition's summary; those without a value are left out."""
     c = zstandard.ZstdCompressor(1)
-    for block, some in enumerate(values.reshape(-1, 1 << BLOCK_BITS)):
+    for block, some in enumerate(values.reshape(BLOCKS, -1)):
         if some.any():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([c.compress(some.astype(kind).tobytes())], pa.binary())], names=["block", "part", "data"])
 
@@ -89,7 +90,7 @@ def blobs_of(part: int, values: np.ndarray, kind: str) -> Iterator[pa.RecordBatc
 def _filled(blocks: list[tuple[int, np.ndarray]], bits: int, kind: str) -> np.ndarray:
     out = np.zeros(1 << bits, kind)
     for block, values in blocks:
-        out[block << BLOCK_BITS : (block + 1) << BLOCK_BITS] = values
+        out[block * len(values) : (block + 1) * len(values)] = values
     return out
 
 
