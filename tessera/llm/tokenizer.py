@@ -15,14 +15,16 @@ import numpy as np
 #: Id written after the last id of every document.
 END_ID = 2
 #: Marks that make a piece of their own after a letter or digit.
-MARKS = "!\"#$%&()*+,-./:;=?@[]^_`{|}~"
+MARKS = b"!\"#$%&()*+,-./:;=?@[]^_`{|}~"
 _ENCODERS: dict[tuple[str, int], "WordEncoder"] = {}
 
 
-def _ends_plainly(word: str) -> bool:
+def _ends_plainly(word: bytes) -> bool:
     """Whether the last character is a letter or digit that stays one by itself."""
-    c = word[-1]
-    return c < "\u0250" and (c.isalpha() and c == c.lower() or "0" <= c <= "9")
+    if word[-1] < 128:
+        return 97 <= word[-1] <= 122 or 48 <= word[-1] <= 57
+    c = word[-2:].decode("utf-8", "replace")
+    return len(c) == 1 and c < "\u0250" and c.isalpha() and c == c.lower()
 
 
 class WordEncoder:
@@ -34,15 +36,18 @@ class WordEncoder:
     theirs.  A null text encodes as an empty one.
     """
 
-    def __init__(self, path: str, max_words: int = 500_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, max_words: int = 800_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self._tok = Tokenizer.from_file(path)
+        self._letters = Tokenizer.from_file(path)
+        self._letters.normalizer = normalizers.Sequence([])
+        self._letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._max_words = max_words
         self._clear()
 
     def _clear(self) -> None:
-        self._index = {"": 0}
+        self._index = {b"": 0}
         self._off = np.zeros(1024, np.int64)
         self._len = np.zeros(1024, np.int32)
         self._ids = np.zeros(1 << 16, np.uint32)
@@ -67,13 +72,13 @@ class WordEncoder:
         total = int(ends[-1]) if len(ends) else 0
         return self._ids[np.repeat(self._off[entries] - ends + lens, lens) + np.arange(total)], lens
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Add words; one that ends in marks is put together from its two parts."""
-        joined: list[tuple[str, str, str]] = []
-        asked: dict[str, None] = {}
+        joined: list[tuple[bytes, bytes, bytes]] = []
+        asked: dict[bytes, None] = {}
         for w in words:
             core = w.rstrip(MARKS)
-            if core and len(core) < len(w) and _ends_plainly(core) and "<|" not in w:
+            if core and len(core) < len(w) and _ends_plainly(core) and b"<|" not in w:
                 tail = w[len(core) :]
                 joined.append((w, core, tail))
                 asked[core] = asked[tail] = None
@@ -88,14 +93,22 @@ class WordEncoder:
             flat, lens = self._gather(pick)
             self._store([joined[i][0] for i in fresh], flat, lens.reshape(-1, 2).sum(1))
 
-    def _encode_words(self, words: list[str]) -> None:
-        enc = self._tok.encode(words, is_pretokenized=True, add_special_tokens=False)
+    def _encode_words(self, words: list[bytes]) -> None:
+        """Encode new words; small Latin letters need no normal form and no split."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        plain = [t.islower() and t.isalpha() and max(t) < "\u0250" for t in texts]
+        for simple, tok in ((True, self._letters), (False, self._tok)):
+            if some := [i for i, p in enumerate(plain) if p is simple]:
+                self._encode_all(tok, [words[i] for i in some], [texts[i] for i in some])
+
+    def _encode_all(self, tok, words: list[bytes], texts: list[str]) -> None:
+        enc = tok.encode(texts, is_pretokenized=True, add_special_tokens=False)
         ids = np.asarray(enc.ids, np.uint32)
         of = np.asarray(enc.word_ids, np.int64)
         lens = np.bincount(of, minlength=len(words)) if len(of) else np.zeros(len(words), np.int64)
         self._store(words, ids, lens)
 
-    def _store(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+    def _store(self, words: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
         first = len(self._index)
         while first + len(words) > len(self._off):
             self._off = np.concatenate([self._off, np.zeros_like(self._off)])
@@ -111,13 +124,12 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end (uint32) and the number of ids of each text."""
-        words: list[str] = []
+        words: list[bytes] = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if t:
-                if "<|" not in t:
-                    t = t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-                w = t.replace("\n", " ").split(" ")
+                raw = t.encode("utf-8", "surrogatepass")
+                w = (raw if b"<|" in raw else raw.lower()).split()
                 counts[i] = len(w)
                 words += w
         get = self._index.get
@@ -148,7 +160,7 @@ class WordEncoder:
         return out, lens + 1
 
 
-def encoder(path: str, max_words: int = 500_000) -> WordEncoder:
+def encoder(path: str, max_words: int = 800_000) -> WordEncoder:
     """The encoder of this process for a tokenizer file."""
     if (path, max_words) not in _ENCODERS:
         _ENCODERS[path, max_words] = WordEncoder(path, max_words)
