@@ -126,7 +126,7 @@ MESSAGES = "messages AS (SELECT conv_id AS session, turn, role, text, 'u' || con
 
 def literal_rows(spark: SparkSession, texts: list[str]) -> DataFrame:
     """A corpus given in place: (i, text)."""
-    return spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    return spark.createDataFrame(list(enumerate(texts)), "i int, text string")
 
 
 def literal_sql(texts: list[str], name: str = "corpus") -> str:

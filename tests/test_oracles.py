@@ -41,6 +41,8 @@ def test_query(spark, con, name):
         return
     want = con.sql(catalogue.ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    assert {c: kinds[t] for c, t in got.dtypes} == dict(zip(want.columns, map(str, want.types)))
     assert rows(got.columns, data) == rows(want.columns, want.fetchall())
     assert data or name in ("check_duplicate",)
     assert all(not (isinstance(x, float) and math.isnan(x)) for r in data for x in r)
