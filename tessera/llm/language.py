@@ -10,10 +10,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tessera.llm.arrow import release
+from tessera.llm.arrow import slices
 
 #: Prediction for a text that is null or has no letter.
 UNDETERMINED = "und"
@@ -114,11 +114,11 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     ``docs`` has are replaced; other columns, rows and repeated rows stay.
     """
 
-    @F.pandas_udf(OUT)
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        found = pd.DataFrame([classify(model, t) for t in texts], columns=[f.name for f in OUT])
-        release()
-        return found
+    @F.arrow_udf(OUT)
+    def predict(texts: pa.Array) -> pa.Array:
+        found = [classify(model, t) for a, b in slices(texts) for t in texts.slice(a, b - a).to_pylist()]
+        kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=[f.name for f in OUT])
 
     found = docs.withColumn("_found", predict(letters(F.col(text))))
     return found.withColumns({f.name: F.col("_found")[f.name] for f in OUT}).drop("_found")

@@ -96,7 +96,7 @@ def _hits(lead: DataFrame, often: DataFrame) -> DataFrame:
     Most prefix shingles are of one text only; a fixed-size filter drops their
     rows before anything is moved, and the join drops what it lets through.
     """
-    some = lead.sparkSession.sparkContext.broadcast(id_filter(often.select("token"), 26))
+    some = lead.sparkSession.sparkContext.broadcast(id_filter(often.select("token"), 25))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = some.value

@@ -16,7 +16,7 @@ from tessera.llm.arrow import slices
 #: Odd multipliers of the words of a shingle, and of the mixer.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
-MAX_WORDS = 250_000
+MAX_WORDS = 150_000
 #: Blocks of a summary, and groups of partitions that are folded first.
 BLOCKS, GROUPS = 64, 16
 _WORDS: dict[bytes, int] = {}
