@@ -37,7 +37,7 @@ def first_seen(stream: DataFrame, ident: str, time: str, delay: str = "1 hour")
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Events and values by window and type; late rows beyond the delay don't count."""
-    by = events.withWatermark("ts", delay).groupBy(F.window("ts", size), "event_type")
+    by = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", size), "event_type")
     return by.agg(F.count("*").alias("n"), F.sum("value").alias("value")).select("window.start", "window.end", "event_type", "n", "value")
 
 

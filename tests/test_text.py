@@ -1,0 +1,92 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.functions import dialect, memory
+from tessera.operators import chunk
+from tessera.plans import catalogue, model, text_queries as tq
+
+
+def texts(spark, *rows):
+    return spark.createDataFrame(list(enumerate(rows)), "i int, text string")
+
+
+def test_slide():
+    assert chunk.slide("") == [] and chunk.slide(None) == [] and chunk.slide("x" * 49) == []
+    assert chunk.slide("  " + "x" * 50 + "\n") == [{"content": "x" * 50, "chunk_index": 0}]
+    parts = chunk.slide("a" * 500 + "\n\n" + "b" * 500)
+    assert parts[0]["content"] == "a" * 500 and parts[1]["content"].endswith("b" * 500)
+    parts = chunk.slide("a" * 500 + "\n" + "b" * 500)
+    assert parts[0]["content"] == "a" * 500
+    early = "a" * 100 + "\n\n" + "b" * 450 + "\n" + "c" * 500  # a blank line early keeps the later line end from counting
+    assert len(chunk.slide(early)[0]["content"]) == 800
+    for p in chunk.slide("é" * 3000):
+        assert len(p["content"].encode()) <= 800
+    whole = "".join(chr(97 + i % 26) for i in range(5000))
+    assert all(p["content"] in whole for p in chunk.slide(whole)) and len(chunk.slide(whole)) == 7
+
+
+def test_exchanges(spark):
+    body = "> question one\nanswer a\n\n answer b\n---\nafter the stop\n> second question that is long enough\nshort\n> " + "q" * 900
+    got = chunk.by_exchange(spark.createDataFrame([("x", body)], "id string, content string")).orderBy("chunk_index").collect()
+    assert [r.content for r in got] == ["> question one\nanswer a answer b", "> second question that is long enough\nshort", "> " + "q" * 798, "q" * 102]
+
+
+def test_memory_types(spark):
+    got = {r.i: r.kind for r in tq.memory_types(spark, "").collect()}
+    assert got == {0: "decision", 1: "milestone", 2: "problem", 3: "emotional", 4: "preference"}
+
+
+def test_segments_and_prose(spark):
+    turns = "> one\nanswer\nUser: two\nmore\nAssistant: three"
+    got = texts(spark, turns, "p one\n\np two", "\n".join(f"line {i}" for i in range(30)), "```\ncode\n```\nimport os\nsaid it").select(memory.segments(F.col("text")).alias("s"), memory.prose(F.col("text")).alias("p")).collect()
+    assert got[0].s == ["> one\nanswer", "User: two\nmore", "Assistant: three"] and got[1].s == ["p one", "p two"] and len(got[2].s) == 2
+    assert got[3].p == "said it"
+
+
+def test_moods_and_flags(spark):
+    got = {r.i: (r.moods, r.flags) for r in tq.emotions_flags(spark, "").collect()}
+    assert got[0][0] == "anx,excite" and got[1][1] == "DECISION,TECHNICAL" and got[2] == ("", "")
+
+
+def test_header_fields_round_trip(spark):
+    rows = texts(spark, "a|b%7C\n%25c", "plain", "")
+    assert all(r.text == r.back for r in rows.select("text", dialect.unescaped(dialect.escaped(F.col("text"))).alias("back")).collect())
+
+
+def test_compressed_lines_decode(spark):
+    docs = spark.createDataFrame([("x", 'We met Alice and Bob. "A very important decision" was made because Rust-lang is fast.')], "id string, content string")
+    row = dialect.compressed(docs).select("line", dialect.decoded(F.col("line")).alias("d")).first()
+    assert row.d.entities == ["ALI", "BOB", "RUS"] and row.d.sentence == "A very important decision" and "rust-lang" in row.d.topics
+    assert row.line.endswith("DECISION")
+
+
+def test_facts_and_names(spark):
+    got = sorted((r.i, r.subject, r.predicate, r.object, r.kind) for r in tq.fact_issues(spark, "").collect())
+    assert got == [(0, "Bob", "brother", "Alice", "relationship_mismatch"), (0, "Bob", "brother", "Alice", "stale_fact"), (1, "Bob", "brother", "Alice", "relationship_mismatch"), (1, "Bob", "brother", "Alice", "stale_fact"), (3, "Dora", "boss", "Erin", "stale_fact")]
+
+
+def test_origin(spark):
+    got = {r.corpus: (r.ai_dialogue, r.confidence) for r in tq.corpus_origin(spark, "").collect()}
+    assert got["narrative"] == (False, 0.9) and got["brand"] == (True, 0.95) and got["turns"] == (True, 0.95) and got["ambiguous"] == (False, 0.9) and got["short"] == (True, 0.4)
+
+
+def test_entities(spark):
+    got = {r.name: r.kind for r in tq.entity_class(spark, "").collect()}
+    assert got == {"Clara": "person", "Vortex": "project", "Quill": "uncertain", "North": "uncertain", "Gate": "uncertain"}
+
+
+def test_rooms(spark):
+    assert {r.path: r.room for r in tq.file_room(spark, "").collect()} == {"src/frontend-app/a.ts": "frontend", "interviews/b.md": "backend", "ui/c.md": "frontend", "docs.md": "docs", "d.txt": "general", "lib/e.md": "frontend"}
+
+
+def test_sanitizer(spark):
+    got = {r.i: (r.method, len(r.query)) for r in tq.query_sanitizer(spark, "").collect()}
+    assert got[0] == ("passthrough", 15) and got[1] == ("tail_sentence", 210) and got[2][0] == "question_extraction" and got[3][0] == "tail_sentence" and got[4] == ("tail_truncation", 250) and got[5] == ("passthrough", 0) and got[6] == ("tail_sentence", 250)
+
+
+@pytest.mark.parametrize("name", ["chunk_text"])
+def test_chunks_of_documents_equal_the_walk(spark, name):
+    sf = "/root/testdata/sf0.001"
+    got = {(r.id, r.chunk_index): r.bytes for r in catalogue.QUERIES[name](spark, sf).collect()}
+    want = {(r.id, p["chunk_index"]): len(p["content"].encode()) for r in model.drawers(spark, sf).collect() for p in chunk.slide(r.content)}
+    assert got == want
