@@ -9,9 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tessera.functions.text import trimmed
 
 #: Folders and files that are skipped, and endings that are read.
-SKIP_DIRS = (".git", "node_modules", "__pycache__", ".venv", "venv", "env", "dist", "build", ".next", "coverage", "target")
-SKIP_FILES = ("package-lock.json", ".gitignore")
-CODE = ("txt", "md", "py", "js", "ts", "jsx", "tsx", "json", "yaml", "yml", "html", "css", "java", "go", "rs", "rb", "sh", "csv", "sql", "toml")
+SKIP_DIRS = (
+    ".git node_modules __pycache__ .venv venv vendor env dist build .next coverage target .terraform .ruff_cache .mypy_cache .pytest_cache "
+    ".cache .tox .nox .idea .vscode .ipynb_checkpoints .eggs htmlcov"
+).split()
+SKIP_FILES = ".gitignore entities.json package-lock.json pnpm-lock.yaml yarn.lock Cargo.lock".split()
+CODE = tuple(
+    "txt md py js ts jsx tsx json jsonl yaml yml html css java go rs rb sh csv sql toml c cpp h hpp swift kt scala lua r php pl zig nim ex exs "
+    "erl hs ml".split()
+)
 CHATS = ("txt", "md", "json", "jsonl")
 LEAST_BYTES = 50
 
