@@ -130,7 +130,7 @@ class Schedule:
         return tuple(x[order] for x in joined)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, max_words: int = 800_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, max_words: int = 1_200_000) -> DataFrame:
     """Pack ``docs`` (doc_id, text, source) into windows; one row per piece.
 
     A null text is empty and has the end id alone; a null source is a queue of

@@ -36,7 +36,7 @@ class WordEncoder:
     theirs.  A null text encodes as an empty one.
     """
 
-    def __init__(self, path: str, max_words: int = 800_000):
+    def __init__(self, path: str, max_words: int = 1_200_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self._tok = Tokenizer.from_file(path)
@@ -160,7 +160,7 @@ class WordEncoder:
         return out, lens + 1
 
 
-def encoder(path: str, max_words: int = 800_000) -> WordEncoder:
+def encoder(path: str, max_words: int = 1_200_000) -> WordEncoder:
     """The encoder of this process for a tokenizer file."""
     if (path, max_words) not in _ENCODERS:
         _ENCODERS[path, max_words] = WordEncoder(path, max_words)
