@@ -4,15 +4,41 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text that one step of a batch function holds at a time.
 STEP_BYTES = 4 << 20
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000.
+BATCH_ROWS = 1000
 _LIBC = None
+_OWNER: str | None = None
+_CLEAR: dict[str, Callable[[], object]] = {}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let batches of texts have ``BATCH_ROWS`` rows in this session, unless it says otherwise.
+
+    A batch is held by the executor and by its worker at once, so its size
+    counts twice for each core.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def claim(owner: str, clear: Callable[[], object]) -> None:
+    """Say that a worker's tables are now those of ``owner``; the last owner's go."""
+    global _OWNER
+    _CLEAR[owner] = clear
+    if _OWNER not in (None, owner):
+        _CLEAR[_OWNER]()
+        release()
+    _OWNER = owner
 
 
 def slices(texts: pa.Array, most_bytes: int = STEP_BYTES, most_rows: int = 2000) -> Iterator[tuple[int, int]]:

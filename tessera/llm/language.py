@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tessera.llm.arrow import slices
+from tessera.llm.arrow import claim, slices, small_batches
 
 #: Prediction for a text that is null or has no letter.
 UNDETERMINED = "und"
@@ -70,6 +70,7 @@ _COMPRESSORS: dict[tuple, list] = {}
 def _compressors(model: LanguageModel) -> list:
     import zstandard as z
 
+    claim("language", _COMPRESSORS.clear)
     key = (model.languages, model.dictionaries)
     if key not in _COMPRESSORS:
         made = []
@@ -114,6 +115,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     ``docs`` has are replaced; other columns, rows and repeated rows stay.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf(OUT)
     def predict(texts: pa.Array) -> pa.Array:
         found = [classify(model, t) for a, b in slices(texts) for t in texts.slice(a, b - a).to_pylist()]

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.arrow import slices
+from tessera.llm.arrow import slices, small_batches
 from tessera.llm.shingles import frequency_levels, id_filter, maybe_in, shingle_sets
 from tessera.operators.components import connected_components
 from tessera.runtime import materialize
@@ -190,6 +190,7 @@ def ngram_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bit
 
     Returns doc_id, n_shingles and component_id, the smallest doc_id reached.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     info = describe(docs, n, num, den, frequency_levels(docs, n, bits))
     key = ["d1", "d2", "n"]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tessera.llm.arrow import binaries, slices
+from tessera.llm.arrow import binaries, slices, small_batches
 from tessera.llm.small import small
 from tessera.llm.tokenizer import encoder
 from tessera.runtime import materialize
@@ -139,6 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, max_words: int =
     up to ``MAX_QUEUES``; more of them share queues by hash.  ``max_words`` bounds
     the word table of a worker and trades memory for time.
     """
+    small_batches(docs.sparkSession)
     queue = F.concat(F.lit("s"), F.col("source"))
     if docs.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
         queue = F.concat(F.lit("h"), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string"))

@@ -11,7 +11,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.arrow import slices
+from tessera.llm.arrow import claim, slices
 
 #: Odd multipliers of the words of a shingle, and of the mixer.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -34,6 +34,7 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     A-Z are lower-cased and words are parted by ASCII white space.  Fewer words
     than ``n`` are one shingle; no word, or null, gives an empty set.
     """
+    claim("shingles", _WORDS.clear)
     if len(_WORDS) > MAX_WORDS:
         _WORDS.clear()
     parts = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]

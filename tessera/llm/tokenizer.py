@@ -12,6 +12,8 @@ from itertools import repeat
 
 import numpy as np
 
+from tessera.llm.arrow import claim
+
 #: Id written after the last id of every document.
 END_ID = 2
 #: Marks that make a piece of their own after a letter or digit.
@@ -162,6 +164,7 @@ class WordEncoder:
 
 def encoder(path: str, max_words: int = 1_200_000) -> WordEncoder:
     """The encoder of this process for a tokenizer file."""
+    claim("encoder", _ENCODERS.clear)
     if (path, max_words) not in _ENCODERS:
         _ENCODERS[path, max_words] = WordEncoder(path, max_words)
     return _ENCODERS[path, max_words]
