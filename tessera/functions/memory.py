@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.text import trimmed
 from tessera.operators.chunk import lines_of
@@ -87,22 +87,23 @@ def segments(text: Column) -> Column:
     return F.when(F.size(F.filter(lines, turn)) >= 3, turns).when((F.size(paragraphs) <= 1) & (F.size(lines) > 20), groups).otherwise(paragraphs)
 
 
-def classified(segment: Column) -> Column:
-    """struct (kind, confidence) of a segment; null if it is short or has no marker.
+def classified(segments_: DataFrame, segment: str = "segment") -> DataFrame:
+    """Add ``kind`` and ``confidence`` to segments; short ones and those without a marker go.
 
     The type with most marker hits wins, the last on ties; long segments gain up
     to 2.  A problem with a resolution or a good mood becomes a milestone or an
-    emotional memory.
+    emotional memory.  The prose is a column of its own, so it is made once.
     """
-    body = prose(segment)
-    low = F.lower(body)
-    score = {k: sum((F.regexp_count(low, F.lit(p)) for p in ps), F.lit(0)) for k, ps in MARKERS.items()}
-    best = F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(i).alias("at"), F.lit(k).alias("kind")) for i, (k, s) in enumerate(score.items())]))
-    bonus = F.when(F.octet_length(segment) > 500, 2).when(F.octet_length(segment) > 200, 1).otherwise(0)
+    seg = F.col(segment)
+    rows = segments_.filter(F.octet_length(trimmed(seg)) >= 20).withColumn("_low", F.lower(prose(seg)))
+    low = F.col("_low")
+    rows = rows.withColumns({f"_{k}": sum((F.regexp_count(low, F.lit(p)) for p in ps), F.lit(0)) for k, ps in MARKERS.items()})
+    best = F.array_max(F.array(*[F.struct(F.col(f"_{k}").alias("score"), F.lit(i).alias("at"), F.lit(k).alias("kind")) for i, k in enumerate(MARKERS)]))
     words = F.array_distinct(F.split(low, r"[^\p{L}\p{N}]+"))
     hits = lambda ws: F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in ws])))
-    good, resolved = hits(POSITIVE) > hits(NEGATIVE), _any(low, RESOLUTION)
-    moved = F.when(resolved, F.when((score["emotional"] > 0) & good, "emotional").otherwise("milestone")).when(good & (score["milestone"] > 0), "milestone").when(good & (score["emotional"] > 0), "emotional").otherwise("problem")
-    kind = F.when(best["kind"] == "problem", moved).otherwise(best["kind"])
-    usable = (F.octet_length(trimmed(segment)) >= 20) & (best["score"] > 0)
-    return F.when(usable, F.struct(kind.alias("kind"), F.least(F.lit(1.0), (best["score"] + bonus) / 5.0).alias("confidence")))
+    rows = rows.withColumns({"_best": best, "_good": hits(POSITIVE) > hits(NEGATIVE), "_done": _any(low, RESOLUTION)}).filter("_best.score > 0")
+    bonus = F.when(F.octet_length(seg) > 500, 2).when(F.octet_length(seg) > 200, 1).otherwise(0)
+    good, moved, felt = F.col("_good"), F.col("_milestone") > 0, F.col("_emotional") > 0
+    solved = F.when(F.col("_done"), F.when(felt & good, "emotional").otherwise("milestone")).when(good & moved, "milestone").when(good & felt, "emotional").otherwise("problem")
+    kind = F.when(F.col("_best.kind") == "problem", solved).otherwise(F.col("_best.kind"))
+    return rows.select(*segments_.columns, kind.alias("kind"), F.least(F.lit(1.0), (F.col("_best.score") + bonus) / 5.0).alias("confidence"))

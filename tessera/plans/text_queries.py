@@ -43,12 +43,9 @@ ROOMS = [("frontend", ["ui", "react"]), ("backend", ["api", "server"]), ("docs",
 PATHS = [("src/frontend-app/a.ts", "x"), ("interviews/b.md", "the api and the server"), ("ui/c.md", ""), ("docs.md", "api"), ("d.txt", "nothing"), ("lib/e.md", "api react react")]
 
 
-def _kinds(rows):
-    return rows.select("i", F.posexplode(memory.segments(F.col("text"))).alias("at", "segment")).withColumn("m", memory.classified(F.col("segment"))).filter("m is not null")
-
-
 def memory_types(spark, sf):
-    return _kinds(M.literal_rows(spark, MEMORIES)).select("i", "m.kind", M.rounded(F.col("m.confidence")).alias("confidence"))
+    rows = M.literal_rows(spark, MEMORIES).select("i", F.posexplode(memory.segments(F.col("text"))).alias("at", "segment"))
+    return memory.classified(rows).select("i", "kind", M.rounded(F.col("confidence")).alias("confidence"))
 
 
 def emotions_flags(spark, sf):
@@ -189,8 +186,10 @@ t AS (SELECT id, lower(w) AS topic, sum(1 + 2 * CAST(regexp_matches(w, '^[A-Z]')
 SELECT * FROM (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) AS INTEGER) AS rank, topic, CAST(score AS BIGINT) AS score FROM t) WHERE rank <= 3""",
     "key_sentence": f"""{_D}, s AS (SELECT id, unnest(regexp_split_to_array(content, '[.!?\\n]+')) AS s, generate_subscripts(regexp_split_to_array(content, '[.!?\\n]+'), 1) AS k FROM drawers),
 t AS (SELECT id, k, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS s FROM s), p AS (SELECT id, k, s, {_POINTS} + CAST(length(s) < 80 AS INTEGER) + CAST(length(s) < 40 AS INTEGER) - 2 * CAST(length(s) > 150 AS INTEGER) AS points FROM t WHERE strlen(s) > 10),
-b AS (SELECT id, s FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY points DESC, k) AS r FROM p) WHERE r = 1)
-SELECT d.id, translate(coalesce(CASE WHEN length(s) > 55 THEN substr(s, 1, 52) || '...' ELSE s END, ''), '|' || chr(10) || chr(13), '/  ') AS sentence FROM drawers d LEFT JOIN b USING (id)""",
+b AS (SELECT id, s FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY points DESC, k) AS r FROM p) WHERE r = 1),
+qs AS (SELECT id, regexp_extract_all(content, '"([^"]+)"', 1) AS qs FROM drawers), qe AS (SELECT id, regexp_replace(unnest(qs), '^\\s+|\\s+$', '', 'g') AS q, generate_subscripts(qs, 1) AS k FROM qs),
+qb AS (SELECT id, q FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length(q) DESC, k DESC) AS r FROM qe WHERE length(q) > 10) WHERE r = 1)
+SELECT d.id, translate(coalesce(q, CASE WHEN length(s) > 55 THEN substr(s, 1, 52) || '...' ELSE s END, ''), '|' || chr(10) || chr(13), '/  ') AS sentence FROM drawers d LEFT JOIN b USING (id) LEFT JOIN qb USING (id)""",
     "token_estimates": f"{_D} SELECT id, CAST(greatest(1, (len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '')) * 13 + 5) // 10) AS INTEGER) AS tokens FROM drawers",
     "chunk_paragraph": f"""{_D}, p AS (SELECT id, list_filter(list_transform(string_split(content, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ps, string_split(regexp_replace(content, '\\n$', ''), chr(10)) AS ls FROM drawers),
 c AS (SELECT id, CASE WHEN len(ps) <= 1 AND len(ls) > 20 THEN list_transform(range(0, (len(ls) - 1) // 25 + 1), lambda g: regexp_replace(array_to_string(ls[g * 25 + 1 : g * 25 + 25], chr(10)), '^\\s+|\\s+$', '', 'g')) ELSE ps END AS cs FROM p),
