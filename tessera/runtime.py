@@ -1,15 +1,40 @@
-"""Cutting lineage through the shared folder of the cluster."""
+"""What a job needs of its cluster: the shared folder, and the sources on the workers."""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the library to the Python workers, unless they find it where the driver does.
+
+    Workers look in ``PYTHONPATH`` and in the folder that the driver was started
+    in; elsewhere an archive of the sources goes along with the application.
+    """
+    root = Path(__file__).resolve().parent.parent
+    paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or root in [*paths, Path.cwd()]:
+        return
+    _SHIPPED.add(app)
+    folder = tempfile.mkdtemp(prefix="tessera-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/tessera_sources.zip", "w") as out:
+        for path in [*sorted(root.glob("tessera/**/*.py")), *root.glob("corpus_pipeline.py")]:
+            out.write(path, path.relative_to(root))
+    spark.sparkContext.addPyFile(f"{folder}/tessera_sources.zip")
 
 
 def shared_dir(spark: SparkSession) -> str:
