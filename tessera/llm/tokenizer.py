@@ -146,7 +146,7 @@ class WordEncoder:
                 new = list(dict.fromkeys(absent := [words[i] for i in missing.tolist()]))
             self._learn(new)
             idx[missing] = list(map(get, absent))
-        self._hits[: len(self._index)] += np.bincount(idx, minlength=len(self._index))
+        np.add.at(self._hits, idx, 1)
         flat, lens = self._gather(idx)
         bounds = np.concatenate([[0], np.cumsum(counts)])
         before = np.concatenate([[0], np.cumsum(lens)])
