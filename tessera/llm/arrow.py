@@ -15,6 +15,9 @@ from pyspark.sql import SparkSession
 STEP_BYTES = 4 << 20
 #: Rows of an Arrow batch, where the session has Spark's default of 10,000.
 BATCH_ROWS = 1000
+#: Bytes of text after which a worker gives freed memory back.
+RELEASE_BYTES = 16 << 20
+_SINCE = 0
 _LIBC = None
 _OWNER: str | None = None
 _CLEAR: dict[str, Callable[[], object]] = {}
@@ -52,7 +55,11 @@ def slices(texts: pa.Array, most_bytes: int = STEP_BYTES, most_rows: int = 2000)
         total += n
     if first < len(sizes):
         yield first, len(sizes)
-    release()
+    global _SINCE
+    _SINCE += int(sizes.sum())
+    if _SINCE >= RELEASE_BYTES:
+        _SINCE = 0
+        release()
 
 
 def release() -> None:

@@ -16,6 +16,7 @@ from tessera.llm.arrow import claim
 
 #: Id written after the last id of every document.
 END_ID = 2
+END_KEY = b"\n"
 #: Marks that make a piece of their own after a letter or digit.
 MARKS = b"!\"#$%&()*+,-./:;=?@[]^_`{|}~"
 _ENCODERS: dict[tuple[str, int], "WordEncoder"] = {}
@@ -55,12 +56,14 @@ class WordEncoder:
         self._ids = np.zeros(1 << 16, np.uint32)
         self._hits = np.zeros(1024, np.int64)
         self._used = 0
+        # a key that no word has stands for the end of a document
+        self._store([END_KEY], np.array([END_ID], np.uint32), np.array([1]))
 
     def _shrink(self) -> None:
         """Keep the words used most, at most half of the table, and drop the rest."""
         words = list(self._index)
         hits = self._hits[: len(words)].copy()
-        hits[0] = 0
+        hits[:2] = 0
         kept = np.argsort(-hits, kind="stable")[: self._max_words // 2]
         kept = np.sort(kept[hits[kept] > 1])
         ids, lens = self._gather(kept)
@@ -124,8 +127,11 @@ class WordEncoder:
         self._used += len(ids)
         self._index.update(zip(words, range(first, first + len(words))))
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end (uint32) and the number of ids of each text."""
+    def encode(self, texts: list[str | None], end: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end (uint32) and the number of ids of each text.
+
+        With ``end``, ``END_ID`` follows each text, so a text has one id at least.
+        """
         words: list[bytes] = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -134,6 +140,9 @@ class WordEncoder:
                 w = (raw if b"<|" in raw else raw.lower()).split()
                 counts[i] = len(w)
                 words += w
+            if end:
+                counts[i] += 1
+                words.append(END_KEY)
         get = self._index.get
         idx = np.array(list(map(get, words, repeat(-1))), np.int64)
         if len(missing := np.flatnonzero(idx < 0)):
@@ -152,14 +161,9 @@ class WordEncoder:
         before = np.concatenate([[0], np.cumsum(lens)])
         return flat, before[bounds[1:]] - before[bounds[:-1]]
 
-    def encode_with_end(self, texts: list[str | None], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-        """As ``encode``, with ``end_id`` after each text; a text has one id at least."""
-        flat, lens = self.encode(texts)
-        out = np.full(len(flat) + len(lens), end_id, np.uint32)
-        keep = np.ones(len(out), bool)
-        keep[np.cumsum(lens + 1) - 1] = False
-        out[keep] = flat
-        return out, lens + 1
+    def encode_with_end(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, with the end id after each text."""
+        return self.encode(texts, end=True)
 
 
 def encoder(path: str, max_words: int = 800_000) -> WordEncoder:
