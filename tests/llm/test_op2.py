@@ -58,6 +58,17 @@ def test_hard_texts(spark):
     assert mask(docs).count() == len(HARD) + 2 and mask(docs.limit(0)).count() == 0
 
 
+ZEROS = ["10.0.0.1 192.168.0.1 255.255.255.0 0.0.0.0", "00.000.0000.1 10.20.30.00 000255.0.0.000255", "0.0.0.256 0000256.0.0.0 1.0.0", "0" * 4000 + ".0.0.1 " + "0" * 4000 + ".0.0.256"]
+
+
+def test_parts_of_zeros(spark):
+    docs = spark.createDataFrame(list(enumerate(ZEROS)), "doc_id long, text string")
+    got = {r.doc_id: r.s for r in spans_of(docs)[0].select("doc_id", written(F.col("base")).alias("s")).collect()}
+    assert got == {i: ",".join(f"{k}:{a}:{b}" for k, a, b in brute(t)) for i, t in enumerate(ZEROS)}
+    assert [got[i].count("ip:") for i in range(4)] == [4, 3, 0, 1]
+    assert mask(docs).filter("doc_id = 0").first().text == " ".join(["[IP]"] * 4)
+
+
 def test_contexts_find_unseen_identifiers(spark):
     seen = [(i, f"so you can write to me {'x' * (i % 5 + 1)}{i}@mail{i}.org today") for i in range(20)]
     new = [(100, "so you can write to me joe99@localhost today"), (101, "version 10.2beta@x of it")]
