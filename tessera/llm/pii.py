@@ -1,7 +1,7 @@
 """Personal data by patterns and by contexts that the patterns teach.
 
 Base matches of four kinds seed the search.  Every match and every other token
-that looks like an identifier is an instance with a shape; the two words before
+with a digit or an at sign is an instance with a shape; the two words before
 it are its pattern.  Confidence flows between patterns and shapes for a few
 rounds, and tokens that both a confident pattern and a confident shape support
 are added.  All steps are DataFrame expressions; a text is read once, and what
@@ -110,8 +110,8 @@ def _shape(text: Column) -> Column:
 def find_base(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``base`` and ``tokens`` to ``docs``: structs (kind, start, end, text, left).
 
-    Offsets are code points, ends exclusive.  ``tokens`` are identifier-like
-    tokens of 6 to 64 characters that touch no base match; their kind is -1.
+    Offsets are code points, ends exclusive.  ``tokens`` are all tokens
+    with a digit or an at sign that touch no base match; their kind is -1.
     Whole texts are searched; a null text has none.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -129,7 +129,7 @@ def find_base(docs: DataFrame, text: str = "text") -> DataFrame:
         core = F.regexp_replace(F.substring(x["text"], lead + 1, F.length(x["text"])), r"[.,;:!?)\]>\"']+$", "")
         return F.struct(F.lit(-1).alias("kind"), (x["start"] + lead).alias("start"), (x["start"] + lead + F.length(core)).alias("end"), core.alias("text"), x["left"].alias("left"))
 
-    free = F.filter(F.transform(F.col("_e_token"), trimmed), lambda x: F.length(x["text"]).between(6, 64) & ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    free = F.filter(F.transform(F.col("_e_token"), trimmed), lambda x: (F.length(x["text"]) > 0) & ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     out = out.withColumn("tokens", free)
     return out.drop(*[f"_{a}_{k}" for a in "mgfe" for k in patterns])
 
@@ -142,40 +142,45 @@ def score_graph(instances: DataFrame, rounds: int = 3) -> DataFrame:
     shape starts from the share of its instances that are seeds of the kind.  In
     each round a pattern gets the mean confidence of its instances' shapes and a
     shape the mean of its instances' patterns, each shrunk by one instance
-    without confidence; seeds keep confidence 1.
+    without confidence; seeds keep confidence 1.  Means are over all instances,
+    those of shapes without a seed included; rows that no confidence reaches are
+    left out.  ``mean`` is the last mean of a shape, not shrunk: its patterns
+    are, and a form seen once has the confidence of the one it stands behind.
     """
     counts = instances.groupBy("pattern", "shape").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == i).alias(f"s{i}") for i in range(len(KINDS))])
     edges = materialize(counts, "pii-edges")
-    kinds = edges.select("pattern", "shape", "n", F.posexplode(F.array(*[F.col(f"s{i}") for i in range(len(KINDS))])).alias("kind", "seeds"))
-    live = kinds.filter("seeds > 0").select("kind", "shape").distinct()
-    graph = kinds.join(small(materialize(live, "pii-live")), ["kind", "shape"])
-    graph = graph.withColumn("from_shape", F.lit(0.0)).withColumn("from_pattern", F.lit(0.0))
-    by_shape = materialize(graph.groupBy("kind", "shape").agg((F.sum("seeds") / (F.sum("n") + 1)).alias("from_shape")), "pii-shapes")
-    graph = graph.drop("from_shape").join(small(by_shape), ["kind", "shape"])
+    totals = {c: materialize(edges.groupBy(c).agg(F.sum("n").alias(f"{c}_n")), f"pii-{c}s") for c in ("pattern", "shape")}
+    edges = edges.join(totals["pattern"], "pattern").join(small(totals["shape"]), "shape")
+    edges = materialize(edges.select("pattern", "shape", "n", "pattern_n", "shape_n", F.array(*[f"s{i}" for i in range(len(KINDS))]).alias("by_kind")), "pii-edges")
+    kinds = edges.select("shape", "shape_n", F.posexplode("by_kind").alias("kind", "seeds")).filter("seeds > 0")
+    by_shape = kinds.groupBy("kind", "shape").agg((F.sum("seeds") / (F.first("shape_n") + 1)).alias("from_shape"))
+    seeds = F.get("by_kind", F.col("kind"))
+    given = lambda c: F.sum(seeds + (F.col("n") - seeds) * F.col(c))
     for _ in range(rounds):
-        mean = lambda c: (F.sum(F.col("seeds") + (F.col("n") - F.col("seeds")) * F.col(c)) / (F.sum("n") + 1)).alias
-        by_pattern = graph.groupBy("kind", "pattern").agg(mean("from_shape")("from_pattern"), F.sum("seeds").alias("support"))
-        graph = graph.drop("from_pattern", "support").join(by_pattern, ["kind", "pattern"])
         # a few shapes have most of the edges; their table is small unless counted otherwise
-        by_shape = materialize(graph.groupBy("kind", "shape").agg(mean("from_pattern")("from_shape")), "pii-shapes")
-        graph = graph.drop("from_shape").join(small(by_shape), ["kind", "shape"])
-        graph = materialize(graph, "pii-graph")
-    return graph
+        by_shape = materialize(by_shape, "pii-shapes")
+        by_pattern = edges.join(small(by_shape), "shape").groupBy("kind", "pattern").agg((given("from_shape") / (F.first("pattern_n") + 1)).alias("from_pattern"), F.sum(seeds).alias("support"))
+        by_pattern = materialize(by_pattern, "pii-patterns")
+        by_shape = edges.join(by_pattern, "pattern").groupBy("kind", "shape").agg((given("from_pattern") / (F.first("shape_n") + 1)).alias("from_shape"), (given("from_pattern") / F.first("shape_n")).alias("mean"))
+    by_shape = materialize(by_shape, "pii-shapes")
+    graph = edges.join(by_pattern, "pattern").join(small(by_shape), ["kind", "shape"])
+    return graph.select("kind", "pattern", "shape", "n", seeds.alias("seeds"), "from_pattern", "support", "from_shape", "mean")
 
 
 def discover(found: DataFrame, key: list[str], least: float = 0.6, support: int = 3, rounds: int = 3) -> DataFrame:
     """Spans that the contexts add to ``found`` (``key``, base, tokens), by key.
 
     A token is added when its pattern has ``support`` seeds of the kind at least
-    and pattern and shape both reach the confidence ``least``; among kinds the
-    surest wins, then the first listed.  Returns ``key`` and ``added``, one row
-    per key that gains spans; repeated rows of a key count once.
+    and the confidence of the pattern and the mean of the shape both reach
+    ``least``; among kinds the surest wins, then the first listed.  Returns
+    ``key`` and ``added``, one row per key that gains spans; repeated rows of a
+    key count once.
     """
     flat = lambda c: found.select(*key, F.explode(c).alias("x")).select(*key, "x.kind", "x.start", "x.end", F.col("x.left").alias("pattern"), _shape(F.col("x.text")).alias("shape"))
     tokens = flat("tokens").filter("pattern <> ''")
     graph = score_graph(flat("base").filter("pattern <> ''").select("kind", "pattern", "shape").unionAll(tokens.select("kind", "pattern", "shape")), rounds)
-    sure = graph.filter((F.col("n") > F.col("seeds")) & (F.col("support") >= support) & (F.least("from_pattern", "from_shape") >= least))
-    best = sure.groupBy("pattern", "shape").agg(F.max(F.struct((F.col("from_pattern") * F.col("from_shape")).alias("c"), (-F.col("kind")).alias("k"))).alias("b")).select("pattern", "shape", (-F.col("b.k")).alias("found"))
+    sure = graph.filter((F.col("n") > F.col("seeds")) & (F.col("support") >= support) & (F.least("from_pattern", "mean") >= least))
+    best = sure.groupBy("pattern", "shape").agg(F.max(F.struct((F.col("from_pattern") * F.col("mean")).alias("c"), (-F.col("kind")).alias("k"))).alias("b")).select("pattern", "shape", (-F.col("b.k")).alias("found"))
     hits = tokens.join(best, ["pattern", "shape"])
     return hits.groupBy(*key).agg(F.collect_set(F.struct(F.col("found").alias("kind"), "start", "end")).alias("added"))
 

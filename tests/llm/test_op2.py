@@ -80,6 +80,24 @@ def test_contexts_find_unseen_identifiers(spark):
     assert [(s.kind, s.start, s.end) for s in rows[50]] == [(2, 18, 34)] and rows[51] == []
 
 
+def test_contexts_find_unseen_shapes(spark):
+    seen = [(i, f"so you can write to me {'x' * (i % 5 + 1)}{i}@mail{i}.org today") for i in range(20)]
+    seen += [(i, f"or call me under +49 30 12345{i} today") for i in range(20, 40)]
+    long = "x" * 80 + "@localhost"
+    new = {100: "so you can write to me joe99@localhost today", 101: f"so you can write to me {long} today", 102: "so you can write to me a@b today", 103: "or call me under 030-1234567 today", 104: "or call me under (202)555-0143 today", 105: "call it 030-7654321.5 now", 106: "see page joe99 of 1joe@here today"}
+    rows = {r.doc_id: [(s.kind, s.start, s.end) for s in r.added] for r in spans_of(spark.createDataFrame(seen + list(new.items()), "doc_id long, text string"))[0].collect()}
+    assert rows[100] == [(0, 23, 38)] and rows[101] == [(0, 23, 23 + len(long))] and rows[102] == [(0, 23, 26)]
+    assert rows[103] == [(3, 17, 28)] and [s[0] for s in rows[104]] == [3]
+    assert all(rows[i] == [] for i in [*range(40), 105, 106])
+
+
+def test_unseen_shapes_count_against_a_pattern(spark):
+    seen = [(i, f"so you can write to me x{i}@mail{i}.org today") for i in range(20)]
+    plain = [(100 + i, f"so you can write to me {'-' * i}{i} today") for i in range(40)]
+    rows = {r.doc_id: r.added for r in spans_of(spark.createDataFrame([*seen, *plain, (200, "so you can write to me joe99@localhost today")], "doc_id long, text string"))[0].collect()}
+    assert all(not added for added in rows.values())
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_empty_and_single(spark, n):
     docs = spark.createDataFrame([(1, None)][:n], "doc_id long, text string")
