@@ -1,7 +1,7 @@
 """Shards of token ids under a Re-Pair grammar.
 
 A shard holds the ids of consecutive documents.  Frequent pairs of neighbours
-within a document become nonterminals, round by round; rules and the lengths of
+within a document become nonterminals, round by round, until none is left; rules and the lengths of
 their expansions are stored, so that one document can be decoded, or a place in
 it found, without the rest of the shard.
 
@@ -20,44 +20,48 @@ import numpy as np
 MAGIC = b"RPG1"
 
 
-def compress(ids: np.ndarray, doc_lens: np.ndarray, first: int, rounds: int = 4, rules_per_round: int = 64, least: int = 8) -> bytes:
+def compress(ids: np.ndarray, doc_lens: np.ndarray, first: int, rules_per_round: int = 1 << 14, least: int = 8) -> bytes:
     """The shard of ``ids``, laid end to end by document, as bytes.
 
-    Each round counts all pairs by slot, counts those of the fullest slots one by
-    one, takes up to ``rules_per_round`` that occur ``least`` times or more, the
-    most frequent first and the smaller ids first on equal counts, and replaces
-    their occurrences from left to right.
+    Pairs are replaced until none occurs ``least`` times.  Each round counts all
+    pairs by slot, counts those of slots that reach a quarter of the fullest one
+    by one, and takes up to ``rules_per_round`` that reach it too, the most
+    frequent first and the smaller ids first on equal counts.  Pairs of a round
+    share no symbol as the right of one and the left of another, so that every
+    occurrence is replaced; in a run of one symbol, from left to right.
     ``first`` is the id of the first nonterminal, above all ids.
     """
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(doc_lens) - 1] = True
     rules: list[tuple[int, int]] = []
-    bits = int(np.clip(int(len(seq)).bit_length() - 2, 10, 18))
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    bits = int(np.clip(int(len(seq)).bit_length(), 10, 20))
+    ceiling = len(seq)
+    while len(seq) > 1:
         slot = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
         # pairs across documents get a slot that is not looked at
         slot[last[:-1]] = 1 << bits
-        counts = np.bincount(slot, minlength=(1 << bits) + 1)[:-1]
+        counts = np.bincount(slot, minlength=(1 << bits) + 1)
+        counts[-1] = 0
         # a slot counts all pairs that share it, so no pair has more than its slot
-        top = np.argpartition(counts, -2 * rules_per_round)[-2 * rules_per_round :]
-        watched = np.zeros((1 << bits) + 1, bool)
-        watched[top[counts[top] >= least]] = True
-        often = np.flatnonzero(watched[slot])
+        floor = max(least, min(int(counts.max()), ceiling) // 4)
+        often = np.flatnonzero((counts >= floor)[slot])
         key = seq[often].astype(np.uint64) << np.uint64(32) | seq[often + 1]
         pairs, which, n = np.unique(key, return_inverse=True, return_counts=True)
-        chosen = np.lexsort((pairs, -n))[:rules_per_round]
-        chosen = np.sort(chosen[n[chosen] >= least])
-        if not len(chosen):
-            break
+        found = np.flatnonzero(n >= floor)
+        if not len(found):
+            if floor == least:
+                break
+            # full slots held many rare pairs only; no pair reaches the floor
+            ceiling = floor
+            continue
+        chosen = _apart(pairs, found[np.lexsort((pairs[found], -n[found]))], rules_per_round)
         symbol = np.zeros(len(pairs), np.uint32)
         symbol[chosen] = first + len(rules) + np.arange(len(chosen))
         rules += [(int(p >> np.uint64(32)), int(p & np.uint64(0xFFFFFFFF))) for p in pairs[chosen]]
         to = symbol[which]
         at, to = often[to > 0], to[to > 0]
-        # of hits that overlap in a run, every second is replaced
+        # hits overlap in a run of one symbol only; every second is replaced
         fresh = np.concatenate([[True], np.diff(at) > 1])
         run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run_start) % 2 == 0
@@ -73,6 +77,22 @@ def compress(ids: np.ndarray, doc_lens: np.ndarray, first: int, rounds: int = 4,
     return b"".join([MAGIC, head, np.array(rules, "<u4").tobytes(), lengths.astype("<u4").tobytes(), ends.astype("<i8").tobytes(), np.asarray(doc_lens).astype("<i8").tobytes(), seq.astype("<u4").tobytes()])
 
 
+def _apart(pairs: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Places of up to ``most`` pairs in ``order`` that can't overlap one another, sorted."""
+    lefts, rights = set(), set()
+    out = []
+    for i, pair in zip(order.tolist(), pairs[order].tolist()):
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        if a in rights or b in lefts or a == b and (a in lefts or a in rights):
+            continue
+        lefts.add(a)
+        rights.add(b)
+        out.append(i)
+        if len(out) == most:
+            break
+    return np.sort(np.array(out))
+
+
 def _lengths(rules, first: int) -> np.ndarray:
     out: list[int] = []
     for a, b in rules:

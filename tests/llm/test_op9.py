@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -52,3 +53,31 @@ def test_frequent_pairs_shrink():
     ids = np.tile(np.array([5, 6, 7, 8], np.uint32), 1000)
     shard = Shard(compress(ids, np.array([4000]), 100))
     assert len(shard.symbols) < 600 and shard.all().tolist() == ids.tolist()
+
+
+def left_over(shard):
+    """The most occurrences that a pair of neighbours within a document has."""
+    a, inner = shard.symbols, np.ones(len(shard.symbols), bool)
+    inner[shard.ends - 1] = False
+    at = np.flatnonzero(inner)
+    return max(Counter(zip(a[at].tolist(), a[at + 1].tolist())).values(), default=0)
+
+
+def test_no_frequent_pair_is_left():
+    r = np.random.default_rng(5)
+    phrases = [r.zipf(1.3, r.integers(2, 40)) % 5000 for _ in range(3000)]
+    docs = [np.concatenate([phrases[i] for i in r.integers(0, 3000, 20)] + [[7] * int(r.integers(1, 30))]) for _ in range(400)]
+    lens = np.array([len(d) for d in docs])
+    for ids, n, least in ((np.concatenate(docs), lens, 8), (np.concatenate(docs[:40]), lens[:40], 2), (np.zeros(9000), np.array([1, 8000, 999]), 8), (np.arange(9000) % 3, np.array([9000]), 2)):
+        shard = Shard(compress(ids.astype(np.uint32), n, 1 << 16, least=least))
+        assert left_over(shard) < least and shard.all().tolist() == ids.tolist()
+        for i in (0, len(n) - 1):
+            assert len(shard.document(i)) == n[i] and shard.token(i, int(n[i]) - 1) == ids[int(n[: i + 1].sum()) - 1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 4), min_size=1, max_size=60), min_size=1, max_size=8), st.integers(1, 4), st.integers(2, 4))
+def test_none_left_in_few_rules_a_round(docs, rules, least):
+    ids, lens = np.concatenate([np.array(d) for d in docs]).astype(np.uint32), np.array([len(d) for d in docs])
+    shard = Shard(compress(ids, lens, 100, rules_per_round=rules, least=least))
+    assert left_over(shard) < least and shard.all().tolist() == ids.tolist()
