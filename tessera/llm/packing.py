@@ -33,7 +33,7 @@ TOKENS = "doc_id long, queue string, part long, local_start long, n long, ids bi
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def tokens(docs: DataFrame, tokenizer: str, max_words: int) -> DataFrame:
+def tokens(docs: DataFrame, tokenizer: str, slots: int) -> DataFrame:
     """Ids of ``docs`` (doc_id, queue, text) with the end id, and their places.
 
     ``part`` is the partition, ``local_start`` the ids of the queue before the
@@ -42,11 +42,11 @@ def tokens(docs: DataFrame, tokenizer: str, max_words: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seen = encoder(tokenizer, max_words), TaskContext.get().partitionId(), defaultdict(int)
+        enc, part, seen = encoder(tokenizer, slots), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 piece = batch.slice(a, b - a)
-                flat, lens = enc.encode_with_end(piece.column("text").to_pylist())
+                flat, lens = enc.encode_with_end(piece.column("text"))
                 starts = []
                 for q, n in zip(piece.column("queue").to_pylist(), lens.tolist()):
                     starts.append(seen[q])
@@ -130,20 +130,20 @@ class Schedule:
         return tuple(x[order] for x in joined)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, max_words: int = 800_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, slots: int = 1 << 21) -> DataFrame:
     """Pack ``docs`` (doc_id, text, source) into windows; one row per piece.
 
     A null text is empty and has the end id alone; a null source is a queue of
     its own.  Rows that repeat an id are documents of their own.  Other columns
     play no part; an empty table gives none.  Sources are listed on the driver
-    up to ``MAX_QUEUES``; more of them share queues by hash.  ``max_words`` bounds
+    up to ``MAX_QUEUES``; more of them share queues by hash.  ``slots`` bounds
     the word table of a worker and trades memory for time.
     """
     small_batches(docs.sparkSession)
     queue = F.concat(F.lit("s"), F.col("source"))
     if docs.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
         queue = F.concat(F.lit("h"), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string"))
-    made = tokens(docs.select("doc_id", F.coalesce(queue, F.lit("n")).alias("queue"), "text"), tokenizer, max_words)
+    made = tokens(docs.select("doc_id", F.coalesce(queue, F.lit("n")).alias("queue"), "text"), tokenizer, slots)
     parts = made.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = materialize(parts.select("queue", "part", "n", before.alias("base")), "pack-parts")

@@ -31,7 +31,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(tokenizer, 1_500_000), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         held_ids: list = []
         held, lens = [], []
         count = base = shard = 0
@@ -45,7 +45,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int =
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 rows = batch.slice(a, b - a)
-                flat, n = enc.encode_with_end(rows.column("text").to_pylist())
+                flat, n = enc.encode_with_end(rows.column("text"))
                 held_ids += rows.column("doc_id").to_pylist()
                 held.append(flat)
                 lens.append(n)

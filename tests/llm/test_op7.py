@@ -77,7 +77,7 @@ def test_schedule_covers_every_place():
 
 
 def test_encoder_equals_library_and_shrinks():
-    tok, enc = Tokenizer.from_file(PATH), WordEncoder(PATH, max_words=50)
+    tok, enc = Tokenizer.from_file(PATH), WordEncoder(PATH, slots=64)
     r = random.Random(1)
     parts = ["<|endoftext|>", "<|EndOfText|>", "it's", "don'T x", "é", "é", "́", "ΣΑΣ", "a b", "\t", "\r\n", "\x1c", "\u0085", "İ", "日本語", "12345", "''s", "'s", "ﬁ", "‍", "a" * 300, "K", "THE", "!!.,"]
     for _ in range(200):
