@@ -47,7 +47,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 4096 tokens."""
-    return pack(docs, op7.TOKENIZER, max_words=150_000)
+    return pack(docs, op7.TOKENIZER, slots=1 << 20)
 
 
 STAGES = [
