@@ -1,8 +1,9 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary, cut from a bounded sample
-of labelled texts.  A text goes in segments through one compressor per language;
-the language whose dictionary leaves the fewest bytes wins.
+Each language has a raw-content zstandard dictionary, the most frequent words of
+a bounded sample of labelled texts.  A text goes in segments through one
+compressor per language; the language whose dictionary leaves the fewest bytes
+wins, and a narrow margin to the second is a rejection.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tessera.llm.arrow import claim, slices, small_batches
+from tessera.llm.tables import unused
 
 #: Prediction for a text that is null or has no letter.
 UNDETERMINED = "und"
@@ -27,10 +29,8 @@ class LanguageModel:
     languages: tuple[str, ...]
     dictionaries: tuple[bytes, ...]
     segment_bytes: int = 512
-    #: Share of the best size by which the second must exceed it ...
+    #: Share of the best size by which the second must exceed it, a byte at least.
     min_margin: float = 0.003
-    #: ... in texts of so many bytes; shorter ones can't show such a margin.
-    min_bytes: int = 256
 
 
 def letters(text: Column) -> Column:
@@ -38,14 +38,16 @@ def letters(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " "))
 
 
-def train(labelled: DataFrame, dict_bytes: int = 32 << 10, docs_per_language: int = 256, chars_per_doc: int = 512, **settings) -> LanguageModel:
+def train(labelled: DataFrame, dict_bytes: int = 32 << 10, docs_per_language: int = 256, **settings) -> LanguageModel:
     """Fit dictionaries on ``labelled`` (doc_id, text, lang).
 
-    The sample is bounded: about ``docs_per_language`` rows of each language,
-    those with the lowest hash of doc_id and text, give ``chars_per_doc``
-    characters each until a dictionary has ``dict_bytes`` bytes.  Rows whose
-    text or lang is null or whose text has no letter teach nothing; an empty
-    table gives a model without languages.  Repeated rows are drawn as one.
+    The sample is bounded in rows: about ``docs_per_language`` of each language,
+    those with the lowest hash of doc_id and text, with their whole texts.  A
+    dictionary holds the words of the language's sample up to ``dict_bytes``
+    bytes, the most frequent ones, the commonest last; runs of over 24 letters
+    count in pieces.  Rows whose text or lang is null or whose text has no letter
+    teach nothing; an empty table gives a model without languages.  Equal texts
+    of the sample count once.  The driver holds one dictionary a language.
     """
     usable = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -53,15 +55,17 @@ def train(labelled: DataFrame, dict_bytes: int = 32 << 10, docs_per_language: in
         return LanguageModel((), (), **settings)
     order = sorted(counts, key=lambda k: (-counts[k], k))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_language / n))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = usable.withColumn("draw", draw).filter(F.col("draw") < share[F.col("lang")])
-    rows = drawn.select("lang", "draw", F.substring(letters(F.col("text")), 1, chars_per_doc).alias("t")).filter("t <> ''").collect()
-    texts: dict[str, list] = {k: [] for k in order}
-    for r in rows:
-        texts[r["lang"]].append((r["draw"], r["t"]))
-    content = {k: " ".join(dict.fromkeys(t for _, t in sorted(v))).encode()[:dict_bytes] for k, v in texts.items() if v}
-    known = [k for k in order if k in content]
-    return LanguageModel(tuple(known), tuple(content[k] for k in known), **settings)
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
+    drawn = usable.filter(draw < share[F.col("lang")]).select("lang", letters(F.col("text")).alias("t")).distinct()
+    words = drawn.select("lang", F.explode(F.regexp_extract_all("t", F.lit(r"\S{1,24}"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    common = W.partitionBy("lang").orderBy(F.desc("n"), "word")
+    held = words.withColumn("bytes", F.sum(F.octet_length("word") + 1).over(common.rowsBetween(W.unboundedPreceding, 0))).filter(F.col("bytes") <= dict_bytes)
+    found: dict[str, list] = {k: [] for k in order}
+    for r in held.select("lang", "n", "word").collect():
+        found[r["lang"]].append((r["n"], r["word"]))
+    known = [k for k in order if found[k]]
+    content = [(" " + "".join(f"{w} " for n, w in sorted(found[k], key=lambda x: (x[0], x[1])))).encode() for k in known]
+    return LanguageModel(tuple(known), tuple(content), **settings)
 
 
 _COMPRESSORS: dict[tuple, list] = {}
@@ -84,35 +88,41 @@ def _compressors(model: LanguageModel) -> list:
     return _COMPRESSORS[key]
 
 
+def sizes(model: LanguageModel, data: bytes) -> np.ndarray:
+    """Bytes that each language's dictionary leaves of a text, summed over its segments."""
+    total = np.zeros(len(model.languages), np.int64)
+    for at in range(0, len(data), model.segment_bytes):
+        part = data[at : at + model.segment_bytes]
+        total += [len(c.compress(part)) for c in _compressors(model)]
+    return total
+
+
 def classify(model: LanguageModel, text: str) -> tuple[str, float, float, bool]:
     """Language, score, margin and rejection of one text that ``letters`` made.
 
-    Sizes are summed over all segments of the whole text.  Equal sizes go to the
-    language with more labels.  The score is the share of the best language when
-    each byte more halves the weight of the others; the margin is the bytes the
-    second takes beyond the best, as a share of the best.
+    Sizes are of the whole text.  Equal sizes go to the language with more
+    labels.  The score is the share of the best language when each byte more
+    halves the weight of the others; the margin is the bytes the second takes
+    beyond the best, as a share of the best.  A text is rejected when the margin
+    is under ``min_margin`` or no byte, whatever its length.
     """
     data = text.encode()
     if not data or not model.languages:
         return UNDETERMINED, 0.0, 0.0, True
-    sizes = np.zeros(len(model.languages), np.int64)
-    for at in range(0, len(data), model.segment_bytes):
-        part = data[at : at + model.segment_bytes]
-        sizes += [len(c.compress(part)) for c in _compressors(model)]
-    best = int(sizes.argmin())
-    over = sizes - sizes[best]
-    second = int(np.sort(over)[1]) if len(over) > 1 else int(sizes[best])
-    margin = second / float(sizes[best])
+    found = sizes(model, data)
+    best = int(found.argmin())
+    over = found - found[best]
+    second = int(np.sort(over)[1]) if len(over) > 1 else int(found[best])
+    margin = second / float(found[best])
     score = 1.0 / float(np.exp2(-np.minimum(over, 60)).sum())
-    return model.languages[best], score, margin, len(data) >= model.min_bytes and margin < model.min_margin
+    return model.languages[best], score, margin, second < 1 or margin < model.min_margin
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """Add lang_pred, score, margin and rejected to ``docs``.
+def judged(docs: DataFrame, model: LanguageModel, name: str, text: str = "text") -> DataFrame:
+    """Add one column ``name`` to ``docs``, a struct of what ``classify`` finds.
 
-    Null, empty and letterless texts are ``und`` with score 0 and are rejected;
-    so are long texts whose margin is narrow.  Columns of these names that
-    ``docs`` has are replaced; other columns, rows and repeated rows stay.
+    Null, empty and letterless texts are ``und`` with score 0 and are rejected.
+    Other columns, rows and repeated rows stay as they are.
     """
 
     small_batches(docs.sparkSession)
@@ -123,5 +133,15 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=[f.name for f in OUT])
 
-    found = docs.withColumn("_found", predict(letters(F.col(text))))
-    return found.withColumns({f.name: F.col("_found")[f.name] for f in OUT}).drop("_found")
+    return docs.withColumn(name, predict(letters(F.col(text))))
+
+
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """Add lang_pred, score, margin and rejected to ``docs``, as ``judged`` finds them.
+
+    Columns of these names that ``docs`` has are replaced; to keep them, use
+    ``judged``.
+    """
+    name = unused(docs, "found")
+    found = judged(docs, model, name, text)
+    return found.withColumns({f.name: F.col(name)[f.name] for f in OUT}).drop(name)

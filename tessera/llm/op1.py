@@ -9,8 +9,8 @@ from tessera.llm.tables import table
 
 
 def held_out() -> Column:
-    """Whether a document is in the held-out third."""
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    """Whether a document is in the held-out third; one without an id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
 def model_of(docs: DataFrame) -> LanguageModel:
