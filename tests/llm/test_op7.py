@@ -62,7 +62,8 @@ def test_schedule_covers_every_place():
     r = random.Random(2)
     for _ in range(50):
         totals = [r.randint(1, r.choice([3, 100, 20000])) for _ in range(r.randint(1, 30))]
-        s = Schedule(totals, 64)
+        weights = r.choice([None, [r.choice([0, 0.1, 1, 3]) for _ in totals]])
+        s = Schedule(totals, 64, weights)
         q = np.repeat(np.arange(len(totals)), [2 if t > 1 else 1 for t in totals])
         n = np.array([x for t in totals for x in ([t // 2, t - t // 2] if t > 1 else [t])])
         start = np.array([x for t in totals for x in ([0, t // 2] if t > 1 else [0])])
@@ -74,6 +75,39 @@ def test_schedule_covers_every_place():
             assert place == at
             at += k
         assert at == sum(totals)
+        # every slice of a phase serves each queue its part of 64 ids, to one id
+        for p in s.phases:
+            of = np.arange(len(totals))
+            for w in range(min(p.slices, 5)):
+                got = p.served(np.full(len(of), w + 1), of) - p.served(np.full(len(of), w), of)
+                assert all(abs(g - t / p.slices) < 1 for g, t in zip(got.tolist(), p.totals))
+
+
+def test_target_weights(spark):
+    docs = [(i, "the of and " * 400, "ab"[i % 2]) for i in range(60)] + [(100, "the " * 50, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    got = pack(df, PATH, weights={"a": 3, "b": 1}).collect()
+    seqs = check(docs, got)
+    source = {i: s for i, _, s in docs}
+    took = defaultdict(lambda: defaultdict(int))
+    for r in got:
+        took[r.sequence_id][source[r.doc_id]] += r.length
+    # a ends first, after 36,030 * 4 / 3 ids; then b alone, and last what has no weight
+    # the twelve slices of the first phase are that much shorter than a window
+    for seq in range(36_030 * 4 // 3 // 4096 - 1):
+        assert abs(took[seq]["a"] - 3072) <= 4096 / 12 + 2 and abs(took[seq]["b"] - 1024) <= 4096 / 12 + 2
+    assert took[max(seqs)][None] > 0 and sum(x[None] for x in took.values()) == 51
+
+
+def test_more_sources_than_a_window_has_ids(spark):
+    docs = [(i, "x", f"s{i}") for i in range(6000)] + [(9000 + i, "the of and " * 2000, "big") for i in range(8)]
+    got = pack(spark.createDataFrame(docs, "doc_id long, text string, source string"), PATH).collect()
+    check(docs, got)
+    share = 8 * 6001 / (8 * 6001 + 12000)
+    took = defaultdict(int)
+    for r in got:
+        took[r.sequence_id] += r.length * (r.doc_id >= 9000)
+    assert all(abs(took[i] - 4096 * share) <= 1100 * 2 for i in range((8 * 6001 + 12000) // 4096))
 
 
 def test_encoder_equals_library_and_shrinks():
