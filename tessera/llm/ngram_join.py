@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.arrow import slices, small_batches
 from tessera.llm.shingles import frequency_levels, id_filter, maybe_in, shingle_sets
+from tessera.llm.small import small
 from tessera.operators.components import connected_components
 from tessera.runtime import materialize
 
@@ -176,17 +177,30 @@ def _block_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
     return pairs.groupBy("cluster", "lo", "hi").applyInArrow(lambda t: _verify_block(t, num, den), "u long, v long")
 
 
+def _repeated(info: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) from each doc_id that has several texts to their classes."""
+    key = ["d1", "d2", "n"]
+    one = F.struct(*key)
+    several = info.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(one).alias("a"), F.max(one).alias("b")).filter("a <> b").select("doc_id")
+    several = materialize(several, "ngram-several")
+    rows = info.join(small(several, several), "doc_id").select("doc_id", *key).distinct()
+    return rows.join(classes, key).select(F.col("doc_id").alias("u"), F.col("cid").alias("v"))
+
+
 def ngram_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bits: int = 22) -> DataFrame:
     """Size of the shingle set and component of each of ``docs`` (doc_id, text).
 
     Two texts link when the ``n``-word shingles that both have are ``num`` of
-    ``den`` parts of those that either has, or more, exactly.  Texts of fewer
-    words are one shingle; texts without words, empty or null, link with
-    nothing.  Equal sets are one class from the start and stay linked; no pair
-    is left out, whatever the number of partners.  Rows that repeat a doc_id are
-    one node and each keep a row.  Other columns play no part; an empty table
-    gives none.  ``bits`` sets the slots of the frequency summary, which only
-    orders shingles.
+    ``den`` parts of those that either has, or more, exactly but for shingles of
+    equal 64-bit hashes.  Texts of fewer words are one shingle; texts without
+    words, empty or null, link with nothing and stand alone.  Equal sets are one
+    class from the start and stay linked; no pair is left out, whatever the
+    number of partners.  Rows that repeat a doc_id are one node: their texts'
+    classes are linked, and each row is kept.  Rows without a doc_id link with
+    nothing and have a null component.  Other columns play no part; an empty
+    table gives none.  ``bits`` sets the slots of the frequency summary, which
+    only orders shingles.  The suffix filter compares the sets' histograms over
+    equal ranges of the hash, a bound that never drops a pair that links.
 
     Returns doc_id, n_shingles and component_id, the smallest doc_id reached.
     """
@@ -212,6 +226,8 @@ def ngram_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bit
     united = F.size("ia") + F.size("ib") - common
     links = pairs.join(sided("a"), "a").join(sided("b"), "b").filter(common * den >= united * num).select(F.col("a").alias("u"), F.col("b").alias("v"))
     links = links.union(_block_links(members, sets, num, den))
-    groups = connected_components(materialize(links, "ngram-links"))
+    groups = connected_components(materialize(links.union(_repeated(info, classes)), "ngram-links"))
     named = classes.join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").select(*key, F.coalesce("component", "cid").alias("component"))
-    return info.select("doc_id", *key).join(named, key, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    found = info.select("doc_id", *key).join(named, key, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

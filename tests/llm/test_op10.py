@@ -80,6 +80,13 @@ def test_empty_single_and_repeats(spark):
     assert ngram_groups(df.limit(0), bits=16).count() == 0
 
 
+def test_one_id_in_several_texts(spark):
+    x, y, z = "a b c d e f", "g h i j k l", "m n o p"
+    df = spark.createDataFrame([(3, x), (5, x), (5, y), (9, y), (7, z), (5, ""), (None, y), (None, x)], "doc_id long, text string")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_groups(df, 3, 90, 100, bits=16).collect()]
+    assert sorted(got, key=str) == sorted([(3, 4, 3), (5, 4, 3), (5, 4, 3), (9, 4, 3), (7, 2, 7), (5, 0, 5), (None, 4, None), (None, 4, None)], key=str)
+
+
 def test_shingle_sets_and_filter(spark):
     for n in (1, 3, 5):
         texts = ["a b c a b c", "a B c", "x", "", None, "a b c d"]
