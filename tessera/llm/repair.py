@@ -1,14 +1,14 @@
 """Shards of token ids under a Re-Pair grammar.
 
 A shard holds the ids of consecutive documents.  Frequent pairs of neighbours
-within a document become nonterminals, round by round, until none is left; rules and the lengths of
-their expansions are stored, so that one document can be decoded, or a place in
-it found, without the rest of the shard.
-
-Layout, all little-endian: the magic ``RPG1``; long counts of documents, rules
-and symbols and the first nonterminal; rules as pairs of uint32; expansion
-lengths as uint32; document ends in symbols as int64; document lengths in ids as
-int64; symbols as uint32.
+within a document become nonterminals, round by round, until none is left; rules
+and the lengths of their expansions are stored, so that one document can be
+decoded, or a place in it found, without the rest of the shard.
+
+Layout, all little-endian: the magic ``RPG2``; long counts of documents, rules
+and symbols, the first nonterminal and the bytes of a symbol, 2 where all are
+below 2**16 and else 4; rules as pairs of symbols; expansion lengths as uint32;
+document ends in symbols as int64; document lengths in ids as int64; symbols.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import struct
 
 import numpy as np
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 
 
 def compress(ids: np.ndarray, doc_lens: np.ndarray, first: int, rules_per_round: int = 1 << 14, least: int = 8) -> bytes:
@@ -72,9 +72,10 @@ def compress(ids: np.ndarray, doc_lens: np.ndarray, first: int, rules_per_round:
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
     lengths = _lengths(rules, first)
-    head = struct.pack("<4q", len(doc_lens), len(rules), len(seq), first)
+    width = 2 if first + len(rules) <= 1 << 16 else 4
+    head = struct.pack("<5q", len(doc_lens), len(rules), len(seq), first, width)
     ends = np.flatnonzero(last) + 1
-    return b"".join([MAGIC, head, np.array(rules, "<u4").tobytes(), lengths.astype("<u4").tobytes(), ends.astype("<i8").tobytes(), np.asarray(doc_lens).astype("<i8").tobytes(), seq.astype("<u4").tobytes()])
+    return b"".join([MAGIC, head, np.array(rules, f"<u{width}").tobytes(), lengths.astype("<u4").tobytes(), ends.astype("<i8").tobytes(), np.asarray(doc_lens).astype("<i8").tobytes(), seq.astype(f"<u{width}").tobytes()])
 
 
 def _apart(pairs: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
@@ -106,8 +107,8 @@ class Shard:
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a shard")
-        docs, rules, symbols, self.first = struct.unpack_from("<4q", data, 4)
-        at = 36
+        docs, rules, symbols, self.first, width = struct.unpack_from("<5q", data, 4)
+        at = 44
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -115,10 +116,10 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.rules = take("<u4", 2 * rules).reshape(-1, 2)
+        self.rules = take(f"<u{width}", 2 * rules).astype(np.uint32).reshape(-1, 2)
         self.rule_lengths = take("<u4", rules)
         self.ends, self.doc_lens = take("<i8", docs), take("<i8", docs)
-        self.symbols = take("<u4", symbols)
+        self.symbols = take(f"<u{width}", symbols).astype(np.uint32)
         self._parts: list[np.ndarray] = []
         for a, b in self.rules.tolist():
             self._parts.append(np.concatenate([self._part(a), self._part(b)]))

@@ -15,10 +15,8 @@ from tessera.llm.repair import Shard, compress
 from tessera.llm.small import small
 from tessera.llm.tokenizer import encoder
 
-#: Ids after which a shard is closed; a longer document has a shard of its own.
+#: Ids after which a shard is closed, at the end of a document.
 SHARD_TOKENS = 1 << 19
-#: Nonterminals begin here, above the ids of the vocabulary.
-FIRST_NONTERMINAL = 1 << 16
 SHARDS = "part long, shard long, base long, n_tokens long, doc_ids array<long>, data binary"
 
 
@@ -37,7 +35,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int =
         count = base = shard = 0
 
         def close() -> pa.RecordBatch:
-            data = compress(np.concatenate(held), np.concatenate(lens), FIRST_NONTERMINAL)
+            data = compress(np.concatenate(held), np.concatenate(lens), enc.size)
             row = [[part], [shard], [base], [count], [held_ids], [data]]
             kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["part", "shard", "base", "n_tokens", "doc_ids", "data"])

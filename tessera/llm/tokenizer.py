@@ -164,6 +164,8 @@ class WordEncoder:
         if steps != (NORMALIZERS, SPLITTERS) or any(model.get(k) != v for k, v in plain.items()):
             raise ValueError(f"{path} doesn't split or merge words as this encoder does")
         self._tok = Tokenizer.from_file(path)
+        #: All ids are below this.
+        self.size = max(self._tok.get_vocab(with_added_tokens=True).values()) + 1
         self._merges = Merges(model["vocab"], model["merges"])
         self._bits = max(1, (slots // WAYS).bit_length() - 1)
         self._clear()

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 from tessera.llm import op9
 from tessera.llm.repair import Shard, compress
 from tessera.llm.token_files import read_shards, write_shards
+from tessera.llm.tokenizer import WordEncoder
 from tessera.runtime import new_path
 
 SF = "/root/testdata/sf0.01"
@@ -81,3 +82,16 @@ def test_none_left_in_few_rules_a_round(docs, rules, least):
     ids, lens = np.concatenate([np.array(d) for d in docs]).astype(np.uint32), np.array([len(d) for d in docs])
     shard = Shard(compress(ids, lens, 100, rules_per_round=rules, least=least))
     assert left_over(shard) < least and shard.all().tolist() == ids.tolist()
+
+
+def test_shards_of_documents_are_small(spark):
+    enc = WordEncoder(PATH)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").select("text").collect()]
+    ids, lens = enc.encode_with_end(texts)
+    data = compress(ids, lens, enc.size)
+    shard = Shard(data)
+    assert (shard.all() == ids).all() and left_over(shard) < 8
+    # under nine tenths of two bytes an id, rules, lengths and ends included
+    assert len(data) < 0.9 * 2 * len(ids)
+    wide = compress(ids, lens, 1 << 16)
+    assert (Shard(wide).all() == ids).all() and len(wide) > 1.8 * len(data)
