@@ -2,13 +2,17 @@
 
 A source takes complete epochs of its documents first.  What remains of its
 target goes to the documents with the smallest exponential keys, -ln(u) / weight,
-up to the remaining words.  The prefix sums run over key buckets, a fixed number
-per source, and inside one bucket per source only, so that no source is sorted
-in one task.
+up to the remaining words.  The prefix sums run over key buckets, first of equal
+ratio, then of equal width within the one that holds the last selected document,
+and inside one of those per source only, so that no source is sorted in one task
+whatever the weights.  Weights are the quality of the documents, a naive Bayes
+score over binned features that labelled documents teach.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessera.llm.small import small
@@ -17,8 +21,10 @@ from tessera.runtime import materialize
 #: A word, and the weights of the sources in name order, repeated.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
-#: Key buckets of a source; the boundary bucket alone is sorted.
-BUCKETS = 4096
+#: Key buckets of a doubling of the key, and parts of the one at the boundary.
+LEVELS, STEPS = 64, 4096
+#: Bins of a quality feature, and the smallest weight.
+BINS, LEAST = 16, 0.05
 
 
 def words(text: Column) -> Column:
@@ -26,11 +32,38 @@ def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def quality(text: Column) -> Column:
-    """Weight in (0, 1] by the share of characters that aren't marks of junk."""
+def features(text: Column) -> list[Column]:
+    """Bins of a text: shares of letters, of odd marks, of distinct words, of stops, and mean word length."""
     body = F.coalesce(text, F.lit(""))
-    share = F.length(F.translate(body, "*&%$#!|<>{}", "")) / F.greatest(F.length(body), F.lit(1))
-    return F.greatest(F.lit(0.05), F.pow(share, F.lit(4.0)))
+    size = F.greatest(F.length(body), F.lit(1))
+    parts = F.split(F.trim(F.regexp_replace(body, r"[\x20\x09-\x0D]+", " ")), " ")
+    count = F.greatest(F.size(parts), F.lit(1))
+    without = lambda marks: F.length(body) - F.length(F.translate(body, marks, ""))
+    letters = F.length(F.regexp_replace(body, r"[^\p{L}]+", ""))
+    shares = [letters / size, 1 - F.exp(-20 * without("*&%$#!|<>{}") / size), F.size(F.array_distinct(parts)) / count, without(".?!") / count, F.length(body) / count / 20]
+    return [F.least(F.floor(x * BINS), F.lit(BINS - 1)).cast("int") for x in shares]
+
+
+def quality(docs: DataFrame, labels: DataFrame) -> Column:
+    """Weight in [0.05, 1] of the texts of ``docs`` (doc_id, text), taught by ``labels`` (doc_id, quality).
+
+    The weight is the probability of quality 1 by the counts of the labelled
+    documents in each feature's bins, one added to each.  All labelled documents
+    of ``docs`` teach; a doc_id with several labels has the smallest.  Null
+    labels and ids teach nothing; without documents of both labels all weights
+    are 1.  The driver holds the bins.
+    """
+    said = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    known = docs.select("doc_id", "text").join(said, "doc_id").select((F.col("quality") > 0).alias("good"), F.posexplode(F.array(*features(F.col("text")))).alias("feature", "bin"))
+    seen = {(r["feature"], r["bin"], r["good"]): r["n"] for r in known.groupBy("feature", "bin", "good").agg(F.count("*").alias("n")).collect()}
+    total = {g: sum(n for (f, _, x), n in seen.items() if f == 0 and x is g) for g in (True, False)}
+    if not all(total.values()):
+        return F.lit(1.0)
+    odds = F.lit(math.log(total[True] / total[False]))
+    for f, bin_ in enumerate(features(F.col("text"))):
+        logs = [math.log((seen.get((f, b, True), 0) + 1) / (total[True] + BINS)) - math.log((seen.get((f, b, False), 0) + 1) / (total[False] + BINS)) for b in range(BINS)]
+        odds = odds + F.get(F.array(*[F.lit(x) for x in logs]), bin_)
+    return F.greatest(F.lit(LEAST), 1 / (1 + F.exp(-odds)))
 
 
 def drawn_key(ident: Column, weight: Column, seed: str) -> Column:
@@ -39,8 +72,10 @@ def drawn_key(ident: Column, weight: Column, seed: str) -> Column:
     return -F.log(u) / weight
 
 
-def _bucket(key: Column) -> Column:
-    return F.least(F.floor((1 - F.exp(-key)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+def _place(key: Column) -> tuple[Column, Column]:
+    """Level and step of a key; both together rise with the key."""
+    x = F.log2(key) * LEVELS
+    return F.floor(x).cast("int"), F.floor((x - F.floor(x)) * STEPS).cast("int")
 
 
 def targets(sizes: DataFrame, share: float, most: float) -> DataFrame:
@@ -76,52 +111,68 @@ def cutoffs(drawn: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFram
     aims = targets(sizes, share, most)
     aims = aims.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     aims = materialize(aims.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-aims")
-    by_bucket = drawn.groupBy("source", _bucket(F.col("key")).alias("bucket")).agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before")
-    ordered = by_bucket.select("source", "bucket", "words", before)
+    level, step = _place(F.col("key"))
+    drawn = drawn.select("source", "size", "key", F.coalesce(F.col("ident").cast("string"), F.lit("")).alias("ident"), level.alias("level"), step.alias("step"))
     same = F.col("o.source").eqNullSafe(F.col("a.source"))
-    # the last bucket that begins within the words that remain
-    edge = ordered.alias("o").join(small(aims.alias("a"), aims), same).filter("before < rest").groupBy("o.source").agg(F.max(F.struct("bucket", "before", "rest")).alias("e")).select("source", F.col("e.bucket").alias("bucket"), F.col("e.before").alias("before"), F.col("e.rest").alias("rest"))
-    edge = materialize(edge, "mix-edge")
-    inside = drawn.withColumn("bucket", _bucket(F.col("key"))).alias("d").join(small(edge.alias("e"), edge), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.bucket") == F.col("e.bucket"))).select("d.source", "key", F.coalesce(F.col("ident").cast("string"), F.lit("")).alias("ident"), "size", "before", "rest")
+
+    def edge(rows: DataFrame, start: DataFrame, by: str) -> DataFrame:
+        """The last of the buckets ``by`` that begins within the words that remain."""
+        sums = rows.groupBy("source", by).agg(F.sum("size").alias("words"))
+        before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        met = sums.select("source", by, before.alias("before")).alias("o").join(small(start.alias("a"), start), same).withColumn("first", F.col("o.before") + F.col("a.base"))
+        kept = [c for c in start.columns if c not in ("source", "base")]
+        return met.filter("first < rest").groupBy("a.source", *[f"a.{c}" for c in kept]).agg(F.max(F.struct(F.col(f"o.{by}").alias("at"), F.col("first"))).alias("e")).select("source", *kept, F.col("e.at").alias(by), F.col("e.first").alias("base"))
+
+    levels = materialize(edge(drawn, aims.select("source", "rest", F.lit(0).cast("long").alias("base")), "level"), "mix-levels")
+    inside = drawn.alias("d").join(small(levels.alias("a"), levels), F.col("d.source").eqNullSafe(F.col("a.source")) & (F.col("d.level") == F.col("a.level")))
+    inside = materialize(inside.select("d.*"), "mix-inside")
+    steps = materialize(edge(inside, levels, "step"), "mix-steps")
+    last = inside.alias("d").join(small(steps.alias("a"), steps), F.col("d.source").eqNullSafe(F.col("a.source")) & (F.col("d.step") == F.col("a.step"))).select("d.source", "key", "ident", "size", "base", "rest")
     at = W.partitionBy("source").orderBy("key", "ident", "size").rowsBetween(W.unboundedPreceding, -1)
-    reach = F.col("before") + F.coalesce(F.sum("size").over(at), F.lit(0)) + F.col("size") / 2
-    cut = inside.withColumn("in", reach <= F.col("rest")).groupBy("source").agg(F.max(F.when(F.col("in"), F.struct("key", "ident", "size"))).alias("cut"))
-    # where the boundary bucket selects none, all buckets before it are in
-    cut = cut.alias("c").join(edge.alias("e"), F.col("c.source").eqNullSafe(F.col("e.source"))).select("e.source", "cut", "e.bucket")
-    return materialize(aims.alias("a").join(cut.alias("c"), F.col("a.source").eqNullSafe(F.col("c.source")), "left").select("a.source", "source_size", "target", "epochs", "cut", "bucket"), "mix-cut")
+    reach = F.col("base") + F.coalesce(F.sum("size").over(at), F.lit(0)) + F.col("size") / 2
+    cut = last.withColumn("in", reach <= F.col("rest")).groupBy("source").agg(F.max(F.when(F.col("in"), F.struct("key", "ident", "size"))).alias("cut"))
+    # where the last bucket selects none, all buckets before it are in
+    cut = cut.alias("c").join(steps.alias("e"), F.col("c.source").eqNullSafe(F.col("e.source"))).select("e.source", "cut", "e.level", "e.step")
+    return materialize(aims.alias("a").join(cut.alias("c"), F.col("a.source").eqNullSafe(F.col("c.source")), "left").select("a.source", "source_size", "target", "epochs", "cut", "level", "step"), "mix-cut")
 
 
 def copies(key: Column, ident: Column, size: Column) -> Column:
     """How often a document is taken, beside the columns of ``cutoffs``."""
-    bucket = _bucket(key)
+    place, edge = F.struct(*_place(key)), F.struct("c.level", "c.step")
     here = F.struct(key.alias("key"), F.coalesce(ident.cast("string"), F.lit("")).alias("ident"), size.alias("size"))
-    inside = F.coalesce((bucket < F.col("bucket")) | ((bucket == F.col("bucket")) & F.coalesce(here <= F.col("cut"), F.lit(False))), F.lit(False))
-    return F.coalesce(F.col("epochs"), F.lit(0)) + F.when(inside, 1).otherwise(0)
+    inside = F.col("c.level").isNotNull() & ((place < edge) | ((place == edge) & F.coalesce(here <= F.col("c.cut"), F.lit(False))))
+    return F.coalesce(F.col("c.epochs"), F.lit(0)) + F.when(inside, 1).otherwise(0)
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+def _drawn(docs: DataFrame, weight: Column | None, seed: str) -> tuple[Column, Column]:
+    return words(F.col("text")), drawn_key(F.col("doc_id"), F.lit(1.0) if weight is None else weight, seed)
+
+
+def mix(docs: DataFrame, weight: Column | None = None, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """Take ``docs`` (doc_id, text, source) to the targets of their sources.
 
-    Returns doc_id, source, size, source_size, target, copies and taken, one row
-    per row.  Null texts and texts without words have size 0 and take nothing; a
-    null source is a source of its own, the last; rows that repeat an id are
-    drawn together.  Other columns play no part; an empty table gives none.
+    ``weight``, as ``quality`` gives it, is the weight of a document among those
+    of its source, 1 by default.  Returns doc_id, source, size, source_size,
+    target, copies and taken, one row per row.  Null texts and texts without
+    words have size 0 and take nothing; a null source is a source of its own, the
+    last; rows that repeat an id are drawn together.  Other columns play no part;
+    an empty table gives none.
     """
-    body = F.col("text")
-    drawn = docs.select(F.col("doc_id").alias("ident"), "source", words(body).alias("size"), drawn_key(F.col("doc_id"), quality(body), seed).alias("key"))
-    drawn = materialize(drawn, "mix-drawn")
+    size, key = _drawn(docs, weight, seed)
+    drawn = materialize(docs.select(F.col("doc_id").alias("ident"), "source", size.alias("size"), key.alias("key")), "mix-drawn")
     cut = cutoffs(drawn, share, most)
     joined = drawn.alias("d").join(small(cut.alias("c"), cut), F.col("d.source").eqNullSafe(F.col("c.source")))
-    out = joined.withColumn("copies", copies(F.col("key"), F.col("ident"), F.col("size")))
+    out = joined.withColumn("copies", copies(F.col("d.key"), F.col("d.ident"), F.col("d.size")))
     return out.select(F.col("ident").alias("doc_id"), "d.source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def repeated(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+def repeated(docs: DataFrame, weight: Column | None = None, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """``docs`` with each row as often as ``mix`` takes it, columns unchanged."""
-    size, key = words(F.col("text")), drawn_key(F.col("doc_id"), quality(F.col("text")), seed)
+    size, key = _drawn(docs, weight, seed)
     drawn = materialize(docs.select(F.col("doc_id").alias("ident"), "source", size.alias("size"), key.alias("key")), "mix-drawn")
     cut = cutoffs(drawn, share, most)
-    joined = docs.withColumn("_size", size).withColumn("_key", key).alias("d").join(small(cut.alias("c"), cut), F.col("d.source").eqNullSafe(F.col("c.source")))
-    times = joined.withColumn("_copies", copies(F.col("_key"), F.col("d.doc_id"), F.col("_size")))
-    return times.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"d.{c}") for c in docs.columns])
+    # the rows lie in a struct, so none of their names meets one of the columns here
+    rows = docs.select(F.struct("*").alias("row"), size.alias("row_size"), key.alias("row_key"))
+    joined = rows.join(small(cut.alias("c"), cut), F.col("row.source").eqNullSafe(F.col("c.source")))
+    times = joined.select("row", F.explode(F.array_repeat(F.lit(1), copies(F.col("row_key"), F.col("row.doc_id"), F.col("row_size")).cast("int"))).alias("copy"))
+    return times.select("row.*")

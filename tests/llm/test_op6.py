@@ -6,7 +6,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from tessera.llm import op6
-from tessera.llm.mixing import mix, repeated
+from tessera.llm.mixing import drawn_key, mix, quality, repeated, words
 
 SF = "/root/testdata/sf0.01"
 
@@ -55,12 +55,12 @@ def test_small_tables(spark):
     r = random.Random(5)
     for n in (1, 2, 30, 300):
         docs = [(i, None if r.random() < 0.1 else " ".join("w" * r.randint(1, 3) for _ in range(r.randint(0, 60))), r.choice(["b", "a", None, "é", "\U00010000", "￰", "hot", "hot", "hot"])) for i in range(n)]
-        df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumns({"size": F.lit("x"), "key": F.lit(1), "extra": F.lit(2)})
+        df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumns({"size": F.lit("x"), "key": F.lit(1), "extra": F.lit(2), "bucket": F.lit(3), "cut": F.lit(4), "epochs": F.lit(5), "row": F.lit(6), "level": F.lit(7), "c": F.lit(8)})
         got = mix(df).collect()
         check(docs, got)
         times = {r.doc_id: r.copies for r in got}
         rows = repeated(df).collect()
-        assert sorted(r.doc_id for r in rows) == sorted(i for i, k in times.items() for _ in range(k)) and all(r.extra == 2 for r in rows)
+        assert sorted(r.doc_id for r in rows) == sorted(i for i, k in times.items() for _ in range(k)) and all((r.extra, r.bucket, r.cut, r.epochs, r.row, r.level, r.c) == (2, 3, 4, 5, 6, 7, 8) for r in rows)
     assert mix(df.limit(0)).count() == 0
 
 
@@ -68,3 +68,30 @@ def test_ties_and_repeats(spark):
     df = spark.createDataFrame([(1, "a b c", "x")] * 6 + [(None, "a b", "x"), (2, "long " * 200_000, "y")], "doc_id long, text string, source string")
     got = mix(df).collect()
     assert len(got) == 8 and all(r.taken <= 2 * r.size for r in got) and sum(r.size for r in got) == 200_020
+
+
+def test_selection_matches_sorted_keys(spark):
+    r = random.Random(8)
+    docs = [(i, "w " * r.randint(0, 30), r.choice(["a", "b", "hot", "hot"])) for i in range(2000)]
+    weight = F.when(F.col("doc_id") % 3 == 0, 0.05).otherwise(1.0)
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    keys = {x.doc_id: (x.key, str(x.doc_id), x.size) for x in df.select("doc_id", drawn_key(F.col("doc_id"), weight, "mix").alias("key"), words(F.col("text")).alias("size")).collect()}
+    got = {x.doc_id: x for x in mix(df, weight).collect()}
+    sizes = {s: sum(keys[i][2] for i, _, x in docs if x == s) for s in ("a", "b", "hot")}
+    for s, aim in brute_targets(sizes).items():
+        epochs = int(aim // sizes[s])
+        rest, at = aim - epochs * sizes[s], 0
+        for k in sorted(keys[i] for i, _, x in docs if x == s):
+            # what begins within the rest is in while its middle is
+            assert got[int(k[1])].copies == epochs + (at + k[2] / 2 <= rest and at < rest), (s, k)
+            at += k[2]
+
+
+def test_quality_follows_labels(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").select("quality", quality(docs, labels).alias("w")).collect()
+    good, bad = [x.w for x in rows if x.quality == 1], [x.w for x in rows if x.quality == 0]
+    above = sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+    assert above > 0.9 and all(0.05 <= x.w <= 1 for x in rows)
+    assert {x[0] for x in docs.select(quality(docs, labels.filter("quality = 1"))).collect()} == {1.0}
+    assert {x[0] for x in docs.select(quality(docs, labels.limit(0))).collect()} == {1.0}
