@@ -10,43 +10,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import op1, op7
-from tessera.llm.language import identify
-from tessera.llm.mixing import repeated
+from tessera.llm.language import judged
+from tessera.llm.mixing import quality, repeated
 from tessera.llm.ngram_join import ngram_groups
 from tessera.llm.packing import pack
 from tessera.llm.pii import mask
 from tessera.llm.small import small
-from tessera.llm.tables import table
+from tessera.llm.tables import table, unused
 from tessera.runtime import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or with a narrow margin in a long text, go."""
-    return identify(docs, op1.model_of(docs)).filter(~F.col("rejected")).select(*docs.columns)
+    """Documents without a language, or with a narrow margin, go.
+
+    Null, empty and letterless texts have no language.  Rows are judged one by
+    one, so repeated rows, null ids and columns of any name stay as they are; an
+    empty table gives none.
+    """
+    verdict = unused(docs, "verdict")
+    return judged(docs, op1.model_of(docs), verdict).filter(~F.col(verdict)["rejected"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that five-word shingles link at 0.8, the smallest doc_id stays.
 
-    A document without words has no links and stays.
+    A document without words, or without an id, has no links and stays.  Rows
+    that repeat an id are one document: all of them stay or go.  Columns of any
+    name stay; an empty table gives none.
     """
-    groups = materialize(ngram_groups(docs, n=5, num=80, den=100).filter("component_id <> doc_id").select("doc_id").distinct(), "pipeline-copies")
-    return docs.join(small(groups), "doc_id", "left_anti").select(*docs.columns)
+    copies = ngram_groups(docs, n=5, num=80, den=100).filter("component_id <> doc_id").select(F.col("doc_id").alias("copy")).distinct()
+    copies = small(materialize(copies, "pipeline-copies"))
+    mine = docs.select(F.struct("*").alias("d"))
+    return mine.join(copies, F.col("d.doc_id") == F.col("copy"), "left_anti").select("d.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind; n_chars follows."""
+    """Personal data in the texts is replaced by its kind; n_chars follows.
+
+    A null text stays null with the n_chars it had; rows, repeated rows, null
+    ids and columns of any name stay; an empty table gives none.
+    """
     out = mask(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix of their sources takes them."""
-    return repeated(docs)
+    """Documents come as often as the mix of their sources takes them.
+
+    Labelled documents teach the weights.  Texts without words are size 0 and come once an epoch; a null source is a
+    source of its own; rows that repeat an id are drawn together.  Columns of
+    any name stay; an empty table gives none.
+    """
+    return repeated(docs, quality(docs, table(spark, sf_dir, "labels")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 4096 tokens."""
+    """Pieces of the documents in sequences of 4096 tokens.
+
+    A null text is the end id alone; a null source is a queue of its own; each
+    of repeated rows is packed; an empty table gives none.
+    """
     return pack(docs, op7.TOKENIZER, slots=1 << 20)
 
 
