@@ -73,8 +73,15 @@ def _kept(ended: Column, kind: str) -> Column:
 
 
 def _left(gap: Column) -> Column:
-    """The last two words before an identifier, in small letters."""
-    return F.lower(F.trim(F.regexp_extract(F.concat(F.lit(" "), F.right(gap, F.lit(48))), r"((?:\s\S+)?\s\S+)\s*$", 1)))
+    """The last two words before an identifier, in small letters, one space between.
+
+    The end of the text before it is enough where it holds two whole words.
+    """
+    end = F.concat(F.lit(" "), F.right(gap, F.lit(48)))
+    cut = (F.length(gap) > 48) & ~F.substring(end, 2, 48).rlike(r"\s\S+\s+\S+\s*$")
+    words = F.substring_index(F.rtrim(F.regexp_replace(gap, r"\s+", " ")), " ", -2)
+    short = F.regexp_extract(end, r"((?:\s\S+)?\s\S+)\s*$", 1)
+    return F.lower(F.trim(F.when(cut, words).otherwise(F.regexp_replace(short, r"\s+", " "))))
 
 
 def _digits(text: Column) -> Column:
@@ -216,9 +223,12 @@ def mask(docs: DataFrame, text: str = "text", ident: str = "doc_id", **settings)
     """
     spans, key = spans_of(docs, text, ident, **settings)
     cut = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    spans = spans.select(F.col(ident).alias("_ident"), F.col("text_hash").alias("_hash"), cut.alias("_cut")).filter(F.size("_cut") > 0).dropDuplicates(["_ident", "_hash"])
-    joined = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(spans, F.col(ident).eqNullSafe(F.col("_ident")) & (F.col("_h") == F.col("_hash")), "left")
-    body, size = F.col(text), F.length(F.col(text)).cast("long")
+    spans = spans.select(F.col(ident).alias("of"), "text_hash", cut.alias("cut")).filter(F.size("cut") > 0).dropDuplicates(["of", "text_hash"])
+    # the rows lie in a struct, so none of their names meets one of the columns here
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row_hash"))
+    joined = rows.join(spans, F.col("row")[ident].eqNullSafe(F.col("of")) & (F.col("row_hash") == F.col("text_hash")), "left")
+    body = F.col("row")[text]
+    size = F.length(body).cast("long")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
@@ -227,5 +237,6 @@ def mask(docs: DataFrame, text: str = "text", ident: str = "doc_id", **settings)
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["parts"], F.when(fresh, F.array(piece)).otherwise(F.array().cast("array<string>"))).alias("parts"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-    done = F.aggregate(F.col("_cut"), start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(body, (a["at"] + 1).cast("int"), size.cast("int"))))
-    return joined.withColumn(text, F.when(F.col("_cut").isNull(), body).otherwise(done)).select(*docs.columns)
+    done = F.aggregate(F.col("cut"), start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(body, (a["at"] + 1).cast("int"), size.cast("int"))))
+    masked = F.when(F.col("cut").isNull(), body).otherwise(done)
+    return joined.select(*[masked.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
