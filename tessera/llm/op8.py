@@ -1,49 +1,40 @@
 """op8: token totals of all documents after inserts, a revision and deletes.
 
-Version words-1 counts the words of a text; it is revised to runs without
-points and commas.  Version runs-2 counts those from the start.  Then all but
-the first of each group of equal texts are deleted from runs-2.
+Version word_bpe_49k counts the ids of a text and is revised to count the id at
+its end as well.  Version byte_bpe_50k counts the ids of another vocabulary; all
+but the first of each group of equal texts, the smallest doc_id, are deleted from
+it.  Null texts count as empty ones; without ids a group has no first, and all
+stay.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm.mixing import words
-from tessera.llm.rollups import Rollup, deletes, inserts, revisions
+from tessera.llm.rollups import Rollup, byte_counts, deletes, inserts, revisions, word_counts
+from tessera.llm.small import small
 from tessera.llm.tables import table
 from tessera.runtime import materialize, new_path
 
-RUN = r"[^\x20\x09-\x0D.,]+"
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs = table(spark, sf_dir, "documents")
-    counts = docs.select("doc_id", "source", "lang", words(text).alias("words"), F.regexp_count(text, F.lit(RUN)).cast("long").alias("runs"), F.sha2(text.cast("binary"), 256).alias("hash"))
-    counts = materialize(counts, "rollup-counts")
-    first = counts.groupBy("hash").agg(F.min("doc_id").alias("first"))
-    copies = counts.join(first, "hash").filter("doc_id <> first")
-    batches = {
-        "1": inserts(counts, "words-1", F.col("words")),
-        "2": inserts(counts, "runs-2", F.col("runs")),
-        "3": revisions(counts, "words-1", F.col("words"), F.col("runs")),
-        "4": deletes(copies, "runs-2", F.col("runs")),
-    }
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("hash"))
+    # two passes, so that a worker holds one vocabulary's tables at a time
+    counts = materialize(word_counts(docs, WORDS, "words").drop("text"), "rollup-words")
+    other = materialize(byte_counts(docs, BYTES, public_tokenizers.PATTERN, "bytes").drop("text"), "rollup-bytes")
+    # equal texts meet through a table of those texts only that come more than once
+    first = materialize(other.groupBy("hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null"), "rollup-first")
+    copies = other.join(small(first.select("hash", "first"), first), "hash").filter("not doc_id <=> first")
     rollup = Rollup(spark, new_path(spark, "rollup"))
-    for name, changes in batches.items():
-        rollup.commit(name, changes)
-    rollup.commit("2", batches["2"])  # a batch that comes twice counts once
+    n, m = F.col("words"), F.col("bytes")
+    rollup.commit("insert words", inserts(counts, "word_bpe_49k", n))
+    rollup.commit("insert bytes", inserts(other, "byte_bpe_50k", m))
+    rollup.compact()
+    rollup.commit("revise words", revisions(counts, "word_bpe_49k", n, n + 1))
+    rollup.commit("delete copies", deletes(copies, "byte_bpe_50k", m))
+    rollup.commit("insert bytes", inserts(other, "byte_bpe_50k", m))  # a batch that comes twice counts once
     return rollup.totals()
-
-
-ORACLE = r"""
-WITH c AS (
-  SELECT doc_id, source, lang, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D.,]+')) AS BIGINT) AS runs,
-         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
-), v AS (
-  SELECT source, lang, 'words-1' AS version, runs FROM c
-  UNION ALL SELECT source, lang, 'runs-2', runs FROM c WHERE doc_id = first
-)
-SELECT source, lang, version, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(runs) AS BIGINT) AS n_tokens FROM v GROUP BY ALL
-"""

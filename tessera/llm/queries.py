@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import op3, op4, op5, op8, op10
+from tessera.llm import op3, op4, op5, op10
 from tessera.llm.op1 import op1_language_id
 from tessera.llm.op2 import op2_pii
 from tessera.llm.op3 import op3_url_filter
@@ -15,4 +15,4 @@ from tessera.llm.op9 import op9_token_files
 from tessera.llm.op10 import op10_ngram_join
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_url_filter, op4_near_vectors, op5_top_k, op6_mix_sources, op7_pack, op8_token_rollup, op9_token_files, op10_ngram_join)}
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": op3.ORACLE, "op4_near_vectors": op4.ORACLE, "op5_top_k": op5.ORACLE, "op8_token_rollup": op8.ORACLE, "op10_ngram_join": op10.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": op3.ORACLE, "op4_near_vectors": op4.ORACLE, "op5_top_k": op5.ORACLE, "op10_ngram_join": op10.ORACLE}

@@ -1,19 +1,60 @@
-import duckdb
+import base64
+from collections import defaultdict
 
+import public_tokenizers
+import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessera.llm import op8
-from tessera.llm.rollups import Rollup, deletes, inserts, revisions
+from tessera.llm.rollups import Rollup, byte_counts, deletes, inserts, revisions, word_counts
 from tessera.runtime import new_path
 
 SF = "/root/testdata/sf0.01"
 
 
-def test_all_documents_match_sql(spark):
-    got = sorted(map(tuple, op8.op8_token_rollup(spark, SF).collect()))
-    con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
-    assert got == sorted(con.sql(op8.ORACLE).fetchall())
+def test_all_documents_match_brute_force(spark):
+    tok = Tokenizer.from_file(op8.WORDS)
+    with open(op8.BYTES, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = sorted(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "lang", "text").collect())
+    want, seen = defaultdict(lambda: [0, 0]), set()
+    for r in rows:
+        text = r.text or ""
+        pairs = [("word_bpe_49k", len(tok.encode(text, add_special_tokens=False).ids) + 1)]
+        if text not in seen:
+            pairs.append(("byte_bpe_50k", len(enc.encode_ordinary(text))))
+        seen.add(text)
+        for version, n in pairs:
+            want[r.source, r.lang, version][0] += 1
+            want[r.source, r.lang, version][1] += n
+    got = {tuple(r[:3]): list(r[3:]) for r in op8.op8_token_rollup(spark, SF).collect()}
+    assert got == dict(want)
+
+
+def test_compaction(spark):
+    rollup = Rollup(spark, new_path(spark, "test"))
+    docs = spark.createDataFrame([("a", "en", 5), ("b", None, 7)], "source string, lang string, n long")
+    rollup.compact()
+    for name in ("a/b=c", "x y", "é%"):
+        assert rollup.commit(name, inserts(docs, "v", F.col("n")))
+    before = sorted(map(tuple, rollup.totals().collect()), key=str)
+    rollup.compact()
+    rollup.compact()
+    assert rollup.batches() == sorted(["a/b=c", "x y", "é%"]) and sorted(map(tuple, rollup.totals().collect()), key=str) == before
+    assert not rollup.commit("x y", inserts(docs, "v", F.col("n"))) and rollup.commit("more", deletes(docs, "v", F.col("n")))
+    # a base without its mark doesn't count, and is written anew
+    docs.selectExpr("source", "lang", "'v' as version", "9L as n_docs", "9L as n_tokens").write.parquet(f"{rollup.path}/base=2/totals")
+    rollup.compact()
+    assert sorted((r.source, r.n_docs, r.n_tokens) for r in rollup.totals().collect()) == [("a", 2, 10), ("b", 2, 14)] and len(rollup.batches()) == 4
+
+
+def test_counts_of_odd_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "The <|endoftext|> é" * 3000)], "doc_id long, text string")
+    got = {r.doc_id: r.n for r in word_counts(docs, op8.WORDS, "n").collect()}
+    assert got == {1: 0, 2: 0, 3: len(Tokenizer.from_file(op8.WORDS).encode("The <|endoftext|> é" * 3000, add_special_tokens=False).ids)}
+    assert [r.n for r in byte_counts(docs.filter("doc_id < 3"), op8.BYTES, public_tokenizers.PATTERN, "n").collect()] == [0, 0]
 
 
 def test_batches_are_committed_once(spark):
