@@ -85,12 +85,21 @@ def fit(sample: np.ndarray, words: int, least: float, recall: float, seed: int =
     other -= (other * sample).sum(1, keepdims=True) * sample
     other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-12)
     a, b = index.distances(sample)
-    cost = (a[:, :, None] + b[:, None, :]).reshape(len(sample), -1)
     at = index.home(least * sample + np.sqrt(1 - least * least) * other)
-    rank = (cost < cost[np.arange(len(sample)), at][:, None]).sum(1)
+    away = a[np.arange(len(sample)), at // len(index.right)] + b[np.arange(len(sample)), at % len(index.right)]
+    # cells nearer than the partner's, counted from the sorted half of each vector
+    b = np.sort(b, axis=1)
+    rank = np.array([int(np.searchsorted(y, z - x, side="left").sum()) for x, y, z in zip(a, b, away)])
     return MultiIndex(index.left, index.right, int(np.quantile(rank, recall, method="higher")) + 1)
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in double precision; large components are scaled down first."""
+    rows = rows.astype(np.float64)
+    rows = rows / np.abs(rows).max(1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def _units(column: pa.Array, width: int) -> np.ndarray:
     """Unit vectors in double precision, shorter ones filled with zeros."""
     lens = np.diff(column.offsets.to_numpy())
@@ -100,14 +109,13 @@ def _units(column: pa.Array, width: int) -> np.ndarray:
     else:
         out = np.zeros((len(lens), width))
         out[np.arange(width) < lens[:, None]] = flat
-    out = out / np.abs(out).max(1, keepdims=True)
-    return out / np.linalg.norm(out, axis=1, keepdims=True)
+    return _unit(out)
 
 
-def _block(table: pa.Table, least: float) -> pa.Table:
+def _block(table: pa.Table, least: float, kind: str) -> pa.Table:
     """Links, and smallest ids reached, of the vectors of one block."""
     role, ids = table.column("role").to_numpy(), table.column("vec_id").to_numpy()
-    units = np.frombuffer(b"".join(table.column("unit").to_pylist()), "<f8").reshape(len(ids), -1)
+    units = _unit(np.frombuffer(b"".join(table.column("raw").to_pylist()), kind).reshape(len(ids), -1))
     home = table.column("home").to_numpy() == table.column("cell").to_numpy()
     m, p = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
     linked = units[p] @ units[m].T >= least
@@ -131,9 +139,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.9
     ``least`` at least.  Null labels and vectors that are null, empty, zero or
     hold null or non-finite components link with nothing.  Rows that repeat a
     vec_id are one vector, given by the smallest embedding.  Other columns play
-    no part; an empty table gives none.  Codebooks are fitted on about ``sample``
-    vectors and have as many words as give ``per_cell`` vectors of a label to a
-    cell, 256 at most.
+    no part; an empty table gives none.  Codebooks have as many words as give
+    ``per_cell`` vectors of a label to a cell and are fitted on about ``sample``
+    vectors, or 8 a word where that is more.
 
     Returns vec_id, n_links, component_id and kept, one row per vec_id.
     """
@@ -147,10 +155,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.9
     if not facts["n"]:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width = facts["width"]
+    words = int(max(2, 2 ** round(np.log2(max(1, facts["n"] / facts["labels"] / per_cell)) / 2)))
+    sample = max(sample, 8 * words)
     drawn = hash_sample(usable, "vec_id", facts["n"], sample).select("embedding").toArrow().column(0).combine_chunks()
     if not len(drawn):
         drawn = usable.limit(sample).select("embedding").toArrow().column(0).combine_chunks()
-    words = int(min(256, max(2, 2 ** round(np.log2(max(1, facts["n"] / facts["labels"] / per_cell)) / 2))))
+    exact = "<f4" if usable.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     index = fit(_units(drawn, width), words, least, recall)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,10 +172,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.9
                 home = a.argmin(1) * len(index.right) + b.argmin(1)
                 # cells above the own one only, so that one side of a pair looks for the other
                 probes = [[int(h), *(c for c in index.nearest(x, y, index.visits) if c > h)] for h, x, y in zip(home.tolist(), a, b)]
-                yield pa.RecordBatch.from_arrays([part.column("vec_id").cast(pa.int64()), part.column("label"), pa.array(np.diff(part.column("embedding").offsets.to_numpy()).astype(np.int32)), pa.array(home.astype(np.int32)), pa.array(probes, pa.list_(pa.int32())), pa.array([u.tobytes() for u in units], pa.binary())], names=["vec_id", "label", "width", "home", "probes", "unit"])
+                yield pa.RecordBatch.from_arrays([part.column("vec_id").cast(pa.int64()), part.column("label"), pa.array(np.diff(part.column("embedding").offsets.to_numpy()).astype(np.int32)), pa.array(home.astype(np.int32)), pa.array(probes, pa.list_(pa.int32())), pa.array([v.values.to_numpy(zero_copy_only=False).astype(exact).tobytes() for v in part.column("embedding")], pa.binary())], names=["vec_id", "label", "width", "home", "probes", "raw"])
 
     kind = usable.schema["label"].dataType.simpleString()
-    placed = materialize(usable.mapInArrow(assign, f"vec_id long, label {kind}, width int, home int, probes array<int>, unit binary"), "dup-placed")
+    placed = materialize(usable.mapInArrow(assign, f"vec_id long, label {kind}, width int, home int, probes array<int>, raw binary"), "dup-placed")
     key = ["label", "width", "cell"]
     looks = placed.select("vec_id", "label", "width", "home", F.explode("probes").alias("cell"))
     size = placed.groupBy("label", "width", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("m"))
@@ -175,12 +185,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.9
 
     def dealt(rows: DataFrame, role: int, own: str, other: str) -> DataFrame:
         mine = F.pmod(F.xxhash64("vec_id", F.lit(role)), F.col(own)).cast("int").alias(own)
-        return rows.join(cells, key).select(*key, "vec_id", "home", "unit", F.lit(role).alias("role"), mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)).select(*key, "m", "p", "role", "vec_id", "home", "unit")
+        return rows.join(cells, key).select(*key, "vec_id", "home", "raw", F.lit(role).alias("role"), mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)).select(*key, "m", "p", "role", "vec_id", "home", "raw")
 
     members = placed.withColumn("cell", F.col("home"))
-    probes = placed.select("vec_id", "label", "width", "home", "unit", F.explode("probes").alias("cell"))
+    probes = placed.select("vec_id", "label", "width", "home", "raw", F.explode("probes").alias("cell"))
     both = dealt(members, 0, "m", "p").unionAll(dealt(probes, 1, "p", "m"))
-    found = both.groupBy(*key, "m", "p").applyInArrow(lambda t: _block(t, least), "vec_id long, links long, low long")
+    found = both.groupBy(*key, "m", "p").applyInArrow(lambda t: _block(t, least, exact), "vec_id long, links long, low long")
     found = materialize(found, "dup-found")
     groups = connected_components(found.select("vec_id", "low"))
     links = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from tessera.llm import op2
-from tessera.llm.pii import mask, spans_of, written
+from tessera.llm.pii import find_base, mask, spans_of, written
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
@@ -114,8 +114,8 @@ def test_long_words_before_and_clashing_names(spark):
     assert mask(df).columns == df.columns and tuple(got[51][2:]) == (1, 2, 3, "h", 4, 5)
 
 
-@settings(max_examples=12, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(["0", "00", "25", "5", "255", "256", "1", "9", ".", ".", ".", "@", "a", "b-", "+", "-", " ", "(", ")", "4111111111111111", "é", "%"]), max_size=24).map("".join), min_size=30, max_size=60))
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["0", "00", "25", "5", "255", "256", "1", "9", ".", ".", ".", "@", "a", "b-", "+", "-", " ", "(", ")", "4111111111111111", "é", "%"]), max_size=24).map("".join), min_size=100, max_size=200))
 def test_base_spans_by_chance(spark, texts):
-    found = spans_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))[0].select("doc_id", written(F.col("base")).alias("s")).collect()
+    found = find_base(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", written(F.col("base")).alias("s")).collect()
     assert {r.doc_id: r.s for r in found} == {i: ",".join(f"{k}:{a}:{b}" for k, a, b in brute(t)) for i, t in enumerate(texts)}
