@@ -22,7 +22,7 @@ from tessera.llm.vectors import finite, hash_sample
 from tessera.runtime import materialize
 
 #: Entries of a leaf, and children of a routing page.
-PAGE, FANOUT = 64, 8
+PAGE, FANOUT = 512, 8
 #: Vectors of a shard, queries of a block, and groups in which queries meet roots.
 SHARD, BLOCK, ROOTS = 8192, 1024, 8
 FOUND = "query_id long, vec_id long, score long"
@@ -35,7 +35,7 @@ def _lifted(rows: np.ndarray, top: float) -> np.ndarray:
     return np.concatenate([rows.astype(np.float64), np.sqrt(np.maximum(top - norm, 0))[:, None]], axis=1)
 
 
-def build(ids: np.ndarray, rows: np.ndarray, shard: int, seed: int = 5) -> list[dict]:
+def build(ids: np.ndarray, rows: np.ndarray, shard: int, seed: int = 5, leaf: int = PAGE) -> list[dict]:
     """The pages of one tree; page 0 is the root."""
     rng = np.random.default_rng(seed)
     top = float((rows.astype(np.float64) ** 2).sum(1).max())
@@ -50,10 +50,10 @@ def build(ids: np.ndarray, rows: np.ndarray, shard: int, seed: int = 5) -> list[
         page = {"shard": shard, "page": len(pages), "parent": parent, "center": center.tobytes(), "radius": float(far.max()), "parent_dist": up, "top": top, "ids": None, "entries": None, "entry_dist": None}
         pages.append(page)
         # equal points can't be told apart, so they are cut by number
-        if len(mine) <= PAGE:
+        if len(mine) <= leaf:
             page |= {"ids": ids[mine].astype("<i8").tobytes(), "entries": rows[mine].astype("<i8").tobytes(), "entry_dist": far.tobytes()}
         elif far.max() == 0 or len(spread := np.unique(points[mine], axis=0)) <= 1:
-            work += [(mine[at : at + max(PAGE, -(-len(mine) // FANOUT))], page["page"]) for at in range(0, len(mine), max(PAGE, -(-len(mine) // FANOUT)))]
+            work += [(mine[at : at + max(leaf, -(-len(mine) // FANOUT))], page["page"]) for at in range(0, len(mine), max(leaf, -(-len(mine) // FANOUT)))]
         else:
             pivots = spread[rng.choice(len(spread), min(FANOUT, len(spread)), replace=False)]
             near = ((pivots**2).sum(1) - 2 * points[mine] @ pivots.T).argmin(1)

@@ -68,7 +68,7 @@ def test_shards_by_pivots(spark, monkeypatch):
 def test_tree_skips_distances():
     r = np.random.default_rng(1)
     rows = (r.normal(size=(40, 1, 3)) * 1000 + r.normal(size=(40, 50, 3)) * 10).reshape(-1, 3).astype(np.int64)
-    tree = MTree(build(np.arange(2000), rows, 0))
+    tree = MTree(build(np.arange(2000), rows, 0, leaf=64))
     for q in range(0, 2000, 97):
         want = sorted(((int(-(rows[q] @ rows[i])), i) for i in range(2000) if i != q))[:10]
         assert [(-s, i) for s, i in tree.search(q, rows[q], 10)] == want
