@@ -12,6 +12,7 @@ score over binned features that labelled documents teach.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -32,38 +33,41 @@ def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def features(text: Column) -> list[Column]:
-    """Bins of a text: shares of letters, of odd marks, of distinct words, of stops, and mean word length."""
+def features(text: Column) -> Column:
+    """Bins of a text: shares of odd marks, of distinct words, of stops and of spaces, and mean word length."""
     body = F.coalesce(text, F.lit(""))
     size = F.greatest(F.length(body), F.lit(1))
-    parts = F.split(F.trim(F.regexp_replace(body, r"[\x20\x09-\x0D]+", " ")), " ")
+    parts = F.split(body, r"[\x20\x09-\x0D]+")
     count = F.greatest(F.size(parts), F.lit(1))
     without = lambda marks: F.length(body) - F.length(F.translate(body, marks, ""))
-    letters = F.length(F.regexp_replace(body, r"[^\p{L}]+", ""))
-    shares = [letters / size, 1 - F.exp(-20 * without("*&%$#!|<>{}") / size), F.size(F.array_distinct(parts)) / count, without(".?!") / count, F.length(body) / count / 20]
-    return [F.least(F.floor(x * BINS), F.lit(BINS - 1)).cast("int") for x in shares]
+    shares = [1 - F.exp(-20 * without("*&%$#!|<>{}") / size), F.size(F.array_distinct(parts)) / count, without(".?!") / count, 2 * count / size, F.length(body) / count / 20]
+    return F.array(*[F.least(F.floor(x * BINS), F.lit(BINS - 1)).cast("int") for x in shares])
 
 
-def quality(docs: DataFrame, labels: DataFrame) -> Column:
-    """Weight in [0.05, 1] of the texts of ``docs`` (doc_id, text), taught by ``labels`` (doc_id, quality).
+def quality(binned: DataFrame, labels: DataFrame) -> Callable[[Column], Column]:
+    """Weights in [0.05, 1] of bins, taught by ``binned`` (doc_id, bins) and ``labels`` (doc_id, quality).
 
     The weight is the probability of quality 1 by the counts of the labelled
     documents in each feature's bins, one added to each.  All labelled documents
-    of ``docs`` teach; a doc_id with several labels has the smallest.  Null
-    labels and ids teach nothing; without documents of both labels all weights
-    are 1.  The driver holds the bins.
+    teach; a doc_id with several labels has the smallest.  Null labels and ids
+    teach nothing; without documents of both labels all weights are 1.  The
+    driver holds the bins.
     """
     said = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
-    known = docs.select("doc_id", "text").join(said, "doc_id").select((F.col("quality") > 0).alias("good"), F.posexplode(F.array(*features(F.col("text")))).alias("feature", "bin"))
+    known = binned.join(said, "doc_id").select((F.col("quality") > 0).alias("good"), F.posexplode("bins").alias("feature", "bin"))
     seen = {(r["feature"], r["bin"], r["good"]): r["n"] for r in known.groupBy("feature", "bin", "good").agg(F.count("*").alias("n")).collect()}
     total = {g: sum(n for (f, _, x), n in seen.items() if f == 0 and x is g) for g in (True, False)}
-    if not all(total.values()):
-        return F.lit(1.0)
-    odds = F.lit(math.log(total[True] / total[False]))
-    for f, bin_ in enumerate(features(F.col("text"))):
-        logs = [math.log((seen.get((f, b, True), 0) + 1) / (total[True] + BINS)) - math.log((seen.get((f, b, False), 0) + 1) / (total[False] + BINS)) for b in range(BINS)]
-        odds = odds + F.get(F.array(*[F.lit(x) for x in logs]), bin_)
-    return F.greatest(F.lit(LEAST), 1 / (1 + F.exp(-odds)))
+
+    def weight(bins: Column) -> Column:
+        if not all(total.values()):
+            return F.lit(1.0)
+        odds = F.lit(math.log(total[True] / total[False]))
+        for f in sorted({f for f, _, _ in seen}):
+            logs = [math.log((seen.get((f, b, True), 0) + 1) / (total[True] + BINS)) - math.log((seen.get((f, b, False), 0) + 1) / (total[False] + BINS)) for b in range(BINS)]
+            odds = odds + F.get(F.array(*[F.lit(x) for x in logs]), F.get(bins, F.lit(f)))
+        return F.greatest(F.lit(LEAST), 1 / (1 + F.exp(-odds)))
+
+    return weight
 
 
 def drawn_key(ident: Column, weight: Column, seed: str) -> Column:
@@ -144,35 +148,39 @@ def copies(key: Column, ident: Column, size: Column) -> Column:
     return F.coalesce(F.col("c.epochs"), F.lit(0)) + F.when(inside, 1).otherwise(0)
 
 
-def _drawn(docs: DataFrame, weight: Column | None, seed: str) -> tuple[Column, Column]:
-    return words(F.col("text")), drawn_key(F.col("doc_id"), F.lit(1.0) if weight is None else weight, seed)
+def _drawn(docs: DataFrame, labels: DataFrame | None, seed: str) -> tuple[DataFrame, Callable[[Column, Column], Column]]:
+    """ident, source, size and key of the rows of ``docs``, and the key of an id and bins."""
+    rows = docs.select(F.col("doc_id").alias("ident"), "source", words(F.col("text")).alias("size"), features(F.col("text")).alias("bins"))
+    rows = materialize(rows, "mix-drawn")
+    weight = (lambda bins: F.lit(1.0)) if labels is None else quality(rows.select(F.col("ident").alias("doc_id"), "bins"), labels)
+    key = lambda ident, bins: drawn_key(ident, weight(bins), seed)
+    return rows.select("ident", "source", "size", key(F.col("ident"), F.col("bins")).alias("key")), key
 
 
-def mix(docs: DataFrame, weight: Column | None = None, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame | None = None, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """Take ``docs`` (doc_id, text, source) to the targets of their sources.
 
-    ``weight``, as ``quality`` gives it, is the weight of a document among those
-    of its source, 1 by default.  Returns doc_id, source, size, source_size,
-    target, copies and taken, one row per row.  Null texts and texts without
+    ``labels`` teach the ``quality`` that weighs a document among those of its
+    source; without them all weigh 1.  Returns doc_id, source, size, source_size,
+    target, copies, taken and key, one row per row.  Null texts and texts without
     words have size 0 and take nothing; a null source is a source of its own, the
-    last; rows that repeat an id are drawn together.  Other columns play no part;
-    an empty table gives none.
+    last; rows that repeat an id are drawn by the same number.  Other columns
+    play no part; an empty table gives none.
     """
-    size, key = _drawn(docs, weight, seed)
-    drawn = materialize(docs.select(F.col("doc_id").alias("ident"), "source", size.alias("size"), key.alias("key")), "mix-drawn")
+    drawn, _ = _drawn(docs, labels, seed)
     cut = cutoffs(drawn, share, most)
     joined = drawn.alias("d").join(small(cut.alias("c"), cut), F.col("d.source").eqNullSafe(F.col("c.source")))
     out = joined.withColumn("copies", copies(F.col("d.key"), F.col("d.ident"), F.col("d.size")))
-    return out.select(F.col("ident").alias("doc_id"), "d.source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select(F.col("ident").alias("doc_id"), "d.source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "key")
 
 
-def repeated(docs: DataFrame, weight: Column | None = None, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+def repeated(docs: DataFrame, labels: DataFrame | None = None, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """``docs`` with each row as often as ``mix`` takes it, columns unchanged."""
-    size, key = _drawn(docs, weight, seed)
-    drawn = materialize(docs.select(F.col("doc_id").alias("ident"), "source", size.alias("size"), key.alias("key")), "mix-drawn")
+    drawn, key = _drawn(docs, labels, seed)
     cut = cutoffs(drawn, share, most)
     # the rows lie in a struct, so none of their names meets one of the columns here
-    rows = docs.select(F.struct("*").alias("row"), size.alias("row_size"), key.alias("row_key"))
+    bins = F.lit(None).cast("array<int>") if labels is None else features(F.col("text"))
+    rows = docs.select(F.struct("*").alias("row"), words(F.col("text")).alias("row_size"), bins.alias("row_bins"))
     joined = rows.join(small(cut.alias("c"), cut), F.col("row.source").eqNullSafe(F.col("c.source")))
-    times = joined.select("row", F.explode(F.array_repeat(F.lit(1), copies(F.col("row_key"), F.col("row.doc_id"), F.col("row_size")).cast("int"))).alias("copy"))
-    return times.select("row.*")
+    times = copies(key(F.col("row.doc_id"), F.col("row_bins")), F.col("row.doc_id"), F.col("row_size"))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("copy")).select("row.*")

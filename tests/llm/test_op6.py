@@ -6,7 +6,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from tessera.llm import op6
-from tessera.llm.mixing import drawn_key, mix, quality, repeated, words
+from tessera.llm.mixing import features, mix, quality, repeated
 
 SF = "/root/testdata/sf0.01"
 
@@ -72,26 +72,27 @@ def test_ties_and_repeats(spark):
 
 def test_selection_matches_sorted_keys(spark):
     r = random.Random(8)
-    docs = [(i, "w " * r.randint(0, 30), r.choice(["a", "b", "hot", "hot"])) for i in range(2000)]
-    weight = F.when(F.col("doc_id") % 3 == 0, 0.05).otherwise(1.0)
+    docs = [(i, "w. " * r.randint(0, 30) + "***" * (i % 2), r.choice(["a", "b", "hot", "hot"])) for i in range(2000)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
-    keys = {x.doc_id: (x.key, str(x.doc_id), x.size) for x in df.select("doc_id", drawn_key(F.col("doc_id"), weight, "mix").alias("key"), words(F.col("text")).alias("size")).collect()}
-    got = {x.doc_id: x for x in mix(df, weight).collect()}
-    sizes = {s: sum(keys[i][2] for i, _, x in docs if x == s) for s in ("a", "b", "hot")}
+    got = {x.doc_id: x for x in mix(df, df.selectExpr("doc_id", "doc_id % 2 as quality")).collect()}
+    assert got[1].key != mix(df).filter("doc_id = 1").first().key
+    sizes = {s: sum(x.size for x in got.values() if x.source == s) for s in ("a", "b", "hot")}
     for s, aim in brute_targets(sizes).items():
         epochs = int(aim // sizes[s])
         rest, at = aim - epochs * sizes[s], 0
-        for k in sorted(keys[i] for i, _, x in docs if x == s):
+        for x in sorted((x for x in got.values() if x.source == s), key=lambda x: (x.key, str(x.doc_id), x.size)):
             # what begins within the rest is in while its middle is
-            assert got[int(k[1])].copies == epochs + (at + k[2] / 2 <= rest and at < rest), (s, k)
-            at += k[2]
+            assert x.copies == epochs + (at + x.size / 2 <= rest and at < rest), (s, x)
+            at += x.size
 
 
 def test_quality_follows_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    rows = docs.join(labels, "doc_id").select("quality", quality(docs, labels).alias("w")).collect()
+    binned = docs.select("doc_id", features(F.col("text")).alias("bins"))
+    weight = quality(binned, labels)
+    rows = binned.join(labels, "doc_id").select("quality", weight(F.col("bins")).alias("w")).collect()
     good, bad = [x.w for x in rows if x.quality == 1], [x.w for x in rows if x.quality == 0]
     above = sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
     assert above > 0.9 and all(0.05 <= x.w <= 1 for x in rows)
-    assert {x[0] for x in docs.select(quality(docs, labels.filter("quality = 1"))).collect()} == {1.0}
-    assert {x[0] for x in docs.select(quality(docs, labels.limit(0))).collect()} == {1.0}
+    for none in (labels.filter("quality = 1"), labels.limit(0)):
+        assert {x[0] for x in binned.select(quality(binned, none)(F.col("bins"))).collect()} == {1.0}
