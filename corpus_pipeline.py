@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import op1, op7
 from tessera.llm.language import judged
-from tessera.llm.mixing import quality, repeated
+from tessera.llm.mixing import repeated
 from tessera.llm.ngram_join import ngram_groups
 from tessera.llm.packing import pack
 from tessera.llm.pii import mask
@@ -61,7 +61,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     source of its own; rows that repeat an id are drawn together.  Columns of
     any name stay; an empty table gives none.
     """
-    return repeated(docs, quality(docs, table(spark, sf_dir, "labels")))
+    return repeated(docs, table(spark, sf_dir, "labels"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
