@@ -37,6 +37,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             if now[0] == now[1] and now == state or now[0] == 0:
                 break
             state = now
+        else:
+            raise RuntimeError(f"components aren't complete after {max_rounds} rounds")
         nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
         nodes = nodes.select(F.col("node").cast(kind), F.col("component").cast(kind))
         return materialize(nodes, "components")

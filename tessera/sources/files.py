@@ -44,7 +44,7 @@ def scan(spark: SparkSession, root: str, endings: tuple[str, ...] = CODE, patter
 
     Skipped folders, files and endings are left out, as are ignored paths unless
     they are ``forced``.  The conditions are on the listing, so files that are
-    left out aren't opened.
+    left out aren't opened.  Bytes that aren't UTF-8 become U+FFFD.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = "/" + root.split(":", 1)[-1].strip("/") + "/"
@@ -54,7 +54,7 @@ def scan(spark: SparkSession, root: str, endings: tuple[str, ...] = CODE, patter
     good = ~F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in SKIP_DIRS])) & ~name.isin(*SKIP_FILES) & F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*endings)
     left = ~ignored(relative, patterns) | relative.isin(*forced) if forced else ~ignored(relative, patterns)
     kept = files.filter((F.col("length") <= most_bytes) & good & left)
-    return kept.select("path", relative.alias("relative"), F.unix_micros("modificationTime").cast("double").alias("mtime"), F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("content"))
+    return kept.select("path", relative.alias("relative"), F.unix_micros("modificationTime").cast("double").alias("mtime"), F.col("length").alias("bytes"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def readable(files: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import browse, dedup, index
+from tessera.operators import browse, dedup, index, mining
 from tessera.operators.store import Store
 from tessera.runtime import new_path
 
@@ -85,3 +85,51 @@ def test_story_is_cut_by_bytes(spark):
     lines = [r.line for r in browse.essential_story(d).orderBy("position").collect()]
     assert lines[0] == "\n[r]" and lines[-1] == "  ... (more in L3 search)"
     assert sum(len(x.encode()) for x in lines[:-1]) <= 3200
+
+
+def test_no_update_is_lost(spark, store):
+    one, two = contents(spark, ("a", "r", "first text")), contents(spark, ("a", "r", "second text"))
+    base = store.version("drawers")
+    assert store.add_contents(one) == 1
+    late = two.withColumn("id", F.lit("x"))
+    with pytest.raises(Exception):
+        store.add_drawers(late, base)
+    assert [r.content for r in store.read("drawers").collect()] == ["first text"]
+    assert store.add_drawers(late) == 1 and store.rows("drawers") == 2
+    words = store.read("drawer_words")
+    assert index.integrity(store.read("drawers"), words).count() == 0 and words.count() == 4
+
+
+def test_appends_are_folded_and_rebuilds_guarded(spark, store, monkeypatch):
+    monkeypatch.setattr("tessera.operators.store.FOLDERS", 3)
+    for i in range(5):
+        store.add_contents(contents(spark, ("a", "r", f"text number{i}")))
+    state = store._state("drawers", store.version("drawers"))
+    assert len(state["drawers"]["folders"]) <= 3 and state["drawers"]["rows"] == 5 == store.read("drawers").count()
+    gone = state["drawers"] | {"rows": 1000}
+    store._move("drawers", store.version("drawers"), {"drawers": gone})
+    with pytest.raises(ValueError):
+        store.rebuild_index()
+
+
+def test_mining(spark, store, tmp_path):
+    (tmp_path / "backend").mkdir()
+    (tmp_path / "backend" / "a.md").write_text("The server reads requests. " * 60)
+    (tmp_path / "b.txt").write_bytes(b"caf\xe9 and more text that is long enough to be read as a file " * 2)
+    (tmp_path / "skip.bin").write_bytes(b"x" * 500)
+    rooms = [("backend", ["server"]), ("docs", [])]
+    n = mining.mine(store, f"file://{tmp_path}", "proj", rooms)
+    got = store.read("drawers").collect()
+    assert n == len(got) >= 3 and {r.room for r in got if r.source_file.endswith("a.md")} == {"backend"}
+    assert any("caf\ufffd" in r.content for r in got) and not any(r.source_file.endswith("bin") for r in got)
+    assert mining.mine(store, f"file://{tmp_path}", "proj", rooms) == 0
+    (tmp_path / "b.txt").write_text("now another text altogether, long enough to be read as a file")
+    assert mining.mine(store, f"file://{tmp_path}", "proj", rooms) == 1
+    texts = [r.content for r in store.read("drawers").collect() if r.source_file.endswith("b.txt")]
+    assert len(texts) == 1 and "another" in texts[0]
+
+
+def test_greedy_without_a_limit_of_pairs(spark):
+    pairs = spark.createDataFrame([("f", "a", "b")], "source_file string, a string, b string")
+    sizes = spark.createDataFrame([(f"z{i:05}", "f", 9) for i in range(200)] + [("a", "f", 2), ("b", "f", 1)], "id string, source_file string, length int")
+    assert dedup.greedy(pairs, sizes, 100).count() == 0 and [r.id for r in dedup.greedy(pairs, sizes, None).collect()] == ["b"]
