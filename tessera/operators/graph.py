@@ -35,7 +35,9 @@ def traverse(nodes: DataFrame, start: str, hops: int) -> DataFrame:
     seen = front = materialize(found, "hop-0")
     for hop in range(1, hops + 1):
         near = front.select(F.col("room").alias("from")).join(at.select(F.col("room").alias("from"), "wing"), "from")
-        step = near.join(at, "wing").join(seen.select("room"), "room", "left_anti")
+        # a room's smallest neighbour is the smallest of its wings' smallest ones
+        least = near.groupBy("wing").agg(F.min("from").alias("from"))
+        step = least.join(at, "wing").join(seen.select("room"), "room", "left_anti")
         pairs = step.groupBy("room", "from").agg(F.array_sort(F.collect_set("wing")).alias("via"))
         new = pairs.groupBy("room").agg(F.lit(hop).alias("hop"), F.min_by("via", "from").alias("via"))
         front = materialize(new, f"hop-{hop}")

@@ -88,7 +88,7 @@ def rooms_per_wing(spark, sf):
 
 
 def traverse_hops(spark, sf):
-    return graph.traverse(graph.room_nodes(M.graph_drawers(spark, sf)), "r0", 4).select("room", "hop", "n")
+    return graph.traverse(graph.room_nodes(M.graph_drawers(spark, sf, 97)), "r1", 4).select("room", "hop", "n", F.array_join("via", ",").alias("via"))
 
 
 def _topic_tunnels(spark, sf):
@@ -108,7 +108,7 @@ def follow_tunnels(spark, sf):
 
 def author_components(spark, sf):
     o = M.table(spark, sf, "orders")
-    commits = o.select(F.concat(F.lit("Author "), F.col("o_custkey")).alias("name"), F.concat(F.lit("mail"), F.floor(F.col("o_custkey") / 3) + F.col("o_orderkey") % 2, F.lit("@x.org")).alias("email"), F.col("o_orderpriority").alias("repo"))
+    commits = o.select(F.concat(F.lit("Author "), F.col("o_custkey")).alias("name"), F.concat(F.lit("mail"), F.floor(F.col("o_custkey") / 3) * 2 + F.col("o_orderkey") % 2, F.lit("@x.org")).alias("email"), F.col("o_orderpriority").alias("repo"))
     return graph.people(commits)
 
 
@@ -159,9 +159,18 @@ ORACLE_SQL = {
     "find_tunnels": f"{_NODES} SELECT room, array_to_string(wings, ',') AS wings, n, (SELECT count(*) > 50 FROM nodes WHERE len(wings) >= 2) AS truncated FROM nodes WHERE len(wings) >= 2 ORDER BY n DESC, room LIMIT 50",
     "graph_stats": f"{_NODES} SELECT count(*) AS rooms, count(*) FILTER (len(wings) >= 2) AS tunnel_rooms, CAST(sum(len(wings) * (len(wings) - 1) // 2) AS BIGINT) AS edges FROM nodes",
     "rooms_per_wing": f"{_NODES} SELECT wing, count(*) AS rooms FROM (SELECT unnest(wings) AS wing FROM nodes) GROUP BY wing",
-    "traverse_hops": _G.replace("WITH", "WITH RECURSIVE", 1) + """, rw AS (SELECT DISTINCT room, wing FROM graph_drawers), walk(room, hop) AS (
-  SELECT 'r0', 0 UNION SELECT b.room, hop + 1 FROM walk JOIN rw a USING (room) JOIN rw b ON a.wing = b.wing WHERE hop < 4)
-SELECT w.room, CAST(min(hop) AS INTEGER) AS hop, any_value(n.n) AS n FROM walk w JOIN (SELECT room, count(*) AS n FROM graph_drawers GROUP BY room) n USING (room) GROUP BY w.room""",
+    "traverse_hops": _G.replace("WITH", "WITH RECURSIVE", 1).replace("% 2003", "% 97") + """, rw AS (SELECT DISTINCT room, wing FROM graph_drawers), walk(room, hop) AS (
+  SELECT 'r1', 0 UNION SELECT b.room, hop + 1 FROM walk JOIN rw a USING (room) JOIN rw b ON a.wing = b.wing WHERE hop < 4),
+h AS (SELECT room, min(hop) AS hop FROM walk GROUP BY room),
+v AS (SELECT h.room, f.room AS came, string_agg(DISTINCT a.wing, ',' ORDER BY a.wing) AS via, row_number() OVER (PARTITION BY h.room ORDER BY f.room) AS k
+  FROM h JOIN rw a ON a.room = h.room JOIN rw b ON b.wing = a.wing JOIN h f ON f.room = b.room AND f.hop = h.hop - 1 GROUP BY h.room, f.room)
+SELECT h.room, CAST(hop AS INTEGER) AS hop, n.n AS n, v.via FROM h JOIN (SELECT room, count(*) AS n FROM graph_drawers GROUP BY room) n USING (room) LEFT JOIN v ON v.room = h.room AND v.k = 1""",
+    "author_components": """WITH RECURSIVE c AS (SELECT 'Author ' || o_custkey AS name, 'mail' || (o_custkey // 3 * 2 + o_orderkey % 2) || '@x.org' AS email, o_orderpriority AS repo FROM orders),
+ne AS (SELECT DISTINCT name, email FROM c), r(a, b) AS (SELECT DISTINCT name, name FROM ne UNION SELECT r.a, y.name FROM r JOIN ne x ON r.b = x.name JOIN ne y ON x.email = y.email),
+g AS (SELECT a AS name, min(b) AS person FROM r GROUP BY a),
+t AS (SELECT person, count(*) AS commits, count(DISTINCT email) AS emails, count(DISTINCT repo) AS repos FROM c JOIN g USING (name) GROUP BY person),
+k AS (SELECT person, name, row_number() OVER (PARTITION BY person ORDER BY count(*) DESC, name) AS k FROM c JOIN g USING (name) GROUP BY person, name)
+SELECT name, commits, emails, repos FROM t JOIN k USING (person) WHERE k = 1""",
     "topic_tunnels": f"""{_TOPIC} SELECT substr(sha256(least(wing_a || '/topic:' || name, wing_b || '/topic:' || name) || '↔' || greatest(wing_a || '/topic:' || name, wing_b || '/topic:' || name)), 1, 16) AS id,
   wing_a, wing_b, 'topic:' || name AS room, 'shared topic: ' || name AS label, shared FROM p WHERE shared >= 2""",
     "follow_tunnels": f"""{_TOPIC}, l AS (SELECT wing_a, wing_b, 'topic:' || key AS room FROM p), best AS (SELECT room FROM l GROUP BY room ORDER BY count(*) DESC, room LIMIT 1)

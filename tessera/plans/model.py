@@ -65,10 +65,10 @@ words AS (SELECT id, word, count(*) AS n FROM tokens GROUP BY id, word)"""
 WORDS = f"{DRAWERS}, {_sql_words()}"
 
 
-def graph_drawers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse graph: two documents a room, wings by squares."""
+def graph_drawers(spark: SparkSession, sf_dir: str, squares: int = 2003) -> DataFrame:
+    """A sparse graph: two documents a room, wings by squares modulo ``squares``."""
     i = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("g"), i).alias("id"), F.concat(F.lit("w"), i * i % 2003).alias("wing"), F.concat(F.lit("r"), F.floor(i / 2)).alias("room"))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("g"), i).alias("id"), F.concat(F.lit("w"), i * i % squares).alias("wing"), F.concat(F.lit("r"), F.floor(i / 2)).alias("room"))
 
 
 GRAPH = "graph_drawers AS (SELECT 'g' || doc_id AS id, 'w' || (doc_id * doc_id % 2003) AS wing, 'r' || (doc_id // 2) AS room FROM documents)"
