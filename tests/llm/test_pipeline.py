@@ -50,3 +50,31 @@ def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, f in cp.STAGES:
         assert f(spark, docs, SF).count() == 0
+
+
+NAMES = ["bucket", "cut", "epochs", "score", "rejected", "lang_pred", "verdict", "found", "_found", "_h", "row", "copy", "component_id", "level", "d", "text_hash", "queue"]
+
+
+def test_stages_on_odd_rows_and_clashing_names(spark):
+    plain = "the and of with this is to be it by one more word here and there"
+    texts = [(1, plain), (2, plain), (None, plain), (None, None), (3, None), (4, ""), (5, "12 34"), (6, "mail a@b.co now the and of with this"), (6, "the and of with this mail c@d.org then"), (7, "the and of " * 60_000), (8, plain + " x"), (8, "quite another text of the same id with the and of words")]
+    rows = [(i, t, "en", None if i == 4 else "s", len(t or "")) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"{k} + 0.5 as `{n}`" for k, n in enumerate(NAMES)])
+    same = lambda df: all(tuple(r[n] for n in NAMES) == tuple(k + type(r[NAMES[0]])("0.5") for k in range(len(NAMES))) for r in df.collect())
+    out = {}
+    for name, stage_ in cp.STAGES[:-1]:
+        out[name] = stage_(spark, docs, SF)
+        assert out[name].columns == docs.columns and out[name].dtypes == docs.dtypes and same(out[name]), name
+    found = {k: Counter(r.doc_id for r in df.collect()) for k, df in out.items()}
+    # texts without letters go
+    assert found["language"] == Counter({1: 1, 2: 1, None: 1, 6: 2, 7: 1, 8: 2})
+    # 2 and the first text of 8 are near copies of 1, so both rows of 8 go; rows without an id stay
+    assert found["near_duplicates"] == Counter({1: 1, None: 2, 3: 1, 4: 1, 5: 1, 6: 2, 7: 1})
+    assert found["personal_data"] == Counter(i for i, _ in texts)
+    masked = {(r.doc_id, r.text): r.n_chars for r in out["personal_data"].collect()}
+    for text in ("mail [EMAIL] now the and of with this", "the and of with this mail [EMAIL] then"):
+        assert masked[6, text] == len(text)
+    assert masked[None, None] == 0
+    assert set(found["mixture"]) <= {i for i, _ in texts} and all(n >= 1 for n in found["mixture"].values())
+    pieces = cp.packing(spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(i for i, _ in texts)
