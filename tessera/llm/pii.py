@@ -10,6 +10,8 @@ is joined or grouped later is a few rows per identifier.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.small import small
@@ -32,6 +34,16 @@ TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 BLOCK = 512
 
 
+def _blocks(items: Column) -> Column:
+    """Numbers from 0 of the blocks of a list that isn't empty."""
+    return F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _ends(found: Column) -> Column:
     """Structs (start, end, text, left) from (gap, n, text, left) in text order.
 
@@ -51,8 +63,7 @@ def _ends(found: Column) -> Column:
 
         return F.aggregate(F.slice(found, b * BLOCK + 1, BLOCK), F.struct(base.alias("at"), empty.alias("rows")), step, lambda acc: acc["rows"])
 
-    blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int"))
-    return F.when(F.size(found) > 0, F.flatten(F.transform(blocks, block))).otherwise(empty)
+    return F.when(F.size(found) > 0, F.flatten(F.transform(_blocks(found), block))).otherwise(empty)
 
 
 def _measured(matches: Column, gaps: Column) -> Column:
@@ -136,7 +147,17 @@ def find_base(docs: DataFrame, text: str = "text") -> DataFrame:
         core = F.regexp_replace(F.substring(x["text"], lead + 1, F.length(x["text"])), r"[.,;:!?)\]>\"']+$", "")
         return F.struct(F.lit(-1).alias("kind"), (x["start"] + lead).alias("start"), (x["start"] + lead + F.length(core)).alias("end"), core.alias("text"), x["left"].alias("left"))
 
-    free = F.filter(F.transform(F.col("_e_token"), trimmed), lambda x: (F.length(x["text"]) > 0) & ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    def apart(b: Column) -> Column:
+        """The tokens of a block that touch none of the base matches in its range."""
+        block = F.slice("_e_token", b * BLOCK + 1, F.lit(BLOCK))
+        first, last = F.get(block, F.lit(0))["start"], F.element_at(block, -1)["end"]
+        range_ = F.struct(block.alias("block"), first.alias("first"), last.alias("last"))
+        near = lambda r: F.struct(r["block"].alias("block"), F.filter(F.col("base"), lambda x: (x["start"] < r["last"]) & (r["first"] < x["end"])).alias("near"))
+        free = lambda r: F.filter(F.transform(r["block"], trimmed), lambda x: (F.length(x["text"]) > 0) & ~F.exists(r["near"], lambda m: (m["start"] < x["end"]) & (x["start"] < m["end"])))
+        return _bound(_bound(range_, near), free)
+
+    some = F.size("_e_token") > 0
+    free = F.when(some, F.flatten(F.transform(_blocks(F.col("_e_token")), apart))).otherwise(F.transform("_e_token", trimmed))
     out = out.withColumn("tokens", free)
     return out.drop(*[f"_{a}_{k}" for a in "mgfe" for k in patterns])
 
@@ -219,7 +240,8 @@ def mask(docs: DataFrame, text: str = "text", ident: str = "doc_id", **settings)
     """Replace every span of the texts of ``docs`` by its kind in brackets.
 
     Spans that overlap become one, named by the first.  Null and empty texts,
-    columns, rows and repeated rows stay as they are.
+    columns, rows and repeated rows stay as they are.  A text is masked by blocks
+    of spans, so that long lists don't walk it from its start for each.
     """
     spans, key = spans_of(docs, text, ident, **settings)
     cut = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
@@ -231,12 +253,30 @@ def mask(docs: DataFrame, text: str = "text", ident: str = "doc_id", **settings)
     size = F.length(body).cast("long")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<string>")
+
+    def reach(n: Column) -> Column:
+        """Where the first ``n`` spans end."""
+        return F.coalesce(F.array_max(F.transform(F.slice("cut", F.lit(1), n), lambda s: s["end"])), zero)
+
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.get(names, s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["parts"], F.when(fresh, F.array(piece)).otherwise(F.array().cast("array<string>"))).alias("parts"))
+        piece = F.concat(F.substring(acc["part"], (acc["at"] - acc["base"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.get(names, s["kind"]))
+        parts = F.concat(acc["parts"], F.when(fresh, F.array(piece)).otherwise(none))
+        return F.struct(acc["base"].alias("base"), acc["part"].alias("part"), F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
+
+    def block(b: Column) -> Column:
+        """The masked text from the end of the blocks before to the end of this one."""
+        ends = F.struct(reach(b * BLOCK).alias("base"), reach((b + 1) * BLOCK).alias("to"))
+
+        def walk(e: Column) -> Column:
+            part = F.substring(body, (e["base"] + 1).cast("int"), (e["to"] - e["base"]).cast("int"))
+            start = F.struct(e["base"].alias("base"), part.alias("part"), e["base"].alias("at"), none.alias("parts"))
+            return F.aggregate(F.slice("cut", b * BLOCK + 1, F.lit(BLOCK)), start, step, lambda acc: F.array_join(acc["parts"], ""))
+
+        return _bound(ends, walk)
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-    done = F.aggregate(F.col("cut"), start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(body, (a["at"] + 1).cast("int"), size.cast("int"))))
+    tail = F.substring(body, (reach(F.size("cut")) + 1).cast("int"), size.cast("int"))
+    done = F.concat(F.array_join(F.transform(_blocks(F.col("cut")), block), ""), tail)
     masked = F.when(F.col("cut").isNull(), body).otherwise(done)
     return joined.select(*[masked.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

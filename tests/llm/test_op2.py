@@ -99,6 +99,27 @@ def test_unseen_shapes_count_against_a_pattern(spark):
     assert all(not added for added in rows.values())
 
 
+def masked(text, spans):
+    out, at = "", 0
+    for k, a, b in sorted(spans, key=lambda s: (s[1], s[2], [*PATTERNS].index(s[0]))):
+        out += f"{text[at:a]}[{k.upper()}]" if a >= at else ""
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_mask_and_tokens_of_many_spans(spark):
+    some = ["a{0}@b{0}.co", "10.0.{1}.7", "é𝒳x{0}", "+49 30 12345{0}", "4111 1111 1111 1111", "+4111111111111111 y", "plain"]
+    texts = ["\n".join(some[(i * k + i // 3) % 7].format(i, i % 256) for i in range(n)) for k, n in ((1, 2000), (2, 511), (3, 512), (5, 513), (1, 7))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in mask(docs, least=2.0).collect()}
+    assert got == {i: masked(t, brute(t)) for i, t in enumerate(texts)}
+    tokens = {r.doc_id: [(x.start, x.end, x.text) for x in r.tokens] for r in find_base(docs).collect()}
+    for i, t in enumerate(texts):
+        words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"\S*[0-9@]\S*", t)]
+        spans = brute(t)
+        assert tokens[i] == [w for w in words if not any(a < w[1] and w[0] < b for _, a, b in spans)]
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_empty_and_single(spark, n):
     docs = spark.createDataFrame([(1, None)][:n], "doc_id long, text string")
