@@ -32,17 +32,17 @@ def compress(ids: np.ndarray, doc_lens: np.ndarray, first: int, rules_per_round:
     ``first`` is the id of the first nonterminal, above all ids.
     """
     seq = ids.astype(np.uint32)
-    last = np.zeros(len(seq), bool)
-    last[np.cumsum(doc_lens) - 1] = True
     rules: list[tuple[int, int]] = []
     bits = int(np.clip(int(len(seq)).bit_length(), 10, 20))
     ceiling = len(seq)
+    # the last symbol of a document has a slot that is not looked at
+    nowhere = 1 << bits
+    slot = np.full(len(seq), nowhere)
+    slot[:-1] = _slots(seq[:-1], seq[1:], bits)
+    slot[np.cumsum(doc_lens) - 1] = nowhere
+    counts = np.bincount(slot, minlength=nowhere + 1)
     while len(seq) > 1:
-        slot = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
-        # pairs across documents get a slot that is not looked at
-        slot[last[:-1]] = 1 << bits
-        counts = np.bincount(slot, minlength=(1 << bits) + 1)
-        counts[-1] = 0
+        counts[nowhere] = 0
         # a slot counts all pairs that share it, so no pair has more than its slot
         floor = max(least, min(int(counts.max()), ceiling) // 4)
         often = np.flatnonzero((counts >= floor)[slot])
@@ -66,18 +66,32 @@ def compress(ids: np.ndarray, doc_lens: np.ndarray, first: int, rules_per_round:
         run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run_start) % 2 == 0
         at, to = at[take], to[take]
+        # pairs that a replacement ends or makes are counted anew, all others stay
+        now = at - np.arange(len(at))
+        alone = now > 0
+        alone[1:] &= np.diff(now) > 1
+        np.subtract.at(counts, np.concatenate([slot[at], slot[at + 1], slot[at[alone] - 1]]), 1)
         seq[at] = to
-        last[at] |= last[at + 1]
+        slot[at] = slot[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        keep = np.flatnonzero(keep)
+        seq, slot = np.take(seq, keep), np.take(slot, keep)
+        near = np.concatenate([now, now[alone] - 1])
+        inner = near[slot[near] != nowhere]
+        slot[inner] = _slots(seq[inner], seq[inner + 1], bits)
+        np.add.at(counts, slot[near], 1)
     lengths = _lengths(rules, first)
     width = 2 if first + len(rules) <= 1 << 16 else 4
     head = struct.pack("<5q", len(doc_lens), len(rules), len(seq), first, width)
-    ends = np.flatnonzero(last) + 1
+    ends = np.flatnonzero(slot == nowhere) + 1
     return b"".join([MAGIC, head, np.array(rules, f"<u{width}").tobytes(), lengths.astype("<u4").tobytes(), ends.astype("<i8").tobytes(), np.asarray(doc_lens).astype("<i8").tobytes(), seq.astype(f"<u{width}").tobytes()])
 
 
+def _slots(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    return ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)).astype(np.int64)
+
+
 def _apart(pairs: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """Places of up to ``most`` pairs in ``order`` that can't overlap one another, sorted."""
     lefts, rights = set(), set()
