@@ -11,6 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tessera.operators.index import build_postings
+from tessera.operators.stored_index import SearchIndex
+from tessera.runtime import new_path
+
+_INDEXES: dict[tuple[str, str], SearchIndex] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +56,18 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_postings(drawers(spark, sf_dir).select("id", "content"))
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The stored index of the drawers, written by the first query of an application that asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = SearchIndex.build(drawers(spark, sf_dir), new_path(spark, "search-index"))
+    return _INDEXES[key]
+
+
+def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_index(spark, sf_dir).postings.select("word", "id", "n")
+
+
 def _sql_words() -> str:
     from tessera.functions.text import STOP_WORDS
 

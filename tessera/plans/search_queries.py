@@ -13,7 +13,7 @@ TWICE = "thatin rewh thatin orre orre"
 
 
 def _search(spark: SparkSession, sf: str, query: str, n: int = 10, **where) -> DataFrame:
-    found = search.bm25_search(M.postings(spark, sf), M.drawers(spark, sf), query, n, **where)
+    found = M.search_index(spark, sf).search(query, n, **where)
     return found.select("id", "wing", "room", "chunk_index", M.rounded(F.col("relevance")).alias("relevance"))
 
 
@@ -46,8 +46,9 @@ def bm25_search_repeated_terms(spark, sf):
 
 
 def bm25_closet_boost(spark, sf):
-    found = search.bm25_search(M.postings(spark, sf), M.drawers(spark, sf), QUERY, 10)
-    closets = M.drawers(spark, sf).select("source_file", "content")
+    index = M.search_index(spark, sf)
+    found = index.search(QUERY, 10)
+    closets = index.files_of(found).select("source_file", "content")
     up = search.boosted(found, search.closet_boosts(found, closets, query_tokens(QUERY)))
     return up.select("id", "source_file", M.rounded(F.col("relevance")).alias("relevance"))
 
@@ -59,9 +60,8 @@ _BOOST = f"""SELECT b.id, b.source_file, round(b.relevance * (1 + coalesce(k.boo
 
 
 def neighbor_chunks(spark, sf):
-    d = M.drawers(spark, sf)
-    found = search.bm25_search(M.postings(spark, sf), d, QUERY, 10)
-    return search.neighbours(d, found, 2).select("anchor", "id", "chunk_index")
+    index = M.search_index(spark, sf)
+    return index.neighbours(index.search(QUERY, 10), 2).select("anchor", "id", "chunk_index")
 
 
 _NEIGHBOURS = "SELECT b.id AS anchor, d.id, d.chunk_index FROM best b JOIN drawers d ON d.source_file = b.source_file AND d.chunk_index BETWEEN b.chunk_index - 2 AND b.chunk_index + 2 AND d.chunk_index <> b.chunk_index"
@@ -69,7 +69,7 @@ CONTENT = "The thatin was rewh and orre with eronti"
 
 
 def check_duplicate(spark, sf):
-    found = search.check_duplicate(M.postings(spark, sf), M.drawers(spark, sf), CONTENT)
+    found = M.search_index(spark, sf).check_duplicate(CONTENT)
     return found.select("id", M.rounded(F.col("relevance")).alias("relevance"))
 
 
@@ -78,13 +78,13 @@ def build_postings(spark, sf):
 
 
 def doc_lengths(spark, sf):
-    return index.doc_lengths(M.postings(spark, sf))
+    return M.search_index(spark, sf).doc_lengths()
 
 
 def index_integrity(spark, sf):
     """The index of everything but diaries, with postings of drawers that are gone."""
     d = M.drawers(spark, sf)
-    lost = M.postings(spark, sf).join(d.filter("ingest_mode = 'diary'").select("id"), "id", "left_anti")
+    lost = M.stored_postings(spark, sf).join(d.filter("ingest_mode = 'diary'").select("id"), "id", "left_anti")
     stale = d.filter("ingest_mode = 'convos'").select(F.lit("gone").alias("word"), F.concat(F.lit("old_"), F.col("id")).alias("id"), F.lit(1).cast("long").alias("n"))
     return index.integrity(d, lost.unionByName(stale))
 
