@@ -24,8 +24,10 @@ from tessera.runtime import materialize, scratch
 
 #: Anchors whose equal ones a task puts together before it sends them.
 HELD = 1 << 19
-#: Anchors of one prefix that a task sorts in memory; beyond, their windows go one by one.
+#: Anchors that a task sorts at a time, in whole groups of one prefix.
 MOST = 1 << 15
+#: Anchors of one prefix beyond which their windows go one by one, to as many tasks as there are.
+HOT = 1000
 ROW = "key long, ctx long, doc long, sub long, at long"
 _NAMES = ["key", "ctx", "doc", "sub", "at"]
 
@@ -257,7 +259,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         rows = keep(_resolved(texts.mapInArrow(_sample, ROW)), "repeats-anchors")
         repeated = F.col("at").bitwiseAND(COVERED) == COVERED
         opened, covered = rows.filter(~repeated), rows.filter(repeated).select("doc", "sub", "at")
-        hot = keep(opened.groupBy("key").agg(F.count("*").alias("k")).filter(F.col("k") > MOST).select("key", F.lit(True).alias("hot")), "repeats-hot")
+        hot = keep(opened.groupBy("key").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select("key", F.lit(True).alias("hot")), "repeats-hot")
         any_hot = hot.limit(1).count() > 0
         opened = opened.join(small(hot), "key", "left") if any_hot else opened.withColumn("hot", F.lit(None).cast("boolean"))
         lists = opened.groupBy("doc", "sub").agg(F.collect_list(F.struct("key", "at", "hot")).alias("opened"))

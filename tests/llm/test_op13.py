@@ -60,6 +60,7 @@ def made(r, n):
 @pytest.mark.parametrize("most, piece", [(1 << 15, 1 << 18), (3, 1 << 18), (1 << 15, 256)])
 def test_cut_pieces(spark, monkeypatch, most, piece):
     monkeypatch.setattr(repeats, "MOST", most)
+    monkeypatch.setattr(repeats, "HOT", most)
     monkeypatch.setattr(suffixes, "PIECE", piece)
     monkeypatch.setattr(suffixes, "_POWERS", [])
     r = random.Random(most + piece)
@@ -71,7 +72,7 @@ def test_cut_pieces(spark, monkeypatch, most, piece):
 
 
 def test_hot_passage_with_many_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "MOST", 200)
+    monkeypatch.setattr(repeats, "HOT", 200)
     r = random.Random(8)
     passage = " ".join(str(r.random()) for _ in range(12))
     docs = [(i, f"{r.random()} {r.random()} {passage} {r.random()} {i * 7919}") for i in range(1500)]
