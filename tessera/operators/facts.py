@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.functions.text import entity_id, quoted
+from tessera.functions.text import entity_id
+from tessera.operators.fuzzy import near_names
+from tessera.operators.mentions import mentions
 
-#: The two forms of a claim, and the edits of a mistaken name.
+#: The two forms of a claim.
 SUBJECT_FIRST = r"\b([A-Z][\w-]+)\s+is\s+([A-Z][\w-]+)'s\s+([a-z]{3,20})\b"
 POSSESSOR_FIRST = r"\b([A-Z][\w-]+)'s\s+([a-z]{3,20})\s+is\s+([A-Z][\w-]+)\b"
-EDITS = 2
 
 
 def claims(texts: DataFrame, ident: str = "i", text: str = "text") -> DataFrame:
@@ -36,16 +37,10 @@ def issues(found: DataFrame, triples: DataFrame, entities: DataFrame, today: str
 
 
 def similar_names(texts: DataFrame, names: DataFrame, ident: str = "i", text: str = "text") -> DataFrame:
-    """Known names that a text doesn't hold and that differ by one or two edits from one it holds.
+    """(ident, name, other, distance): known names that a text doesn't hold, one or two edits from one that it holds.
 
-    ``names`` is a registry of known names; near pairs of it are found first, by
-    length and with a bound on edits, and then looked up in the texts.
+    ``names`` is a registry of known names and ``ident`` tells texts apart.
     """
-    low = names.select("name", F.lower("name").alias("k"), F.length("name").alias("n")).distinct()
-    a = low.withColumn("m", F.explode(F.sequence(F.col("n") - EDITS, F.col("n") + EDITS)))
-    b = low.select(F.col("name").alias("other"), F.col("k").alias("k2"), F.col("n").alias("m"))
-    near = a.join(b, "m").withColumn("distance", F.levenshtein("k", "k2", EDITS)).filter("distance between 1 and 2").select("name", "other", "distance")
-    hold = lambda c: F.regexp_like(F.col(text), F.concat(F.lit(r"(?i)\b"), quoted(F.col(c)), F.lit(r"\b")))
-    words = texts.select(ident, F.col(text), F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"))).alias("_w"))
-    seen = words.join(near.withColumn("_w", F.element_at(F.split(F.lower("name"), r"[^\p{L}\p{N}_]+"), 1)), "_w")
-    return seen.filter(hold("name") & ~hold("other")).select(ident, "name", "other", "distance")
+    held = mentions(texts, names, ident, text).select(ident, "name").distinct()
+    near = held.join(near_names(names), "name")
+    return near.join(held.withColumnRenamed("name", "other"), [ident, "other"], "left_anti").select(ident, "name", "other", "distance")

@@ -46,6 +46,42 @@ def facts(triples: DataFrame, entities: DataFrame, name: str, direction: str = "
     return rows[0] if len(rows) == 1 else rows[0].unionAll(rows[1])
 
 
+#: Days of the calendar that intervals are cut by, as a power of two, and the first of them; earlier and later ones share the first and last.
+LEVELS, DAY_ONE = 16, "1900-01-01"
+
+
+def _day(time: Column) -> Column:
+    """The number of a day in the calendar; null if the text doesn't start with a date."""
+    date = F.try_to_date(F.substring(time, 1, 10))
+    return F.when(date.isNotNull(), F.least(F.greatest(F.date_diff(date, F.lit(DAY_ONE).cast("date")), F.lit(0)), F.lit((1 << LEVELS) - 1)))
+
+
+def as_of_many(triples: DataFrame, asked: DataFrame, direction: str = "outgoing") -> DataFrame:
+    """Facts that hold for each of many (entity, at): the rows of ``asked`` with id, predicate, other, valid_from, valid_to.
+
+    ``entity`` is an id and ``at`` a date or UTC time, as in ``valid_at``; a null
+    in either finds nothing, and repeated rows find their facts again.  An
+    interval goes to the nodes of a binary calendar that cover it, two a level at
+    most, and a time to the nodes above its day, so a pair of them meets once and
+    neither long intervals nor entities with many facts make all pairs.
+    """
+    if direction not in ("outgoing", "incoming"):
+        raise ValueError(f"direction: {direction!r}")
+    own, other = ("subject", "object") if direction == "outgoing" else ("object", "subject")
+    top = 1 << LEVELS
+    first, last = F.coalesce(_day(F.col("valid_from")), F.lit(0)) + top, F.coalesce(_day(F.col("valid_to")), F.lit(top - 1)) + top + 1
+    nodes = []
+    for k in range(LEVELS + 1):
+        a, z = F.expr(f"shiftright(_a + {(1 << k) - 1}, {k})"), F.expr(f"shiftright(_z, {k})")
+        nodes += [F.when((a < z) & (a % 2 == 1), a), F.when((a < z) & (z % 2 == 1), z - 1)]
+    cover = triples.select("id", F.col(own).alias("entity"), "predicate", F.col(other).alias("other"), "valid_from", "valid_to", first.alias("_a"), last.alias("_z"))
+    cover = cover.withColumn("_node", F.explode(F.filter(F.array(*nodes), lambda x: x.isNotNull()))).drop("_a", "_z")
+    time = F.regexp_replace("at", r"\+00:00$", "Z")
+    point = asked.withColumn("_key", start_key(time)).withColumn("_node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.call_function("shiftright", _day(F.col("at")) + top, k))))
+    met = point.join(cover, ["entity", "_node"]).filter((F.col("valid_from").isNull() | (start_key(F.col("valid_from")) <= F.col("_key"))) & (F.col("valid_to").isNull() | (end_key(F.col("valid_to")) >= F.col("_key"))))
+    return met.select(*asked.columns, "id", "predicate", "other", "valid_from", "valid_to")
+
+
 def relationship(triples: DataFrame, entities: DataFrame, subject: str, predicate: str) -> DataFrame:
     """Objects of a subject and predicate."""
     found = triples.filter((F.col("subject") == _id(subject)) & (F.col("predicate") == predicate.lower().replace(" ", "_")))

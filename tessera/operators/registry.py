@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.text import quoted
+from tessera.operators.mentions import mentions
 
 #: Contexts of a person and of a plain word; {} is the name.
 PERSON = (
@@ -48,10 +49,8 @@ def lookup(words: DataFrame, people: DataFrame, projects: DataFrame, cache: Data
 
 def people_in(queries: DataFrame, people: DataFrame) -> DataFrame:
     """(query, name) of the known people whose name or alias a query holds as words."""
-    first = F.element_at(F.split(F.lower("alias"), r"[^\p{L}\p{N}_]+"), 1)
-    words = queries.select("query", F.explode(F.array_distinct(F.split(F.lower("query"), r"[^\p{L}\p{N}_]+"))).alias("_w"))
-    pairs = words.join(people.withColumn("_w", first), "_w")
-    return pairs.filter(F.regexp_like("query", F.concat(F.lit(r"(?i)\b"), quoted(F.col("alias")), F.lit(r"\b")))).select("query", "name").distinct()
+    held = mentions(queries.select("query").distinct(), people.select(F.col("alias").alias("name")), "query", "query").select("query", F.col("name").alias("alias"))
+    return held.join(people.select("alias", "name"), "alias").select("query", "name").distinct()
 
 
 def learned(found: DataFrame, people: DataFrame, least: float = 0.75) -> DataFrame:

@@ -31,6 +31,14 @@ def kg_as_of_all(spark, sf):
     return M.triples(spark, sf).filter(kg.valid_at(DAY)).groupBy("predicate").agg(F.count("*").alias("n"))
 
 
+def kg_as_of_many(spark, sf):
+    """What holds for the customer of each order ten days after it, at noon for every third."""
+    day = F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 10), "yyyy-MM-dd")
+    at = F.when(F.col("o_orderkey") % 3 == 0, F.concat(day, F.lit("T12:00:00+00:00"))).otherwise(day)
+    asked = M.table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("customer_"), F.col("o_custkey")).alias("entity"), at.alias("at"))
+    return kg.as_of_many(M.triples(spark, sf), asked).select("o_orderkey", "entity", "id", "predicate", "other")
+
+
 def kg_relationship(spark, sf):
     return kg.relationship(M.triples(spark, sf), M.entities(spark, sf), NAME, "Located In")
 
@@ -128,6 +136,13 @@ def dedup_greedy(spark, sf):
     return dedup.greedy(pairs, d.select("id", "source_file", F.length("content").alias("length")))
 
 
+def dedup_greedy_low(spark, sf):
+    """Drawers that would go at half of similarity, all pairs looked at."""
+    d = M.drawers(spark, sf)
+    pairs = dedup.jaccard_pairs(M.stored_postings(spark, sf), d.select("id", "source_file"), 0.5)
+    return dedup.greedy(pairs, d.select("id", "source_file", F.length("content").alias("length")), None)
+
+
 _K, _G = f"WITH {M.KG}", f"WITH {M.GRAPH}"
 _NODES = f"{_G}, nodes AS (SELECT room, list_sort(list(DISTINCT wing)) AS wings, count(*) AS n FROM graph_drawers WHERE room <> 'general' AND room <> '' GROUP BY room)"
 _OUT = "SELECT 'outgoing' AS direction, '{n}' AS subject, t.predicate, e.name AS object, t.valid_from, t.valid_to, t.valid_to IS NULL AS current FROM triples t JOIN entities e ON t.object = e.id WHERE t.subject = '{i}'"
@@ -141,7 +156,19 @@ c AS (SELECT a.source_file, a.id AS a, b.id AS b, count(*) AS k FROM w a JOIN w
 SELECT source_file, a, b, round(k / (x.n + y.n - k), 6) AS jaccard FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE k / (x.n + y.n - k) >= {least}"""
 _TOPIC = f"""WITH {M.TOPICS}, own AS (SELECT lower(replace(replace(wing, ' ', '_'), '-', '_')) AS wing, lower(trim(topic)) AS key, arg_min(trim(topic), position) AS name FROM topics GROUP BY 1, 2),
 p AS (SELECT a.wing AS wing_a, b.wing AS wing_b, a.key, a.name, count(*) OVER (PARTITION BY a.wing, b.wing) AS shared FROM own a JOIN own b ON a.key = b.key AND a.wing < b.wing)"""
+_GREEDY = _PAIRS.replace("WITH {words}", "WITH RECURSIVE {words}").replace(")\nSELECT source_file, a, b, round", "),\nj AS (SELECT source_file, a, b, round") + """),
+r AS (SELECT id, length(content) AS length, row_number() OVER (PARTITION BY source_file ORDER BY length(content) DESC, id) - 1 AS rank, count(*) OVER (PARTITION BY source_file) AS size FROM drawers),
+o AS (SELECT source_file, CASE WHEN x.rank < y.rank THEN a ELSE b END AS i, CASE WHEN x.rank < y.rank THEN b ELSE a END AS j, x.size AS size, least(x.rank, y.rank) AS ri, greatest(x.rank, y.rank) AS rj,
+  CASE WHEN x.rank < y.rank THEN x.length <= y.length ELSE y.length <= x.length END AS drop_i FROM j JOIN r x ON x.id = a JOIN r y ON y.id = b),
+p AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY ri, rj) AS step FROM o WHERE {most}),
+walk(source_file, step, gone) AS (SELECT DISTINCT source_file, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM p
+  UNION ALL SELECT p.source_file, p.step, CASE WHEN list_contains(gone, i) OR list_contains(gone, j) THEN gone WHEN drop_i THEN list_append(gone, i) ELSE list_append(gone, j) END FROM walk w JOIN p ON p.source_file = w.source_file AND p.step = w.step + 1)
+SELECT source_file, unnest(gone) AS id FROM (SELECT source_file, arg_max(gone, step) AS gone FROM walk GROUP BY source_file)"""
 ORACLE_SQL = {
+    "kg_as_of_many": f"""{_K}, q AS (SELECT o_orderkey, 'customer_' || o_custkey AS entity, strftime(CAST(o_orderdate AS DATE) + 10, '%Y-%m-%d') || CASE WHEN o_orderkey % 3 = 0 THEN 'T12:00:00Z' ELSE 'T00:00:00Z' END AS key FROM orders)
+SELECT o_orderkey, entity, t.id, predicate, object AS other FROM q JOIN triples t ON t.subject = q.entity WHERE (valid_from IS NULL OR {_START} <= key) AND (valid_to IS NULL OR {_END} >= key)""",
+    "dedup_greedy": _GREEDY.format(words=M.WORDS, least=0.85, most="ri * size - ri * (ri + 1) // 2 + rj - ri - 1 < 10000"),
+    "dedup_greedy_low": _GREEDY.format(words=M.WORDS, least=0.5, most="true"),
     "kg_outgoing": f"{_K} {_OUT.format(n=NAME, i=NAME)}",
     "kg_incoming": f"{_K} {_IN.format(n='Nation 7', i='nation_7')}",
     "kg_both": f"{_K} {_OUT.format(n='nation_7', i='nation_7')} UNION ALL {_IN.format(n='nation_7', i='nation_7')}",
@@ -179,4 +206,4 @@ FROM l WHERE room IN (SELECT room FROM best) AND (wing_a = 'brand#22' OR wing_b
     "jaccard_pairs": _PAIRS.format(words=M.WORDS, least=0.85),
     "jaccard_pairs_low": _PAIRS.format(words=M.WORDS, least=0.6),
 }
-QUERIES = {f.__name__: f for f in (kg_outgoing, kg_incoming, kg_both, kg_as_of, kg_as_of_all, kg_relationship, kg_timeline, kg_timeline_entity, kg_stats, kg_current_by_wing, kg_invalidate_result, kg_add_dedupe, room_nodes, room_edges, find_tunnels, graph_stats, rooms_per_wing, traverse_hops, topic_tunnels, follow_tunnels, author_components, jaccard_pairs, jaccard_pairs_low, dedup_greedy)}
+QUERIES = {f.__name__: f for f in (kg_outgoing, kg_incoming, kg_both, kg_as_of, kg_as_of_all, kg_as_of_many, kg_relationship, kg_timeline, kg_timeline_entity, kg_stats, kg_current_by_wing, kg_invalidate_result, kg_add_dedupe, room_nodes, room_edges, find_tunnels, graph_stats, rooms_per_wing, traverse_hops, topic_tunnels, follow_tunnels, author_components, jaccard_pairs, jaccard_pairs_low, dedup_greedy, dedup_greedy_low)}

@@ -123,6 +123,17 @@ triples AS (
     CASE WHEN o_orderstatus = 'F' THEN strftime(CAST(o_orderdate AS DATE) + 30, '%Y-%m-%d') END FROM orders)"""
 
 
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with a label: the name, a letter short on every third part, with one twice on every fifth."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    label = "CASE WHEN p_partkey % 3 = 0 THEN concat(left(p_name, p_partkey % 7), substr(p_name, p_partkey % 7 + 2)) WHEN p_partkey % 5 = 0 THEN concat(left(p_name, p_partkey % 7), substr(p_name, greatest(p_partkey % 7, 1))) ELSE p_name END"
+    return p.withColumn("label", F.trim(F.expr(label)))
+
+
+PART_NAMES = """part_names AS (SELECT p_partkey, p_name, trim(CASE WHEN p_partkey % 3 = 0 THEN left(p_name, p_partkey % 7) || substr(p_name, p_partkey % 7 + 2)
+  WHEN p_partkey % 5 = 0 THEN left(p_name, p_partkey % 7) || substr(p_name, greatest(p_partkey % 7, 1)) ELSE p_name END) AS label FROM part)"""
+
+
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of wings: part names of brands, every other in capitals."""
     p = table(spark, sf_dir, "part")

@@ -11,7 +11,10 @@ from pyspark.sql import Window as W, functions as F
 from tessera.functions import dialect, memory, origin
 from tessera.functions.text import token_estimate
 from tessera.operators import chunk, entities, facts, messages, search
+from tessera.operators.fuzzy import near_names
+from tessera.operators.mentions import MARK
 from tessera.plans import model as M
+from tessera.runtime import materialize
 
 MEMORIES = [
     "We decided to use GraphQL instead of REST because it gives better flexibility for our frontend queries.",
@@ -136,10 +139,26 @@ def entity_candidates(spark, sf):
     return entities.candidates(M.drawers(spark, sf), "content")
 
 
+def _told(spark, sf):
+    """Drawers and messages as texts, every seventh message with one of a few sentences about a person or project behind it."""
+    extra = F.get(F.array(*[F.lit(p) for p in PEOPLE]), F.col("turn") % len(PEOPLE))
+    said = F.concat(F.coalesce("text", F.lit("")), F.when((F.col("session") + F.col("turn")) % 7 == 0, F.concat(F.lit("\n"), extra)).otherwise(""))
+    return M.drawers(spark, sf).select("id", F.col("content").alias("text")).unionAll(M.messages(spark, sf).select(F.col("uuid").alias("id"), said.alias("text")))
+
+
+def _scored(spark, sf):
+    texts = _told(spark, sf)
+    names = materialize(entities.candidates(texts), "candidates")
+    return names, entities.signals(texts, names, ident="id")
+
+
+def entity_scores(spark, sf):
+    names, scores = _scored(spark, sf)
+    return names.join(scores, "name", "left").fillna(0, ["person", "kinds", "project"]).select("name", "n", F.col("person").cast("long").alias("person"), F.col("kinds").cast("long").alias("kinds"), F.col("project").cast("long").alias("project"))
+
+
 def entity_class(spark, sf):
-    docs = M.literal_rows(spark, PEOPLE)
-    names = entities.candidates(docs)
-    return entities.capped(entities.classified(names, entities.signals(docs, names))).select("name", "n", "kind", M.rounded(F.col("confidence")).alias("confidence"))
+    return entities.capped(entities.classified(*_scored(spark, sf))).select("name", "n", "kind", M.rounded(F.col("confidence")).alias("confidence"))
 
 
 def fact_issues(spark, sf):
@@ -149,7 +168,17 @@ def fact_issues(spark, sf):
 
 
 def similar_names(spark, sf):
-    return facts.similar_names(M.literal_rows(spark, CLAIMS), spark.createDataFrame([(n,) for n in NAMES], "name string"))
+    """Parts whose label holds a name that another name is close to."""
+    p = M.part_names(spark, sf)
+    texts = p.select(F.col("p_partkey").alias("i"), F.concat(F.lit("one "), "label", F.lit(" of "), "p_name", F.lit(" here")).alias("text"))
+    return facts.similar_names(texts, p.select(F.explode(F.array("p_name", "label")).alias("name")).distinct())
+
+
+def near_names_of_tables(spark, sf):
+    """Names of customers, suppliers and parts that are one or two edits apart."""
+    p = M.part_names(spark, sf).select(F.explode(F.array("p_name", "label")).alias("name"))
+    c = M.table(spark, sf, "customer").select(F.col("c_name").alias("name"))
+    return near_names(p.unionAll(c).unionAll(M.table(spark, sf, "supplier").select(F.col("s_name").alias("name"))))
 
 
 def corpus_origin(spark, sf):
@@ -173,6 +202,42 @@ _DISTINCT3 = lambda e: f"array_to_string(list_slice(list_transform(list_filter(l
 _ROOM = " UNION ALL ".join(f"SELECT i, '{r}' AS room, {k} AS place, " + " + ".join(f"CAST(contains(lower(substr(text, 1, 3000)), '{w}') AS INTEGER)" for w in ws) + " AS score FROM corpus" for k, (r, ws) in enumerate(chunk.TOPIC_WORDS.items()))
 _MSG = f"WITH {M.MESSAGES}, d AS (SELECT * FROM messages WHERE role IN ('user', 'assistant') AND trim(text) <> '')"
 _POINTS = " + ".join(f"2 * CAST(contains(lower(s), '{w}') AS INTEGER)" for w in dialect.KEY_WORDS)
+_TEXT = lambda x: "'" + x.replace("'", "''") + "'"
+_TOLD = f"told AS (SELECT id, content AS text FROM drawers UNION ALL SELECT uuid, coalesce(text, '') || CASE WHEN (session + turn) % 7 = 0 THEN chr(10) || [{', '.join(map(_TEXT, PEOPLE))}][turn % {len(PEOPLE)} + 1] ELSE '' END FROM messages)"
+#: Words and what parts them, in order; names are capitalised words, and runs of them that only white space parts.
+_CANDIDATES = f"""pieces AS (SELECT id, regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS p FROM told),
+each AS (SELECT id, unnest(p) AS w, generate_subscripts(p, 1) AS k FROM pieces),
+caps AS (SELECT id, k, w, lag(w) OVER o AS gap, lag(w, 2) OVER o AS before FROM each WINDOW o AS (PARTITION BY id ORDER BY k)),
+starts AS (SELECT id, k, w, gap, CAST(NOT (coalesce(regexp_full_match(before, '[A-Z][a-z]+'), false) AND regexp_full_match(gap, '[ \\t\\n\\x0B\\f\\r]+')) AS INTEGER) AS fresh FROM caps WHERE regexp_full_match(w, '[A-Z][a-z]+')),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY k) AS run FROM starts),
+phrases AS (SELECT string_agg(CASE WHEN fresh = 1 THEN w ELSE gap || w END, '' ORDER BY k) AS name FROM runs GROUP BY id, run HAVING count(*) > 1),
+found AS (SELECT w AS name FROM starts WHERE length(w) BETWEEN 2 AND 20 UNION ALL SELECT name FROM phrases),
+names AS (SELECT name, count(*) AS n FROM found WHERE len(list_intersect(regexp_split_to_array(lower(name), '\\s+'), {_LIST(dict.fromkeys(entities.NO_NAMES))})) = 0 GROUP BY name HAVING count(*) >= 3)"""
+_IN = lambda t, flags="(?i)": f"CAST(NOT version AND regexp_matches(c, {_TEXT(flags + entities._marked(t))}) AS INTEGER)"
+_ADD = lambda ts, flags="(?i)": "(" + " + ".join(_IN(t, flags) for t in ts) + ")"
+_VERB = tuple(rf"\b{{}}\s+{v}\b" for v in entities.VERBS)
+#: Mentions by width, and of names before a v that goes on, with the four pieces on both sides.
+_SPAN = lambda a, b: f"coalesce(string_agg(w, '') OVER (PARTITION BY id ORDER BY k ROWS BETWEEN {a} AND {b}), '')"
+#: Pieces of the widest name that the SQL looks for.
+_WIDTHS = (1, 3, 5, 7, 9)
+_UPTO = lambda n: f"{n} FOLLOWING" if n else "CURRENT ROW"
+_SIGNALS = f"""plain AS (SELECT id, unnest(p) AS w, generate_subscripts(p, 1) AS k FROM (SELECT id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS p FROM told)),
+sides AS (SELECT id, k, w, {_SPAN("4 PRECEDING", "1 PRECEDING")} AS before, {", ".join(f"{_SPAN('CURRENT ROW', _UPTO(n - 1))} AS key{n}, {_SPAN(_UPTO(n), _UPTO(n + 3))} AS after{n}, lead(w, {n - 1}) OVER (PARTITION BY id ORDER BY k) AS last{n}" for n in _WIDTHS)} FROM plain),
+spans AS ({" UNION ALL ".join(f"SELECT id, {n} AS n, lower(key{n}) AS key, last{n} AS last, before, after{n} AS after FROM sides WHERE last{n} IS NOT NULL AND regexp_matches(w, '^[\\p{{L}}\\p{{N}}_]')" for n in _WIDTHS)}),
+hits AS (SELECT id, n, key, before, after, false AS version FROM spans UNION ALL SELECT id, n, key[1:length(key) - length(last) + j], before, after, true FROM (SELECT *, unnest(range(1, length(last) - 1)) AS j FROM spans WHERE regexp_matches(last, '(?i).v[A-Za-z0-9_]')) WHERE regexp_matches(last[j + 1:j + 2], '(?i)^v[A-Za-z0-9_]')),
+wide AS (SELECT name, lower(name) AS key, len(regexp_extract_all(name, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+')) AS n FROM names),
+mine AS (SELECT wide.name, version, before || '{MARK}' || after AS c FROM hits JOIN wide USING (key, n)),
+told2 AS (SELECT name, 2 * {_ADD(_VERB)} AS v, 2 * ({_ADD(entities.TALK, "(?im)")}) + {_IN(entities.SAID, "(?im)")} AS t, 2 * {_ADD(entities.HAIL)} + {_IN(entities.DEAR)} AS h,
+  2 * {_ADD(entities.PROJECT + entities.LOCAL_PROJECT)} + 3 * greatest(CAST(version AS INTEGER), {_IN("{}-[A-Za-z0-9_]+")}) AS project FROM mine),
+lines AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM (SELECT id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT id, regexp_split_to_array(text, '\\r?\\n') AS l FROM told))),
+close AS (SELECT * FROM (SELECT id, k, line, bool_or(regexp_matches(line, {_TEXT(entities.PRONOUN)})) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM lines) WHERE near),
+lp AS (SELECT id, k, unnest(p) AS w, generate_subscripts(p, 1) AS j FROM (SELECT id, k, regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS p FROM close)),
+lk AS (SELECT id, k, w, {", ".join(f"string_agg(w, '') OVER (PARTITION BY id, k ORDER BY j ROWS BETWEEN CURRENT ROW AND {_UPTO(n - 1)}) AS key{n}, lead(w, {n - 1}) OVER (PARTITION BY id, k ORDER BY j) AS last{n}" for n in _WIDTHS)} FROM lp),
+ln AS (SELECT DISTINCT * FROM ({" UNION ALL ".join(f"SELECT id, k, {n} AS n, lower(key{n}) AS key FROM lk WHERE last{n} IS NOT NULL AND regexp_matches(w, '^[\\p{{L}}\\p{{N}}_]')" for n in _WIDTHS)})),
+ps AS (SELECT name, count(*) AS p FROM ln JOIN wide USING (key, n) GROUP BY 1),
+sums AS (SELECT name, sum(v) AS v, sum(t) AS t, sum(h) AS h, sum(project) AS project FROM told2 GROUP BY 1),
+scored AS (SELECT name, n, CAST(2 * coalesce(v, 0) + 3 * coalesce(t, 0) + 4 * coalesce(h, 0) + 2 * coalesce(p, 0) AS BIGINT) AS person,
+  CAST(CAST(coalesce(v, 0) > 0 AS INTEGER) + CAST(coalesce(t, 0) > 0 AS INTEGER) + CAST(coalesce(h, 0) > 0 AS INTEGER) + CAST(coalesce(p, 0) > 0 AS INTEGER) AS BIGINT) AS kinds, CAST(coalesce(project, 0) AS BIGINT) AS project FROM names LEFT JOIN sums USING (name) LEFT JOIN ps USING (name))"""
 ORACLE_SQL = {
     "emotions_flags": f"WITH {M.literal_sql(MOODS)} SELECT i, {_DISTINCT3(_FIRST(dialect.MOODS))} AS moods, {_DISTINCT3(_FIRST([(w, f) for f, ws in dialect.FLAGS for w in ws]))} AS flags FROM corpus",
     "memory_types": f"""WITH {M.literal_sql(MEMORIES)}, s AS (SELECT i, text, {', '.join(f'({_N("lower(text)", ps)}) AS {k}' for k, ps in memory.MARKERS.items())},
@@ -203,9 +268,21 @@ c AS (SELECT session, theme, count(*) AS n FROM w WHERE strlen(theme) >= 4 AND r
 SELECT * FROM (SELECT session, CAST(row_number() OVER (PARTITION BY session ORDER BY n DESC, theme) AS INTEGER) AS rank, theme, n FROM c) WHERE rank <= 3""",
     "session_saves": "SELECT conv_id AS session, count(*) // 15 AS saves FROM conversations WHERE role = 'user' GROUP BY conv_id",
     "slack_roles": "WITH f AS (SELECT c_nationkey AS chat, o_custkey AS speaker, min(o_orderkey) AS place FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) SELECT chat, speaker, CASE WHEN row_number() OVER (PARTITION BY chat ORDER BY place) % 2 = 1 THEN 'user' ELSE 'assistant' END AS role FROM f",
-    "similar_names": f"""WITH {M.literal_sql(CLAIMS)}, n(name) AS (VALUES {', '.join(f"('{x}')" for x in NAMES)}), h AS (SELECT i, name, regexp_matches(text, '(?i)\\b' || name || '\\b') AS has FROM corpus, n)
-SELECT a.i, a.name, b.name AS other, CAST(levenshtein(lower(a.name), lower(b.name)) AS INTEGER) AS distance FROM h a JOIN h b ON a.i = b.i AND a.has AND NOT b.has WHERE levenshtein(lower(a.name), lower(b.name)) BETWEEN 1 AND 2""",
+    "similar_names": f"""WITH {M.PART_NAMES}, t AS (SELECT p_partkey AS i, ' ' || lower('one ' || label || ' of ' || p_name || ' here') || ' ' AS text FROM part_names),
+n AS (SELECT DISTINCT unnest([p_name, label]) AS name FROM part_names), near AS (SELECT a.name, b.name AS other, levenshtein(lower(a.name), lower(b.name)) AS distance FROM n a, n b WHERE levenshtein(lower(a.name), lower(b.name)) BETWEEN 1 AND 2),
+h AS (SELECT i, name FROM t, n WHERE contains(text, ' ' || lower(name) || ' '))
+SELECT h.i, h.name, near.other, CAST(near.distance AS INTEGER) AS distance FROM h JOIN near USING (name) WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.i = h.i AND o.name = near.other)""",
+    "near_names_of_tables": f"""WITH {M.PART_NAMES}, n AS (SELECT DISTINCT name FROM (SELECT unnest([p_name, label]) AS name FROM part_names UNION ALL SELECT c_name FROM customer UNION ALL SELECT s_name FROM supplier))
+SELECT a.name, b.name AS other, CAST(levenshtein(lower(a.name), lower(b.name)) AS INTEGER) AS distance FROM n a, n b WHERE abs(length(a.name) - length(b.name)) <= 2 AND levenshtein(lower(a.name), lower(b.name)) BETWEEN 1 AND 2""",
+    "entity_candidates": f"{_D}, told AS (SELECT id, content AS text FROM drawers), {_CANDIDATES} SELECT name, n FROM names",
+    "entity_scores": f"WITH {M.DRAWERS}, {M.MESSAGES}, {_TOLD}, {_CANDIDATES}, {_SIGNALS} SELECT name, n, person, kinds, project FROM scored",
+    "entity_class": f"""WITH {M.DRAWERS}, {M.MESSAGES}, {_TOLD}, {_CANDIDATES}, {_SIGNALS},
+c AS (SELECT *, person / greatest(person + project, 1) AS ratio, person / greatest(person + project, 1) >= 0.7 AND kinds >= 2 AND person >= 5 AS sure FROM scored),
+k AS (SELECT name, n, CASE WHEN person + project = 0 THEN 'uncertain' WHEN sure THEN 'person' WHEN ratio >= 0.7 THEN 'uncertain' WHEN ratio <= 0.3 THEN 'project' ELSE 'uncertain' END AS kind,
+  CASE WHEN person + project = 0 THEN least(0.4, n / 50) WHEN sure THEN least(0.99, 0.5 + ratio * 0.5) WHEN ratio >= 0.7 THEN 0.4 WHEN ratio <= 0.3 THEN least(0.99, 0.5 + (1 - ratio) * 0.5) ELSE 0.5 END AS confidence FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY confidence DESC, n DESC, name) AS rank FROM k)
+SELECT name, n, kind, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM r WHERE rank <= CASE kind WHEN 'person' THEN 15 WHEN 'project' THEN 10 ELSE 8 END""",
     "documents_origin": f"""{_D}, c AS (SELECT wing AS corpus, sum(strlen(content)) + 2 * (count(*) - 1) AS b, CAST(sum({_N('content', [f'(?i){p}' for p in origin.TURN_MARKS])}) AS BIGINT) AS turns FROM drawers GROUP BY wing)
 SELECT corpus, CAST(0 AS BIGINT) AS brands, turns, NOT b >= 150 AS ai_dialogue, CAST(CASE WHEN b >= 150 THEN 0.9 ELSE 0.4 END AS DOUBLE) AS confidence FROM c""",
 }
-QUERIES = {f.__name__: f for f in (memory_types, emotions_flags, topics_top3, key_sentence, token_estimates, compress_lines, compress_totals, chunk_text, chunk_paragraph, chunk_exchange, convo_room, file_room, exchange_pairs, sweep_ids, sweep_new_only, themes_recent, session_saves, slack_roles, entity_candidates, entity_class, fact_issues, similar_names, corpus_origin, documents_origin, query_sanitizer)}
+QUERIES = {f.__name__: f for f in (memory_types, emotions_flags, topics_top3, key_sentence, token_estimates, compress_lines, compress_totals, chunk_text, chunk_paragraph, chunk_exchange, convo_room, file_room, exchange_pairs, sweep_ids, sweep_new_only, themes_recent, session_saves, slack_roles, entity_candidates, entity_scores, entity_class, fact_issues, similar_names, near_names_of_tables, corpus_origin, documents_origin, query_sanitizer)}
