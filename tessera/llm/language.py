@@ -29,8 +29,9 @@ class LanguageModel:
     languages: tuple[str, ...]
     dictionaries: tuple[bytes, ...]
     segment_bytes: int = 512
-    #: Share of the best size by which the second must exceed it, a byte at least.
-    min_margin: float = 0.003
+    #: Share of the best size by which the second must exceed it, a byte at least.  Of texts in a language that no
+    #: dictionary knows, nine tenths and more stay below 3 %; of texts in a known one, one in two hundred does.
+    min_margin: float = 0.03
 
 
 def letters(text: Column) -> Column:

@@ -47,7 +47,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LIST = ", ".join(f"'{c}'" for c in CATEGORIES)
 ORACLE = f"""
 WITH p AS (
-  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '{HOST}', 1)) AS host,
+  SELECT page_id, lower(regexp_replace(regexp_extract(coalesce(url, ''), '{HOST}', 1), '\\.+$', '')) AS host,
          DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS day FROM pages
 ), s AS (
   SELECT DISTINCT host AS full_host, string_split(host, '.') AS l FROM p WHERE host <> ''

@@ -20,8 +20,12 @@ ADDED = ["host", "blocked", "category", "categories", "rule", "since"]
 
 
 def host_of(url: Column) -> Column:
-    """The host of a URL in small letters; empty for null and for other texts."""
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
+    """The host of a URL in small letters, without dots at its end; empty for null and for other texts."""
+    return _plain(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
+
+
+def _plain(host: Column) -> Column:
+    return F.lower(F.regexp_replace(host, r"\.+$", ""))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -29,10 +33,10 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     ``action`` is ``list`` or ``delist``; each holds until the next event of the
     same host and category, a null category being one of its own.  A listing
-    outweighs a delisting of the same day.  Rows with a null host or day play no
+    outweighs a delisting of the same day.  Dots at the end of a host don't count.  Rows with a null host or day play no
     part; repeated rows count once.
     """
-    clean = entries.filter("host is not null and day is not null").groupBy(F.lower("host").alias("host"), "category", "day").agg(F.max("action").alias("action"))
+    clean = entries.filter("host is not null and day is not null").groupBy(_plain(F.col("host")).alias("host"), "category", "day").agg(F.max("action").alias("action"))
     until = F.coalesce(F.lead("day").over(W.partitionBy("host", "category").orderBy("day")), F.lit(OPEN).cast("date"))
     return clean.select("host", F.col("day").alias("since"), until.alias("until"), "action", "category").filter("action = 'list'").drop("action")
 

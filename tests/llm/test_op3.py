@@ -33,6 +33,13 @@ def test_intervals_and_edges(spark):
     assert as_of(captures.limit(0), found).count() == 0 and not any(r.blocked for r in as_of(captures, found.limit(0)).collect())
 
 
+def test_dots_at_the_end_of_a_host_do_not_evade_the_list(spark):
+    found = intervals(spark.createDataFrame([("bad.com", "2024-01-01", "list", "x"), ("worse.org.", "2024-01-01", "list", "y")], "host string, day string, action string, category string").withColumn("day", F.col("day").cast("date")))
+    urls = ["http://bad.com./x", "http://a.BAD.com..:80/", "http://worse.org/", "http://worse.org./", "http://./", "http://good.com./"]
+    rows = spark.createDataFrame([(i, u, datetime.date(2024, 2, 1)) for i, u in enumerate(urls)], "page_id long, url string, day date")
+    assert [(r.host, r.blocked) for r in as_of(rows, found).orderBy("page_id").collect()] == [("bad.com", True), ("a.bad.com", True), ("worse.org", True), ("worse.org", True), ("", False), ("good.com", False)]
+
+
 def test_categories_labels_and_addresses(spark):
     list_ = [("x.com", "2024-01-01", "list", "spam"), ("x.com", "2024-02-01", "list", "malware"), ("x.com", "2024-03-01", "delist", "malware"), ("x.com", "2024-02-01", "list", None), ("zip", "2024-01-01", "list", "tld"), ("3.4", "2024-01-01", "list", "bad"), ("1.2.3.4", "2024-01-01", "list", "net"), ("[::1]", "2024-01-01", "list", "six")]
     found = intervals(spark.createDataFrame(list_, "host string, day string, action string, category string").withColumn("day", F.col("day").cast("date")))

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
 from tests.llm import test_op2, test_op6, test_op7, test_op10
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +79,11 @@ def test_stages_on_odd_rows_and_clashing_names(spark):
     assert set(found["mixture"]) <= {i for i, _ in texts} and all(n >= 1 for n in found["mixture"].values())
     pieces = cp.packing(spark, docs, SF).collect()
     assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(i for i, _ in texts)
+
+
+def test_texts_of_an_unlearned_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    unlearned = docs.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    kept = stage(spark, "language", unlearned)
+    assert kept.filter("lang is null").count() < 0.15 * docs.filter("lang = 'de'").count()
+    assert kept.filter("lang is not null").count() > 0.97 * docs.filter("lang <> 'de'").count()
