@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.functions.text import content_id
 from tessera.operators import chunk
 from tessera.operators.store import Store
+from tessera.runtime import scratch
 from tessera.sources import files
 
 
@@ -25,14 +26,14 @@ def drawers_of(found: DataFrame, wing: str, rooms: list[tuple[str, list[str]]],
 def mine(store: Store, root: str, wing: str, rooms: list[tuple[str, list[str]]], patterns: list[str] = [], agent: str = "miner") -> int:
     """Read the files below ``root`` that changed since they were read; returns the drawers added.
 
-    Drawers of a changed file that it no longer gives go in the same step.
+    Drawers of a changed file that it no longer gives go in the same version of
+    the store as the new ones come; files are read once.
     """
     base = store.version("drawers")
     stored = store.read("drawers", base).filter(F.col("wing") == wing)
     fresh = stored.groupBy("source_file").agg(F.max("source_mtime").alias("mtime"))
-    found = files.not_yet_read(files.readable(files.scan(store.spark, root, patterns=patterns)), fresh)
-    new = drawers_of(found, wing, rooms, agent)
-    stale = stored.join(found.select(F.col("path").alias("source_file")), "source_file", "left_semi").join(new.select("id"), "id", "left_anti").select("id").collect()
-    if stale:
-        store.delete_drawers(store.spark.createDataFrame(stale, "id string"))
-    return store.add_drawers(new)
+    with scratch(store.spark) as keep:
+        found = keep(files.not_yet_read(files.readable(files.scan(store.spark, root, patterns=patterns)), fresh), "mine-files")
+        new = keep(drawers_of(found, wing, rooms, agent), "mine-drawers")
+        stale = keep(stored.join(found.select(F.col("path").alias("source_file")), "source_file", "left_semi").join(new.select("id"), "id", "left_anti").select("id"), "mine-stale")
+        return store.exchange_drawers(stale, new, base)

@@ -4,7 +4,7 @@ Parquet files aren't changed in place.  A version of a table is a list of
 folders; a mutation writes a new folder, beside the old ones or instead of them,
 and then moves the pointer, so readers see one version or the other, and a job
 that is lost in between leaves the old one.  Drawers and their postings move
-under one pointer.  A writer names the version that it started from and fails if
+under one pointer, and so do facts and entities.  A writer names the version that it started from and fails if
 another has moved on since, so no update is lost.
 """
 
@@ -33,7 +33,7 @@ SCHEMAS = {
 
 
 #: Tables that share the pointer of another.
-TOGETHER = {"drawer_words": "drawers"}
+TOGETHER = {"drawer_words": "drawers", "entities": "triples"}
 #: Folders of a table after which an append writes it anew as one.
 FOLDERS = 32
 
@@ -141,6 +141,24 @@ class Store:
             self._extend(base, {"drawers": (folder, new), "drawer_words": words})
         return added
 
+    def exchange_drawers(self, gone: DataFrame, rows: DataFrame, base: int) -> int:
+        """Delete the drawers of ``gone`` (id) and add those of ``rows`` whose id is new, in one version.
+
+        Both were made from version ``base``; a writer that has moved on since
+        makes it fail, and until the pointer moves all readers see the old state.
+        Returns the drawers added.
+        """
+        if not gone.limit(1).count():
+            return self.add_drawers(rows, base)
+        ids = gone.select("id")
+        kept = [self._put(name, self.read(name, base).join(ids, "id", "left_anti")) for name in ("drawers", "drawer_words")]
+        new = self._put("drawers", rows.dropDuplicates(["id"]).join(kept[0][1].select("id"), "id", "left_anti"))
+        words = self._put("drawer_words", index.build_postings(new[1].select("id", "content")))
+        parts = {"drawers": (kept[0], new), "drawer_words": (kept[1], words)}
+        added = new[1].count()
+        self._move("drawers", base, {name: {"folders": [f for f, _ in both], "rows": sum(df.count() for _, df in both)} for name, both in parts.items()})
+        return added
+
     def add_contents(self, rows: DataFrame) -> int:
         """Append drawers (wing, room, content) under ids by what they hold."""
         return self.add_drawers(rows.withColumn("id", content_id(F.col("wing"), F.col("room"), F.col("content"))))

@@ -120,16 +120,15 @@ class Tools:
     def kg_add(self, subject: str, predicate: str, object: str, valid_from: str | None = None, valid_to: str | None = None, confidence: float = 1.0) -> int:
         row = [(value(subject), name(predicate, "predicate"), value(object), valid_from and kg.canonical_time(valid_from), valid_to and kg.canonical_time(valid_to), kg.check_confidence(float(confidence)))]
         new = self.spark.createDataFrame(row, "subject string, predicate string, object string, valid_from string, valid_to string, confidence double")
-        at = {t: self.store.version(t) for t in ("triples", "entities")}
-        old, entities = (self.store.read(t, v) for t, v in at.items())
+        base = self.store.version("triples")
+        old, entities = (self.store.read(t, base) for t in ("triples", "entities"))
         rows = kg.add_facts(old, new)
         shown = {kg._id(x): x for x in (subject, object)}
         names = F.create_map(*[F.lit(x) for kv in shown.items() for x in kv])
         ends = kg.new_entities(entities, rows).withColumn("name", names[F.col("id")])
         added = rows.count()
         if added:
-            self.store.append(at["entities"], entities=ends)
-            self.store.append(at["triples"], triples=rows)
+            self.store.append(base, triples=rows, entities=ends)
         return added
 
     def kg_invalidate(self, subject: str, predicate: str, object: str, ended: str) -> None:

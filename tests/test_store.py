@@ -133,3 +133,44 @@ def test_greedy_without_a_limit_of_pairs(spark):
     pairs = spark.createDataFrame([("f", "a", "b")], "source_file string, a string, b string")
     sizes = spark.createDataFrame([(f"z{i:05}", "f", 9) for i in range(200)] + [("a", "f", 2), ("b", "f", 1)], "id string, source_file string, length int")
     assert dedup.greedy(pairs, sizes, 100).count() == 0 and [r.id for r in dedup.greedy(pairs, sizes, None).collect()] == ["b"]
+
+
+def test_mining_a_changed_file_is_one_version(spark, store, tmp_path, monkeypatch):
+    rooms = [("docs", []), ("general", [])]
+    (tmp_path / "a.md").write_text("# One\n\n" + "the first text of the file with many words in it " * 40)
+    (tmp_path / "b.md").write_text("# Two\n\n" + "another file that stays as it is in every run " * 40)
+    root = f"file://{tmp_path}"
+    assert mining.mine(store, root, "proj", rooms) > 0
+    state = lambda: (sorted((r.id, r.content) for r in store.read("drawers").collect()), sorted(map(tuple, store.read("drawer_words").collect())))
+    before, version = state(), store.version("drawers")
+    (tmp_path / "a.md").write_text("# One\n\n" + "quite different words stand here after the change " * 40)
+    (tmp_path / "a.md").touch()
+
+    def lost(*args):
+        raise OSError("the job was lost before the pointer moved")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_move", lost)
+        with pytest.raises(OSError):
+            mining.mine(store, root, "proj", rooms)
+    assert state() == before and store.version("drawers") == version
+    assert mining.mine(store, root, "proj", rooms) > 0
+    assert store.version("drawers") == version + 1
+    texts = " ".join(c for _, c in state()[0])
+    assert "quite different" in texts and "first text" not in texts and "another file" in texts
+    words = {w for w, _, _ in state()[1]}
+    assert "different" in words and "first" not in words
+
+
+def test_mining_names_the_version_it_read(spark, store, tmp_path, monkeypatch):
+    (tmp_path / "a.md").write_text("some words that are long enough to be kept as a drawer of their own in the store " * 3)
+    real = mining.drawers_of
+
+    def slow(*args):
+        store.add_drawers(spark.createDataFrame([("late", "w", "r", "came between")], "id string, wing string, room string, content string"))
+        return real(*args)
+
+    monkeypatch.setattr(mining, "drawers_of", slow)
+    with pytest.raises(Exception):
+        mining.mine(store, f"file://{tmp_path}", "proj", [("docs", [])])
+    assert [r.id for r in store.read("drawers").collect()] == ["late"]

@@ -144,3 +144,21 @@ def test_adapters(spark):
     rows = known.read("lines")
     assert rows.count() == 4 and adapter.conforming(rows, {"n": "int"}, ["n"]).count() == 2
     assert adapter.is_filed(rows, "file1", 1) and not adapter.is_filed(rows, "file3", 0) and adapter.count_filed(rows, "file2") == 2
+
+
+def test_facts_and_entities_move_together(tools, monkeypatch):
+    from tessera.operators.store import Store
+
+    tools.kg_add("Ann", "knows", "Bea")
+    before = (tools.store.read("triples").count(), tools.store.read("entities").count())
+
+    def lost(*args):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_move", lost)
+        with pytest.raises(OSError):
+            tools.kg_add("Cid", "knows", "Dan")
+    assert (tools.store.read("triples").count(), tools.store.read("entities").count()) == before
+    assert tools.kg_add("Cid", "knows", "Dan") == 1 and tools.store.read("entities").count() == before[1] + 2
+    assert tools.store.version("triples") == tools.store.version("entities")
