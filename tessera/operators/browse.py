@@ -89,6 +89,12 @@ def file_freshness(rows: DataFrame) -> DataFrame:
     return rows.filter("source_file <> ''").groupBy("source_file").agg(agreed.alias("mtime"), F.count("*").alias("n"))
 
 
+def folders_above(path: Column) -> Column:
+    """The texts before each stroke of a path."""
+    parts = F.split(path, "/")
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).otherwise(F.array().cast("array<string>"))
+
+
 def sync_buckets(drawers: DataFrame, roots: DataFrame, present: DataFrame, ignored: DataFrame) -> DataFrame:
     """Each drawer's bucket: kept, gitignored, missing, no_source or out_of_scope.
 
@@ -97,7 +103,10 @@ def sync_buckets(drawers: DataFrame, roots: DataFrame, present: DataFrame, ignor
     first, so each is compared with the roots once.
     """
     files = drawers.select("source_file").distinct().filter("source_file <> ''")
-    above = files.join(F.broadcast(roots), F.startswith(F.col("source_file"), F.concat(F.rtrim(F.col("root"), F.lit("/")), F.lit("/")))).groupBy("source_file").agg(F.max_by("root", F.length("root")).alias("root"))
+    # a file meets its roots by the folders above it
+    folders = files.select("source_file", F.explode(folders_above(F.col("source_file"))).alias("_folder"))
+    own = roots.select("root", F.rtrim(F.col("root"), F.lit("/")).alias("_folder"))
+    above = folders.join(own, "_folder").groupBy("source_file").agg(F.max_by("root", F.length("root")).alias("root"))
     facts = files.join(above, "source_file", "left").join(present.distinct().withColumn("here", F.lit(True)), "source_file", "left").join(ignored.distinct().withColumn("out", F.lit(True)), "source_file", "left")
     bucket = F.when(F.col("root").isNull(), "out_of_scope").when(F.col("here").isNull(), "missing").when(F.col("out"), "gitignored").otherwise("kept")
     named = facts.select("source_file", "root", bucket.alias("bucket"))

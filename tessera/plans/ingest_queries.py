@@ -8,6 +8,7 @@ from tessera.operators import diary, messages
 from tessera.operators.store import Store
 from tessera.plans import model as M
 from tessera.runtime import new_path
+from tessera.sources import ignore
 from tessera.streaming.ingest import message_stream, sweep_into
 
 WING, AGENT = "wing_test diary", "scribe"
@@ -42,11 +43,39 @@ def stream_sweep_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return store.read("drawers").select("id", "content")
 
 
+#: Lines of the ignore files at the top, of each source and of its tmp folder.
+TOP = "# build output\n*.log\n!keep_*.log\n/src1/tmp/\n"
+OF_SOURCE = "cache/**/f*.py\n\ndocs/*/*.md\n!docs/en/*.md\n!*5.log\n"
+OF_TMP = "*\n!*.md\n!*/\n"
+
+
+def ignored_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """A tree of a file for each document, with ignore files at three levels: what stays."""
+    d = M.table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("lang", F.lit("xx")).alias("lang"))
+    pick = lambda n, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("doc_id") % n + 1).cast("int"))
+    name = F.concat(F.when(F.col("doc_id") % 7 == 0, "keep_").otherwise(""), F.lit("f"), F.col("doc_id"), pick(3, ".md", ".log", ".py"))
+    paths = d.select("doc_id", F.concat_ws("/", "source", pick(4, "src", "tmp", "docs", "cache/deep"), "lang", name).alias("path"))
+    sources = d.select("source").distinct()
+    files = sources.select(F.col("source").alias("folder"), F.lit(OF_SOURCE).alias("content")).unionAll(sources.select(F.concat("source", F.lit("/tmp")), F.lit(OF_TMP)))
+    top = d.select(F.lit("").alias("folder"), F.lit(TOP).alias("content")).distinct()
+    return ignore.kept(paths, files.unionAll(top))
+
+
+_RULES = """('top', 1, false, false, '^(.*/)?[^/]*[.]log$'), ('top', 2, true, false, '^(.*/)?keep_[^/]*[.]log$'), ('top', 3, false, true, '^src1/tmp$'),
+('source', 0, false, false, '^cache/(.*/)?f[^/]*[.]py$'), ('source', 2, false, false, '^docs/[^/]*/[^/]*[.]md$'), ('source', 3, true, false, '^docs/en/[^/]*[.]md$'), ('source', 4, true, false, '^(.*/)?[^/]*5[.]log$'),
+('tmp', 0, false, false, '^(.*/)?[^/]*$'), ('tmp', 1, true, false, '^(.*/)?[^/]*[.]md$'), ('tmp', 2, true, true, '^(.*/)?[^/]*$')"""
 _MSG = f"WITH {M.MESSAGES}, d AS (SELECT * FROM messages WHERE role IN ('user', 'assistant') AND trim(text) <> '')"
 _TRIM = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 ORACLE_SQL = {
+    "ignored_paths": f"""WITH r(level, line, keep, folders_only, pattern) AS (VALUES {_RULES}),
+f AS (SELECT doc_id, coalesce(source, 'none') || '/' || ['src', 'tmp', 'docs', 'cache/deep'][doc_id % 4 + 1] || '/' || coalesce(lang, 'xx') || '/' || CASE WHEN doc_id % 7 = 0 THEN 'keep_' ELSE '' END || 'f' || doc_id || ['.md', '.log', '.py'][doc_id % 3 + 1] AS path FROM documents),
+e AS (SELECT doc_id, path, p, unnest(range(1, len(p) + 1)) AS n FROM (SELECT doc_id, path, string_split(path, '/') AS p FROM f)),
+m AS (SELECT e.doc_id, n, r.level, r.line, r.keep FROM e, r WHERE (n < len(p) OR NOT folders_only) AND CASE level WHEN 'top' THEN regexp_matches(array_to_string(p[1:n], '/'), pattern)
+  WHEN 'source' THEN n > 1 AND regexp_matches(array_to_string(p[2:n], '/'), pattern) ELSE n > 2 AND p[2] = 'tmp' AND regexp_matches(array_to_string(p[3:n], '/'), pattern) END),
+v AS (SELECT doc_id, n, arg_max(keep, CASE level WHEN 'top' THEN 0 WHEN 'source' THEN 100 ELSE 200 END + line) AS keep FROM m GROUP BY 1, 2)
+SELECT doc_id, path FROM f WHERE doc_id NOT IN (SELECT doc_id FROM v WHERE NOT keep)""",
     "diary_sections": f"""{_MSG}, f AS (SELECT *, 'diary/2024-01-' || lpad(CAST(session % 28 + 1 AS VARCHAR), 2, '0') || '-' || session || '.md' AS path, CAST(row_number() OVER (PARTITION BY session ORDER BY turn) - 1 AS INTEGER) AS n FROM d)
 SELECT 'diary-wing_test_diary-' || substr(sha256('{WING}' || chr(0) || '{AGENT}' || chr(0) || path), 1, 8) || '-' || substr(path, 7, 10) || '-' || n AS id, path AS source_file, n AS chunk_index, '## ' || role || ' ' || turn || chr(10) || {_TRIM} AS content FROM f WHERE session % 3 <> 1""",
     "stream_sweep_dedup": f"{_MSG} SELECT 'sweep_' || session || '_' || uuid AS id, text AS content FROM d",
 }
-QUERIES = {f.__name__: f for f in (diary_sections, stream_sweep_dedup)}
+QUERIES = {f.__name__: f for f in (diary_sections, stream_sweep_dedup, ignored_paths)}

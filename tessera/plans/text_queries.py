@@ -1,11 +1,13 @@
 """Queries over texts and messages, and their SQL.
 
-The documents hold no markers, claims or brand terms, so the queries on those
-use short corpora given in place.
+The tables hold no markers, claims or brand terms, so the queries on those put a
+sentence beside the text of each row, by its key; all rows and whole texts count.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W, functions as F
 
 from tessera.functions import dialect, memory, origin
@@ -26,33 +28,32 @@ MEMORIES = [
     "short bug",
 ]
 MOODS = ["I'm really excited but also worried about the deadline", "We decided to switch because the old API was too slow", "plain words", "they were happy, sad, curious and surprised; the core principle was realized"]
-CLAIMS = ["Bob is Alice's brother. Then Alice's friend is Carol.", "Bob is Alice's brother", "no claim", "Dora is Erin's boss and Bobb was there with Alyce"]
-FACTS = [("f1", "bob", "brother", "alice", None, "2020-01-01"), ("f2", "bob", "cousin", "alice", None, None), ("f3", "carol", "friend", "alice", None, None), ("f4", "dora", "Boss", "erin", None, "2019-01-01")]
-NAMES = ["Alice", "Alyce", "Bob", "Bobb", "Carol", "Karel", "Dora"]
-ORIGINS = [
-    ("narrative", "The river ran past the old mill and the children followed it down to the sea. " * 4),
-    ("brand", "We asked ChatGPT and OpenAI models; the LLM with RAG answered. Claude agreed."),
-    ("turns", "user: hello there\nassistant: hi\nuser: more\nassistant: less"),
-    ("ambiguous", "Claude played the Opus under a Gemini moon, and the Llama slept through the Mistral. " * 3),
-    ("short", "too short"),
-]
+BRANDED = ["We asked ChatGPT and OpenAI models; the LLM with RAG answered.", "user: hello there\nassistant: hi", "Claude played the Opus under a Gemini moon.", ""]
+TALKS = [*MEMORIES, *MOODS, "the roadmap and sprint plan", "code code code", "layer service and git api"]
 PEOPLE = [
     "Clara said she was late. Hey Clara, are you there? Clara asked for tea. Clara: hello\nthen they left with Clara",
     "We are building Vortex and deployed Vortex v2. The Vortex pipeline runs import Vortex daily. Old North Gate stood. Old North Gate fell. Old North Gate rose.",
     "Quill met Quill and Quill, said nobody.",
 ]
-QUERIES_RAW = ["short question?", "x" * 210, "prompt " * 40 + "\nwhat is the deadline?", "prompt " * 40 + "\nfind the deadline", "y" * 300 + "\n?!", "  \n ", "z" * 260 + "\n" + "w" * 300]
+ASKED = ["what is the deadline?", "find the deadline", "?!", "", "w" * 300]
 ROOMS = [("frontend", ["ui", "react"]), ("backend", ["api", "server"]), ("docs", [])]
-PATHS = [("src/frontend-app/a.ts", "x"), ("interviews/b.md", "the api and the server"), ("ui/c.md", ""), ("docs.md", "api"), ("d.txt", "nothing"), ("lib/e.md", "api react react")]
+FOLDERS, STEMS, WORDS = ["src/frontend-app", "interviews", "ui", "lib/api", "d", "Docs"], ["note", "docs", "react", "a"], ["api react react", "the api and the server", "", "DOCS"]
+
+
+def _beside(spark, sf, phrases, first=False):
+    """(i, text): messages on one line with one of ``phrases`` behind, or before, by session and turn."""
+    said = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    phrase = F.get(F.array(*[F.lit(p) for p in phrases]), ((F.col("session") * 3 + F.col("turn")) % len(phrases)).cast("int"))
+    return M.messages(spark, sf).select(F.col("uuid").alias("i"), F.concat_ws(" ", *((phrase, said) if first else (said, phrase))).alias("text"))
 
 
 def memory_types(spark, sf):
-    rows = M.literal_rows(spark, MEMORIES).select("i", F.posexplode(memory.segments(F.col("text"))).alias("at", "segment"))
+    rows = _beside(spark, sf, MEMORIES).select("i", F.posexplode(memory.segments(F.col("text"))).alias("at", "segment"))
     return memory.classified(rows).select("i", "kind", M.rounded(F.col("confidence")).alias("confidence"))
 
 
 def emotions_flags(spark, sf):
-    return M.literal_rows(spark, MOODS).select("i", F.array_join(dialect.moods(F.col("text")), ",").alias("moods"), F.array_join(dialect.flags(F.col("text")), ",").alias("flags"))
+    return _beside(spark, sf, MOODS).select("i", F.array_join(dialect.moods(F.col("text")), ",").alias("moods"), F.array_join(dialect.flags(F.col("text")), ",").alias("flags"))
 
 
 def topics_top3(spark, sf):
@@ -95,13 +96,14 @@ def chunk_exchange(spark, sf):
 
 
 def convo_room(spark, sf):
-    texts = M.literal_rows(spark, MEMORIES + MOODS + ["the roadmap and sprint plan", "code code code", "layer service and git api"])
-    return texts.select("i", chunk.conversation_room(F.col("text")).alias("room"))
+    return _beside(spark, sf, TALKS, True).select("i", chunk.conversation_room(F.col("text")).alias("room"))
 
 
 def file_room(spark, sf):
-    rows = spark.createDataFrame(PATHS, "path string, content string")
-    return rows.select("path", chunk.file_room(F.col("path"), F.col("content"), ROOMS).alias("room"))
+    """A file for each document in one of a few folders, with some words before its text."""
+    pick = lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.floor(F.col("doc_id") / k) % len(xs) + 1).cast("int"))
+    d = M.drawers(spark, sf).select("doc_id", F.concat(pick(FOLDERS, 1), F.lit("/"), pick(STEMS, 6), F.lit(".md")).alias("path"), F.concat(pick(WORDS, 24), F.lit(" "), "content").alias("content"))
+    return d.select("doc_id", chunk.file_room(F.col("path"), F.col("content"), ROOMS).alias("room"))
 
 
 def exchange_pairs(spark, sf):
@@ -162,9 +164,14 @@ def entity_class(spark, sf):
 
 
 def fact_issues(spark, sf):
-    t = spark.createDataFrame(FACTS, "id string, subject string, predicate string, object string, valid_from string, valid_to string")
-    e = spark.createDataFrame([(x.lower(), x) for x in ("Alice", "Bob", "Carol", "Dora", "Erin")], "id string, name string")
-    return facts.issues(facts.claims(M.literal_rows(spark, CLAIMS)), t, e, "2024-01-01").select("i", "subject", "predicate", "object", "kind", "known", "valid_to")
+    """Two claims about each customer; what is known of it is right, another word, or over."""
+    c = M.table(spark, sf, "customer").select(F.col("c_custkey").alias("i"), F.concat(F.lit("C"), "c_custkey").alias("s"), F.concat(F.lit("Nation"), "c_nationkey").alias("o"))
+    texts = c.select("i", F.concat(F.lit("They say "), "s", F.lit(" is "), "o", F.lit("'s client. But "), "o", F.lit("'s friend is "), "s", F.lit(".")).alias("text"))
+    known = F.when(F.col("i") % 2 == 0, "client").otherwise("Friend")
+    end = F.when(F.col("i") % 3 == 0, F.lit("2020-01-01")).when(F.col("i") % 5 == 0, F.lit("2030-01-01"))
+    t = c.select(F.concat(F.lit("f"), "i").alias("id"), F.lower("s").alias("subject"), known.alias("predicate"), F.lower("o").alias("object"), F.lit(None).cast("string").alias("valid_from"), end.alias("valid_to"))
+    e = c.select(F.lower("o").alias("id"), F.col("o").alias("name")).distinct()
+    return facts.issues(facts.claims(texts), t, e, "2024-01-01").select("i", "subject", "predicate", "object", "kind", "known", "valid_to")
 
 
 def similar_names(spark, sf):
@@ -182,7 +189,10 @@ def near_names_of_tables(spark, sf):
 
 
 def corpus_origin(spark, sf):
-    return origin.corpus_origin(spark.createDataFrame(ORIGINS, "corpus string, text string")).withColumn("confidence", M.rounded(F.col("confidence")))
+    """Wings and their rooms as corpora; some rooms speak of models, some in turns."""
+    phrase = F.get(F.array(*[F.lit(p) for p in BRANDED]), (F.length("room") + F.length("wing") + F.ascii(F.substring("room", 1, 1)) + F.ascii(F.substring("wing", -1, 1))) % len(BRANDED))
+    rows = M.drawers(spark, sf).select(F.concat_ws("/", "wing", "room").alias("corpus"), F.concat("content", F.lit("\n"), phrase).alias("text"))
+    return origin.corpus_origin(rows).withColumn("confidence", M.rounded(F.col("confidence")))
 
 
 def documents_origin(spark, sf):
@@ -191,7 +201,10 @@ def documents_origin(spark, sf):
 
 
 def query_sanitizer(spark, sf):
-    return M.literal_rows(spark, QUERIES_RAW).select("i", search.sanitized(F.col("text")).alias("s")).select("i", "s.query", "s.method")
+    """Messages as prompts, with a line behind each by session and turn."""
+    line = F.get(F.array(*[F.lit(x) for x in ASKED]), ((F.col("session") * 3 + F.col("turn")) % len(ASKED)).cast("int"))
+    asked = M.messages(spark, sf).select(F.col("uuid").alias("i"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), line).alias("text"))
+    return asked.select("i", search.sanitized(F.col("text")).alias("s")).select("i", "s.query", "s.method")
 
 
 _D = f"WITH {M.DRAWERS}"
@@ -203,6 +216,17 @@ _ROOM = " UNION ALL ".join(f"SELECT i, '{r}' AS room, {k} AS place, " + " + ".jo
 _MSG = f"WITH {M.MESSAGES}, d AS (SELECT * FROM messages WHERE role IN ('user', 'assistant') AND trim(text) <> '')"
 _POINTS = " + ".join(f"2 * CAST(contains(lower(s), '{w}') AS INTEGER)" for w in dialect.KEY_WORDS)
 _TEXT = lambda x: "'" + x.replace("'", "''") + "'"
+_ARRAY = lambda xs: "[" + ", ".join(map(_TEXT, xs)) + "]"
+
+
+def _beside_sql(phrases: list[str], first: bool = False) -> str:
+    said, phrase = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))", f"{_ARRAY(phrases)}[(session * 3 + turn) % {len(phrases)} + 1]"
+    return f"WITH {M.MESSAGES}, corpus AS (SELECT uuid AS i, {' || chr(32) || '.join((phrase, said) if first else (said, phrase))} AS text FROM messages)"
+
+
+_TERM = lambda t: "(?i)" + (r"\b" if t[0].isalnum() else "") + re.escape(t) + (r"\b" if t[-1].isalnum() else "")
+_PICK = lambda xs, k: f"{_ARRAY(xs)}[doc_id // {k} % {len(xs)} + 1]"
+_COUNT = lambda w: f"(length(low) - length(replace(low, '{w}', ''))) // {len(w)}"
 _TOLD = f"told AS (SELECT id, content AS text FROM drawers UNION ALL SELECT uuid, coalesce(text, '') || CASE WHEN (session + turn) % 7 = 0 THEN chr(10) || [{', '.join(map(_TEXT, PEOPLE))}][turn % {len(PEOPLE)} + 1] ELSE '' END FROM messages)"
 #: Words and what parts them, in order; names are capitalised words, and runs of them that only white space parts.
 _CANDIDATES = f"""pieces AS (SELECT id, regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS p FROM told),
@@ -239,9 +263,9 @@ sums AS (SELECT name, sum(v) AS v, sum(t) AS t, sum(h) AS h, sum(project) AS pro
 scored AS (SELECT name, n, CAST(2 * coalesce(v, 0) + 3 * coalesce(t, 0) + 4 * coalesce(h, 0) + 2 * coalesce(p, 0) AS BIGINT) AS person,
   CAST(CAST(coalesce(v, 0) > 0 AS INTEGER) + CAST(coalesce(t, 0) > 0 AS INTEGER) + CAST(coalesce(h, 0) > 0 AS INTEGER) + CAST(coalesce(p, 0) > 0 AS INTEGER) AS BIGINT) AS kinds, CAST(coalesce(project, 0) AS BIGINT) AS project FROM names LEFT JOIN sums USING (name) LEFT JOIN ps USING (name))"""
 ORACLE_SQL = {
-    "emotions_flags": f"WITH {M.literal_sql(MOODS)} SELECT i, {_DISTINCT3(_FIRST(dialect.MOODS))} AS moods, {_DISTINCT3(_FIRST([(w, f) for f, ws in dialect.FLAGS for w in ws]))} AS flags FROM corpus",
-    "memory_types": f"""WITH {M.literal_sql(MEMORIES)}, s AS (SELECT i, text, {', '.join(f'({_N("lower(text)", ps)}) AS {k}' for k, ps in memory.MARKERS.items())},
-  len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+')), {_LIST(memory.POSITIVE)})) > len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+')), {_LIST(memory.NEGATIVE)})) AS good,
+    "emotions_flags": f"{_beside_sql(MOODS)} SELECT i, {_DISTINCT3(_FIRST(dialect.MOODS))} AS moods, {_DISTINCT3(_FIRST([(w, f) for f, ws in dialect.FLAGS for w in ws]))} AS flags FROM corpus",
+    "memory_types": f"""{_beside_sql(MEMORIES)}, s AS (SELECT i, text, {', '.join(f'({_N("lower(text)", ps)}) AS {k}' for k, ps in memory.MARKERS.items())},
+  len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')), {_LIST(memory.POSITIVE)})) > len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')), {_LIST(memory.NEGATIVE)})) AS good,
   ({_N("lower(text)", memory.RESOLUTION)}) > 0 AS resolved FROM corpus WHERE strlen(text) >= 20),
 b AS (SELECT *, greatest(decision, preference, milestone, problem, emotional) AS top FROM s)
 SELECT i, CASE WHEN emotional = top THEN 'emotional' WHEN problem = top THEN CASE WHEN resolved THEN CASE WHEN emotional > 0 AND good THEN 'emotional' ELSE 'milestone' END WHEN good AND milestone > 0 THEN 'milestone' WHEN good AND emotional > 0 THEN 'emotional' ELSE 'problem' END
@@ -259,7 +283,7 @@ SELECT d.id, translate(coalesce(q, CASE WHEN length(s) > 55 THEN substr(s, 1, 52
     "chunk_paragraph": f"""{_D}, p AS (SELECT id, list_filter(list_transform(string_split(content, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ps, string_split(regexp_replace(content, '\\n$', ''), chr(10)) AS ls FROM drawers),
 c AS (SELECT id, CASE WHEN len(ps) <= 1 AND len(ls) > 20 THEN list_transform(range(0, (len(ls) - 1) // 25 + 1), lambda g: regexp_replace(array_to_string(ls[g * 25 + 1 : g * 25 + 25], chr(10)), '^\\s+|\\s+$', '', 'g')) ELSE ps END AS cs FROM p),
 e AS (SELECT id, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS chunk_index FROM c) SELECT id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(strlen(c) AS INTEGER) AS bytes FROM e WHERE strlen(c) > 30""",
-    "convo_room": f"WITH {M.literal_sql(MEMORIES + MOODS + ['the roadmap and sprint plan', 'code code code', 'layer service and git api'])}, r AS ({_ROOM}), b AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, place) AS k FROM r) SELECT i, CASE WHEN score > 0 THEN room ELSE 'general' END AS room FROM b WHERE k = 1",
+    "convo_room": f"{_beside_sql(TALKS, True)}, r AS ({_ROOM}), b AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, place) AS k FROM r) SELECT i, CASE WHEN score > 0 THEN room ELSE 'general' END AS room FROM b WHERE k = 1",
     "exchange_pairs": f"{_MSG}, n AS (SELECT *, lead(role) OVER o AS nr, lead(text) OVER o AS nt FROM d WINDOW o AS (PARTITION BY session ORDER BY turn)) SELECT session, turn, text AS question, CASE WHEN nr = 'assistant' THEN nt END AS answer FROM n WHERE role = 'user'",
     "sweep_ids": f"{_MSG} SELECT 'sweep_' || session || '_' || uuid AS id, role FROM d",
     "sweep_new_only": f"{_MSG} SELECT 'sweep_' || session || '_' || uuid AS id FROM d WHERE turn >= 2",
@@ -268,6 +292,23 @@ c AS (SELECT session, theme, count(*) AS n FROM w WHERE strlen(theme) >= 4 AND r
 SELECT * FROM (SELECT session, CAST(row_number() OVER (PARTITION BY session ORDER BY n DESC, theme) AS INTEGER) AS rank, theme, n FROM c) WHERE rank <= 3""",
     "session_saves": "SELECT conv_id AS session, count(*) // 15 AS saves FROM conversations WHERE role = 'user' GROUP BY conv_id",
     "slack_roles": "WITH f AS (SELECT c_nationkey AS chat, o_custkey AS speaker, min(o_orderkey) AS place FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) SELECT chat, speaker, CASE WHEN row_number() OVER (PARTITION BY chat ORDER BY place) % 2 = 1 THEN 'user' ELSE 'assistant' END AS role FROM f",
+    "file_room": f"""{_D}, f AS (SELECT doc_id, {_PICK(FOLDERS, 1)} AS folder, {_PICK(STEMS, 6)} AS stem, lower(substr({_PICK(WORDS, 24)} || ' ' || content, 1, 2000)) AS low FROM drawers),
+c AS (SELECT *, {_COUNT("ui")} + {_COUNT("react")} + {_COUNT("frontend")} AS a, {_COUNT("api")} + {_COUNT("server")} + {_COUNT("backend")} AS b, {_COUNT("docs")} AS d FROM f)
+SELECT doc_id, CASE WHEN folder IN ('src/frontend-app', 'ui') THEN 'frontend' WHEN folder = 'lib/api' THEN 'backend' WHEN folder = 'Docs' OR stem = 'docs' THEN 'docs'
+  WHEN greatest(a, b, d) = 0 THEN 'general' WHEN a >= greatest(b, d) THEN 'frontend' WHEN b >= d THEN 'backend' ELSE 'docs' END AS room FROM c""",
+    "fact_issues": """WITH c AS (SELECT c_custkey AS i, 'C' || c_custkey AS subject, 'Nation' || c_nationkey AS object, CASE WHEN c_custkey % 2 = 0 THEN 'client' ELSE 'friend' END AS known,
+  CASE WHEN c_custkey % 3 = 0 THEN '2020-01-01' WHEN c_custkey % 5 = 0 THEN '2030-01-01' END AS valid_to FROM customer), p AS (SELECT *, unnest(['client', 'friend']) AS predicate FROM c),
+k AS (SELECT *, CASE WHEN valid_to IS NULL AND known <> predicate THEN 'relationship_mismatch' WHEN known = predicate AND valid_to < '2024-01-01' THEN 'stale_fact' END AS kind FROM p)
+SELECT i, subject, predicate, object, kind, known, valid_to FROM k WHERE kind IS NOT NULL""",
+    "corpus_origin": f"""{_D}, t AS (SELECT wing || '/' || room AS corpus, content || chr(10) || {_ARRAY(BRANDED)}[(length(room) + length(wing) + ascii(room[1]) + ascii(wing[-1])) % {len(BRANDED)} + 1] AS text FROM drawers),
+s AS (SELECT corpus, sum(strlen(text)) + 2 * (count(*) - 1) AS b, sum({_N('text', [_TERM(x) for x in origin.SURE_TERMS])}) AS sure, sum({_N('text', [_TERM(x) for x in origin.AMBIGUOUS_TERMS])}) AS maybe, CAST(sum({_N('text', [f'(?i){x}' for x in origin.TURN_MARKS])}) AS BIGINT) AS turns FROM t GROUP BY corpus),
+h AS (SELECT *, CAST(sure + CASE WHEN sure > 0 OR turns > 0 THEN maybe ELSE 0 END AS BIGINT) AS brands FROM s), d AS (SELECT *, brands / (greatest(b, 1) / 1000.0) AS bd, turns / (greatest(b, 1) / 1000.0) AS td FROM h)
+SELECT corpus, brands, turns, bd >= {origin.BRAND_DENSITY} OR td >= {origin.TURN_DENSITY} OR NOT (brands = 0 AND turns = 0 AND b >= {origin.FLOOR}) AS ai_dialogue,
+  round(CAST(CASE WHEN bd >= {origin.BRAND_DENSITY} OR td >= {origin.TURN_DENSITY} THEN least(0.95, 0.6 + 0.1 * (bd + td)) WHEN brands = 0 AND turns = 0 AND b >= {origin.FLOOR} THEN 0.9 ELSE 0.4 END AS DOUBLE), 6) AS confidence FROM d""",
+    "query_sanitizer": f"""WITH {M.MESSAGES}, q AS (SELECT uuid AS i, coalesce(text, '') || chr(10) || {_ARRAY(ASKED)}[(session * 3 + turn) % {len(ASKED)} + 1] AS raw FROM messages),
+t AS (SELECT i, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS text, list_filter(list_transform(regexp_split_to_array(raw, '\\r?\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[-1] AS last FROM q)
+SELECT i, CASE WHEN length(text) <= 200 THEN text WHEN length(last) >= 3 THEN right(last, 250) ELSE right(text, 250) END AS query,
+  CASE WHEN length(text) <= 200 THEN 'passthrough' WHEN length(last) >= 3 AND regexp_matches(last, '[?？]\\s*["'']?\\s*$') THEN 'question_extraction' WHEN length(last) >= 3 THEN 'tail_sentence' ELSE 'tail_truncation' END AS method FROM t""",
     "similar_names": f"""WITH {M.PART_NAMES}, t AS (SELECT p_partkey AS i, ' ' || lower('one ' || label || ' of ' || p_name || ' here') || ' ' AS text FROM part_names),
 n AS (SELECT DISTINCT unnest([p_name, label]) AS name FROM part_names), near AS (SELECT a.name, b.name AS other, levenshtein(lower(a.name), lower(b.name)) AS distance FROM n a, n b WHERE levenshtein(lower(a.name), lower(b.name)) BETWEEN 1 AND 2),
 h AS (SELECT i, name FROM t, n WHERE contains(text, ' ' || lower(name) || ' '))

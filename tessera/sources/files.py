@@ -7,6 +7,7 @@ import fnmatch
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.functions.text import trimmed
+from tessera.sources import ignore
 
 #: Folders and files that are skipped, and endings that are read.
 SKIP_DIRS = (
@@ -39,12 +40,14 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
-def scan(spark: SparkSession, root: str, endings: tuple[str, ...] = CODE, patterns: list[str] = [], most_bytes: int = 500 << 20, forced: list[str] = []) -> DataFrame:
+def scan(spark: SparkSession, root: str, endings: tuple[str, ...] = CODE, patterns: list[str] = [], most_bytes: int = 500 << 20, forced: list[str] = [], nested: bool = True) -> DataFrame:
     """(path, relative, mtime, bytes, content) of the files below a folder.
 
     Skipped folders, files and endings are left out, as are ignored paths unless
-    they are ``forced``.  The conditions are on the listing, so files that are
-    left out aren't opened.  Bytes that aren't UTF-8 become U+FFFD.
+    they are ``forced``.  ``patterns`` hold at the top; with ``nested`` the ignore
+    files of all folders hold, too, and nothing deeper than ``ignore.DEPTH`` is
+    listed.  The other conditions are on the listing, so files that those leave
+    out aren't opened.  Bytes that aren't UTF-8 become U+FFFD.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = "/" + root.split(":", 1)[-1].strip("/") + "/"
@@ -54,9 +57,37 @@ def scan(spark: SparkSession, root: str, endings: tuple[str, ...] = CODE, patter
     good = ~F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in SKIP_DIRS])) & ~name.isin(*SKIP_FILES) & F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*endings)
     left = ~ignored(relative, patterns) | relative.isin(*forced) if forced else ~ignored(relative, patterns)
     kept = files.filter((F.col("length") <= most_bytes) & good & left)
+    if nested:
+        listed = kept.select(relative.alias("path"))
+        deepest = listed.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0
+        there = ignore.kept(listed, ignore_files(spark, root, min(deepest, ignore.DEPTH + 1)))
+        there = there.unionAll(listed.filter(F.col("path").isin(*forced))) if forced else there
+        kept = kept.join(there.select(F.col("path").alias("_there")).distinct(), relative == F.col("_there"), "left_semi")
     return kept.select("path", relative.alias("relative"), F.unix_micros("modificationTime").cast("double").alias("mtime"), F.col("length").alias("bytes"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
+def ignore_files(spark: SparkSession, root: str, levels: int) -> DataFrame:
+    """(folder, content) of the ignore files in the first ``levels`` levels below a folder.
+
+    Spark's file sources pass over names that begin with a point, so the driver
+    reads these few files, found by one pattern a level.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(conf)
+    base = fs.makeQualified(top).toString().rstrip("/")
+    rows = []
+    for level in range(levels):
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(base + "/*" * level + "/.gitignore")) or []:
+            stream = fs.open(status.getPath())
+            try:
+                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            rows.append((status.getPath().getParent().toString().removeprefix(base).strip("/"), text))
+    return spark.createDataFrame(rows, "folder string, content string")
+
+
 def readable(files: DataFrame) -> DataFrame:
     """Files whose trimmed text has 50 bytes or more."""
     return files.withColumn("content", trimmed(F.col("content"))).filter(F.octet_length("content") >= LEAST_BYTES)
