@@ -82,12 +82,20 @@ def chunk_text(spark, sf):
     return M.drawers(spark, sf).select("id", F.inline(chunk.chunk_text(F.col("content")))).select("id", "chunk_index", F.octet_length("content").alias("bytes"), F.md5(F.col("content").cast("binary")).alias("md5"))
 
 
+def chunk_text_plain(spark, sf):
+    """Chunks of the drawers with an x for each character beyond ASCII, so that bytes and characters agree."""
+    plain = F.regexp_replace("content", r"[^\x00-\x7F]", "x")
+    return M.drawers(spark, sf).select("id", F.inline(chunk.chunk_text(plain))).select("id", "chunk_index", F.octet_length("content").alias("bytes"), F.md5(F.col("content").cast("binary")).alias("md5"))
+
+
 def chunk_paragraph(spark, sf):
     return M.drawers(spark, sf).select("id", F.inline(chunk.by_paragraph(F.col("content")))).select("id", "chunk_index", F.octet_length("content").alias("bytes"))
 
 
-def _transcripts(spark, sf):
-    m = messages.dialogue(M.messages(spark, sf)).withColumn("line", F.concat(F.when(F.col("role") == "user", "> ").otherwise(""), F.regexp_replace("text", r"\s+", " ")))
+def _transcripts(spark, sf, beyond=None):
+    m = messages.dialogue(M.messages(spark, sf))
+    m = m if beyond is None else m.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", beyond))
+    m = m.withColumn("line", F.concat(F.when(F.col("role") == "user", "> ").otherwise(""), F.regexp_replace("text", r"\s+", " ")))
     return m.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("content")).select(F.col("session").cast("string").alias("id"), "content")
 
 
@@ -95,6 +103,11 @@ def chunk_exchange(spark, sf):
     return chunk.by_exchange(_transcripts(spark, sf)).select("id", "chunk_index", F.octet_length("content").alias("bytes"))
 
 
+def chunk_exchange_plain(spark, sf):
+    """Exchanges with an x for each character beyond ASCII, so that bytes and characters agree."""
+    return chunk.by_exchange(_transcripts(spark, sf, "x")).select("id", "chunk_index", F.md5(F.col("content").cast("binary")).alias("md5"))
+
+
 def convo_room(spark, sf):
     return _beside(spark, sf, TALKS, True).select("i", chunk.conversation_room(F.col("text")).alias("room"))
 
@@ -224,6 +237,12 @@ def _beside_sql(phrases: list[str], first: bool = False) -> str:
     return f"WITH {M.MESSAGES}, corpus AS (SELECT uuid AS i, {' || chr(32) || '.join((phrase, said) if first else (said, phrase))} AS text FROM messages)"
 
 
+def _cut_sql(at: str) -> str:
+    w = f"reverse(substr(c, {at} + 1, 800))"
+    found = f"CASE WHEN contains({w}, chr(10) || chr(10)) THEN 799 - strpos({w}, chr(10) || chr(10)) WHEN contains({w}, chr(10)) THEN 800 - strpos({w}, chr(10)) ELSE -1 END"
+    return f"CASE WHEN {at} + 800 >= length(c) THEN length(c) WHEN ({found}) > 400 THEN {at} + ({found}) ELSE {at} + 800 END"
+
+
 _TERM = lambda t: "(?i)" + (r"\b" if t[0].isalnum() else "") + re.escape(t) + (r"\b" if t[-1].isalnum() else "")
 _PICK = lambda xs, k: f"{_ARRAY(xs)}[doc_id // {k} % {len(xs)} + 1]"
 _COUNT = lambda w: f"(length(low) - length(replace(low, '{w}', ''))) // {len(w)}"
@@ -280,9 +299,20 @@ qs AS (SELECT id, regexp_extract_all(content, '"([^"]+)"', 1) AS qs FROM drawers
 qb AS (SELECT id, q FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length(q) DESC, k DESC) AS r FROM qe WHERE length(q) > 10) WHERE r = 1)
 SELECT d.id, translate(coalesce(q, CASE WHEN length(s) > 55 THEN substr(s, 1, 52) || '...' ELSE s END, ''), '|' || chr(10) || chr(13), '/  ') AS sentence FROM drawers d LEFT JOIN b USING (id) LEFT JOIN qb USING (id)""",
     "token_estimates": f"{_D} SELECT id, CAST(greatest(1, (len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '')) * 13 + 5) // 10) AS INTEGER) AS tokens FROM drawers",
+    "chunk_text_plain": f"""{_D.replace("WITH", "WITH RECURSIVE", 1)}, d AS (SELECT id, regexp_replace(regexp_replace(content, '[^\\x00-\\x7F]', 'x', 'g'), '^\\s+|\\s+$', '', 'g') AS c FROM drawers),
+walk(id, c, a, b) AS (SELECT id, c, 0, {_cut_sql("0")} FROM d WHERE c <> '' UNION ALL SELECT id, c, greatest(b - 100, 0), {_cut_sql("greatest(b - 100, 0)")} FROM walk WHERE b < length(c)),
+p AS (SELECT id, a, regexp_replace(substr(c, a + 1, b - a), '^\\s+|\\s+$', '', 'g') AS t FROM walk)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY a) - 1 AS INTEGER) AS chunk_index, CAST(length(t) AS INTEGER) AS bytes, md5(t) AS md5 FROM p WHERE length(t) >= 50""",
     "chunk_paragraph": f"""{_D}, p AS (SELECT id, list_filter(list_transform(string_split(content, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ps, string_split(regexp_replace(content, '\\n$', ''), chr(10)) AS ls FROM drawers),
 c AS (SELECT id, CASE WHEN len(ps) <= 1 AND len(ls) > 20 THEN list_transform(range(0, (len(ls) - 1) // 25 + 1), lambda g: regexp_replace(array_to_string(ls[g * 25 + 1 : g * 25 + 25], chr(10)), '^\\s+|\\s+$', '', 'g')) ELSE ps END AS cs FROM p),
 e AS (SELECT id, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS chunk_index FROM c) SELECT id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(strlen(c) AS INTEGER) AS bytes FROM e WHERE strlen(c) > 30""",
+    "chunk_exchange_plain": f"""{_MSG}, l AS (SELECT session, turn, trim(CASE WHEN role = 'user' THEN '> ' ELSE '' END || regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g'), '\\s+', ' ', 'g')) AS line FROM d),
+g AS (SELECT *, sum(CAST(starts_with(line, '>') AS INTEGER)) OVER o AS part, sum(CAST(starts_with(line, '>') OR starts_with(line, '---') AS INTEGER)) OVER o AS block FROM l WINDOW o AS (PARTITION BY session ORDER BY turn)),
+h AS (SELECT *, min(block) OVER (PARTITION BY session, part) AS head, row_number() OVER (PARTITION BY session, part ORDER BY turn) AS k FROM g),
+b AS (SELECT session, part, max(line) FILTER (k = 1) AS question, coalesce(string_agg(line, ' ' ORDER BY turn) FILTER (k > 1 AND line <> ''), '') AS answer FROM h WHERE part > 0 AND block = head GROUP BY 1, 2),
+w AS (SELECT session, part, CASE WHEN answer = '' THEN question ELSE question || chr(10) || answer END AS body FROM b),
+c AS (SELECT session, part, i, substr(body, i * 800 + 1, 800) AS t FROM (SELECT *, unnest(range(0, (length(body) - 1) // 800 + 1)) AS i FROM w))
+SELECT CAST(session AS VARCHAR) AS id, CAST(row_number() OVER (PARTITION BY session ORDER BY part, i) - 1 AS INTEGER) AS chunk_index, md5(t) AS md5 FROM c WHERE i > 0 OR length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) > 30""",
     "convo_room": f"{_beside_sql(TALKS, True)}, r AS ({_ROOM}), b AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, place) AS k FROM r) SELECT i, CASE WHEN score > 0 THEN room ELSE 'general' END AS room FROM b WHERE k = 1",
     "exchange_pairs": f"{_MSG}, n AS (SELECT *, lead(role) OVER o AS nr, lead(text) OVER o AS nt FROM d WINDOW o AS (PARTITION BY session ORDER BY turn)) SELECT session, turn, text AS question, CASE WHEN nr = 'assistant' THEN nt END AS answer FROM n WHERE role = 'user'",
     "sweep_ids": f"{_MSG} SELECT 'sweep_' || session || '_' || uuid AS id, role FROM d",
@@ -326,4 +356,4 @@ SELECT name, n, kind, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM r
     "documents_origin": f"""{_D}, c AS (SELECT wing AS corpus, sum(strlen(content)) + 2 * (count(*) - 1) AS b, CAST(sum({_N('content', [f'(?i){p}' for p in origin.TURN_MARKS])}) AS BIGINT) AS turns FROM drawers GROUP BY wing)
 SELECT corpus, CAST(0 AS BIGINT) AS brands, turns, NOT b >= 150 AS ai_dialogue, CAST(CASE WHEN b >= 150 THEN 0.9 ELSE 0.4 END AS DOUBLE) AS confidence FROM c""",
 }
-QUERIES = {f.__name__: f for f in (memory_types, emotions_flags, topics_top3, key_sentence, token_estimates, compress_lines, compress_totals, chunk_text, chunk_paragraph, chunk_exchange, convo_room, file_room, exchange_pairs, sweep_ids, sweep_new_only, themes_recent, session_saves, slack_roles, entity_candidates, entity_scores, entity_class, fact_issues, similar_names, near_names_of_tables, corpus_origin, documents_origin, query_sanitizer)}
+QUERIES = {f.__name__: f for f in (memory_types, emotions_flags, topics_top3, key_sentence, token_estimates, compress_lines, compress_totals, chunk_text, chunk_text_plain, chunk_paragraph, chunk_exchange, chunk_exchange_plain, convo_room, file_room, exchange_pairs, sweep_ids, sweep_new_only, themes_recent, session_saves, slack_roles, entity_candidates, entity_scores, entity_class, fact_issues, similar_names, near_names_of_tables, corpus_origin, documents_origin, query_sanitizer)}
