@@ -67,7 +67,7 @@ def essential_story(drawers: DataFrame, wing: str | None = None) -> DataFrame:
     heads = rows.groupBy("room").agg(F.lit(None).cast("timestamp").alias("filed_at"), F.lit("").alias("id"), F.first(F.concat(F.lit("\n["), F.col("room"), F.lit("]"))).alias("line"))
     order = W.orderBy("room", F.col("filed_at").asc_nulls_first(), "id")  # at most twice the story's drawers
     used = F.sum(F.octet_length("line")).over(order.rowsBetween(W.unboundedPreceding, 0))
-    numbered = rows.unionByName(heads).select(F.row_number().over(order).alias("position"), "line", (used > STORY_BYTES).alias("over"), F.col("filed_at").isNull().alias("head"))
+    numbered = rows.unionByName(heads).select(F.row_number().over(order).alias("position"), "line", (used > STORY_BYTES).alias("over"), (F.col("id") == "").alias("head"))
     cut = numbered.filter(F.col("over") & ~F.col("head")).agg(F.min("position").alias("cut"))
     kept = numbered.crossJoin(cut).filter(F.col("cut").isNull() | (F.col("position") < F.col("cut"))).select("position", "line")
     return kept.unionAll(cut.filter("cut is not null").select(F.col("cut").alias("position"), F.lit("  ... (more in L3 search)").alias("line")))

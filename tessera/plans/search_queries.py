@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions.text import content_id, query_tokens, tunnel_id
-from tessera.operators import browse, index, search
+from tessera.operators import browse, index, layers, search
 from tessera.plans import model as M
 
 QUERY = "thatin rewh orre"
@@ -117,6 +117,20 @@ def l1_budget(spark, sf):
     return browse.essential_story(M.drawers(spark, sf))
 
 
+def story_facts(spark, sf):
+    return layers.fact_lines(M.triples(spark, sf), M.entities(spark, sf), 200)
+
+
+def wake_story(spark, sf):
+    """The story of a wing with few words in its first drawers, and facts below it."""
+    d = M.drawers(spark, sf).filter("wing = 'src3'").withColumn("content", F.substring("content", 1, 40))
+    return layers.wake_story(d, M.triples(spark, sf), M.entities(spark, sf))
+
+
+def l3_neighbours(spark, sf):
+    return layers.deep_search(M.search_index(spark, sf), QUERY, 5)
+
+
 def file_freshness(spark, sf):
     rows = M.drawers(spark, sf).select("source_file", F.when(F.col("room") == "es", None).when((F.col("room") == "fr") & (F.col("ingest_mode") == "convos"), -1.0).when(F.col("room") == "de", F.col("chunk_index").cast("double")).otherwise(1000.0).alias("source_mtime"))
     return browse.file_freshness(rows)
@@ -144,6 +158,11 @@ def sync_buckets(spark, sf):
 
 
 _D = f"WITH {M.DRAWERS}"
+_FACTS = """fp AS (SELECT DISTINCT s.name, t.predicate, t.subject FROM triples t JOIN entities s ON s.id = t.subject WHERE t.valid_to IS NULL ORDER BY 1, 2, 3 LIMIT 20),
+fl AS (SELECT p.name, p.predicate, p.subject, row_number() OVER (PARTITION BY p.subject, p.predicate ORDER BY o.name, t.id) AS k, '  - ' || p.name || ' ' || p.predicate || ' ' || o.name AS line
+  FROM fp p JOIN triples t ON t.subject = p.subject AND t.predicate = p.predicate JOIN entities o ON o.id = t.object UNION ALL SELECT '', '', '', 0, chr(10) || '[knowledge graph]'),
+fr AS (SELECT CAST(row_number() OVER o AS INTEGER) AS position, line, sum(strlen(line)) OVER (o ROWS UNBOUNDED PRECEDING) AS used FROM fl WINDOW o AS (ORDER BY name, predicate, subject, k))"""
+_SNIPPET = "replace(substr(content, 1, 300), chr(10), ' ')"
 ORACLE_SQL = {
     "bm25_search": _search_sql(QUERY),
     "bm25_search_wing": _search_sql(QUERY, where="AND d.wing = 'src3'"),
@@ -167,6 +186,17 @@ lines AS (SELECT room, filed_at, id, '  - ' || replace(substr(content, 1, 200),
 run AS (SELECT CAST(row_number() OVER o AS INTEGER) AS position, line, filed_at IS NULL AS head, sum(strlen(line)) OVER (o ROWS UNBOUNDED PRECEDING) > 3200 AS over FROM lines WINDOW o AS (ORDER BY room, filed_at NULLS FIRST, id)),
 cut AS (SELECT min(position) AS cut FROM run WHERE over AND NOT head)
 SELECT position, line FROM run, cut WHERE cut IS NULL OR position < cut UNION ALL SELECT cut, '  ... (more in L3 search)' FROM cut WHERE cut IS NOT NULL""",
+    "story_facts": f"WITH {M.KG}, {_FACTS} SELECT position, line FROM fr WHERE used + 200 <= 3200",
+    "wake_story": f"""{_D}, {M.KG}, {_FACTS}, d AS (SELECT *, substr(content, 1, 40) AS short FROM drawers WHERE wing = 'src3'), first AS (SELECT * FROM d ORDER BY filed_at, id LIMIT 15),
+lines AS (SELECT room, filed_at, id, '  - ' || replace(short, chr(10), ' ') || '  (' || string_split(source_file, '/')[-1] || ')' AS line FROM first UNION ALL SELECT DISTINCT room, CAST(NULL AS TIMESTAMP), '', chr(10) || '[' || room || ']' FROM first),
+story AS (SELECT CAST(row_number() OVER (ORDER BY room, filed_at NULLS FIRST, id) AS INTEGER) AS position, line FROM lines)
+SELECT 1 AS part, position, line FROM story UNION ALL SELECT 2, position, line FROM fr WHERE used + (SELECT sum(strlen(line)) FROM story) <= 3200""",
+    "l3_neighbours": _search_sql(QUERY, 5, tail=f""", k AS (SELECT *, row_number() OVER (ORDER BY relevance DESC, id) AS rank FROM best),
+near AS (SELECT d.chunk_index, d.content FROM k JOIN drawers d ON k.rank = 1 AND d.source_file = k.source_file AND d.chunk_index BETWEEN k.chunk_index - 2 AND k.chunk_index + 2 AND d.chunk_index <> k.chunk_index),
+l AS (SELECT rank, 0 AS j, printf('  [%d] %s/%s (score=%.1f, chunk=%d)', rank, wing, room, relevance, chunk_index) AS line FROM k
+  UNION ALL SELECT rank, 1, '      ' || {_SNIPPET} || CASE WHEN strlen(content) > 300 THEN '...' ELSE '' END FROM k UNION ALL SELECT rank, 2, '      src: ' || source_file FROM k
+  UNION ALL SELECT 1000, 0, '      nearby context:' FROM near WHERE chunk_index = (SELECT min(chunk_index) FROM near) UNION ALL SELECT 1000, chunk_index + 1, '        chunk ' || chunk_index || ': ' || {_SNIPPET} FROM near)
+SELECT CAST(row_number() OVER (ORDER BY rank, j) AS INTEGER) AS position, line FROM l"""),
     "file_freshness": f"""{_D}, m AS (SELECT source_file, CASE WHEN room = 'es' THEN NULL WHEN room = 'fr' AND ingest_mode = 'convos' THEN -1.0 WHEN room = 'de' THEN CAST(chunk_index AS DOUBLE) ELSE 1000.0 END AS t FROM drawers)
 SELECT source_file, CASE WHEN count(*) FILTER (t IS NULL OR t < 0) = 0 AND min(t) = max(t) THEN min(t) END AS mtime, count(*) AS n FROM m GROUP BY source_file""",
     "export_groups": f"{_D} SELECT wing, room, wing || '/' || room || '.md' AS file, count(*) AS n, CAST(sum(strlen(content)) AS BIGINT) AS bytes, min(id) AS first_id FROM drawers WHERE content <> '' GROUP BY wing, room",
@@ -176,4 +206,4 @@ SELECT source_file, CASE WHEN count(*) FILTER (t IS NULL OR t < 0) = 0 AND min(t
   WHEN NOT (source_file LIKE '/corpus/src1/%' OR source_file LIKE '/corpus/src2/%' OR source_file LIKE '/corpus/src3/de/%') THEN 'out_of_scope'
   WHEN room = 'fr' THEN 'missing' WHEN wing = 'src2' AND room = 'de' THEN 'gitignored' ELSE 'kept' END AS bucket, count(*) AS n FROM drawers GROUP BY 1""",
 }
-QUERIES = {f.__name__: f for f in (bm25_search, bm25_search_wing, bm25_search_repeated_terms, bm25_closet_boost, neighbor_chunks, check_duplicate, build_postings, doc_lengths, index_integrity, taxonomy, taxonomy_rollup, store_stats, list_drawers_page, diary_read, browse_recent, l1_budget, file_freshness, export_groups, content_ids, tunnel_ids, sync_buckets)}
+QUERIES = {f.__name__: f for f in (bm25_search, bm25_search_wing, bm25_search_repeated_terms, bm25_closet_boost, neighbor_chunks, check_duplicate, build_postings, doc_lengths, index_integrity, taxonomy, taxonomy_rollup, store_stats, list_drawers_page, diary_read, browse_recent, l1_budget, story_facts, wake_story, l3_neighbours, file_freshness, export_groups, content_ids, tunnel_ids, sync_buckets)}
