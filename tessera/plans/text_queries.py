@@ -356,4 +356,11 @@ SELECT name, n, kind, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM r
     "documents_origin": f"""{_D}, c AS (SELECT wing AS corpus, sum(strlen(content)) + 2 * (count(*) - 1) AS b, CAST(sum({_N('content', [f'(?i){p}' for p in origin.TURN_MARKS])}) AS BIGINT) AS turns FROM drawers GROUP BY wing)
 SELECT corpus, CAST(0 AS BIGINT) AS brands, turns, NOT b >= 150 AS ai_dialogue, CAST(CASE WHEN b >= 150 THEN 0.9 ELSE 0.4 END AS DOUBLE) AS confidence FROM c""",
 }
+_CODES = f"list_transform(list_filter(list_transform(list_slice(regexp_split_to_array(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), '\\s+'), 2, 1000000000), lambda w: regexp_replace(w, '[^a-zA-Z]', '', 'g')), lambda w: regexp_full_match(w, '[A-Z][a-z]+') AND lower(w) NOT IN ({', '.join(f"'{x}'" for x in dialect.NO_TOPICS)})), lambda w: upper(w[1:3]))"
+_LINES = f"""{_D}, tp AS (SELECT id, string_agg(topic, '_' ORDER BY rank) AS topics FROM ({ORACLE_SQL["topics_top3"]}) GROUP BY id), ks AS ({ORACLE_SQL["key_sentence"]}),
+e AS (SELECT id, content, content AS text, {_CODES} AS e FROM drawers),
+c AS (SELECT id, content, array_to_string(list_slice(list_filter(e, lambda x, i: list_position(e, x) = i), 1, 3), '+') AS codes, replace({_DISTINCT3(_FIRST(dialect.MOODS))}, ',', '+') AS moods, replace({_DISTINCT3(_FIRST([(w, f) for f, ws in dialect.FLAGS for w in ws]))}, ',', '+') AS flags FROM e),
+lines AS (SELECT id, content, concat_ws('|', CASE WHEN codes = '' THEN '???' ELSE codes END, coalesce(topics, 'misc'), '"' || sentence || '"', nullif(moods, ''), nullif(flags, '')) AS line FROM c LEFT JOIN tp USING (id) JOIN ks USING (id))"""
+ORACLE_SQL["compress_lines"] = f"{_LINES} SELECT id, line, round(strlen(line) / greatest(strlen(content), 1), 6) AS ratio FROM lines"
+ORACLE_SQL["compress_totals"] = f"{_LINES} SELECT CAST(sum(strlen(content)) AS BIGINT) AS bytes, CAST(sum(strlen(line)) AS BIGINT) AS compressed FROM lines"
 QUERIES = {f.__name__: f for f in (memory_types, emotions_flags, topics_top3, key_sentence, token_estimates, compress_lines, compress_totals, chunk_text, chunk_text_plain, chunk_paragraph, chunk_exchange, chunk_exchange_plain, convo_room, file_room, exchange_pairs, sweep_ids, sweep_new_only, themes_recent, session_saves, slack_roles, entity_candidates, entity_scores, entity_class, fact_issues, similar_names, near_names_of_tables, corpus_origin, documents_origin, query_sanitizer)}
