@@ -166,3 +166,16 @@ def test_pieces_have_whole_characters(spark):
     texts = ["é" * 1000, "a" * 800, "a" * 801, "𝄞" * 450 + "b", "", "日" * 5000]
     for row in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", chunk.byte_pieces(F.col("t")).alias("p")).collect():
         assert "".join(row.p) == texts[row.i] and all(0 < len(p.encode()) <= 800 for p in row.p) and all(len(p.encode()) > 796 for p in row.p[:-1])
+
+
+def test_lines_with_headers_decode_to_what_they_were(spark):
+    rows = [(0, "w|%", "?", "", "/a/b.tar.gz", "plain words without anything"), (1, None, None, None, None, "x"), (2, "", "room\n%7C", "2024-01-01", "/x/.hidden", "We decided because Alice was happy, said Bob. core"), (3, "", "", "", "", "")]
+    docs = spark.createDataFrame(rows, "id int, wing string, room string, date string, source_file string, content string")
+    head = dialect.header(*(F.col(c) for c in ("wing", "room", "date", "source_file")))
+    got = {r.id: r for r in dialect.compressed(docs, head=head).select("id", "line", dialect.decoded(F.col("line")).alias("d")).collect()}
+    assert [got[i].d[:4] for i in range(4)] == [("w|%", "?", "", "b.tar"), ("", "", "", ""), ("", "room\n%7C", "2024-01-01", ".hidden"), ("", "", "", "")]
+    assert got[3].line == "0:???|misc" and got[1].line.startswith("0:???|misc") and got[0].line.startswith("w%7C%25|%3F|?|b.tar\n0:")
+    d = got[2].d
+    assert d.entities == ["ALI", "BOB"] and "joy" in d.moods and "DECISION" in d.flags and "CORE" in d.flags and d.sentence.startswith("We decided")
+    bare = spark.createDataFrame([("0:A+B|t_u",), ("0:???|misc||",)], "line string").select(dialect.decoded(F.col("line")).alias("d")).collect()
+    assert bare[0].d.entities == ["A", "B"] and bare[0].d.topics == ["t", "u"] and bare[0].d.sentence == "" and bare[1].d.entities == [] and bare[1].d.topics == []
