@@ -368,11 +368,11 @@ SELECT corpus, CAST(0 AS BIGINT) AS brands, turns, NOT b >= 150 AS ai_dialogue,
 }
 _CODES = f"list_transform(list_filter(list_transform(list_slice(regexp_split_to_array(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), '\\s+'), 2, 1000000000), lambda w: regexp_replace(w, '[^a-zA-Z]', '', 'g')), lambda w: regexp_full_match(w, '[A-Z][a-z]+') AND lower(w) NOT IN ({', '.join(f"'{x}'" for x in dialect.NO_TOPICS)})), lambda w: upper(w[1:3]))"
 _LINES = f"""{_D}, tp AS (SELECT id, string_agg(topic, '_' ORDER BY rank) AS topics FROM ({ORACLE_SQL["topics_top3"]}) GROUP BY id), ks AS ({ORACLE_SQL["key_sentence"]}),
-e AS (SELECT id, content, content AS text, {_CODES} AS e FROM drawers),
-c AS MATERIALIZED (SELECT id, content, array_to_string(list_slice(list_filter(e, lambda x, i: list_position(e, x) = i), 1, 3), '+') AS codes, replace({_DISTINCT3(_FIRST(dialect.MOODS))}, ',', '+') AS moods, replace({_DISTINCT3(_FIRST([(w, f) for f, ws in dialect.FLAGS for w in ws]))}, ',', '+') AS flags FROM e),
-lines AS MATERIALIZED (SELECT id, content, sentence, codes, topics, moods, flags, concat_ws('|', '0:' || CASE WHEN codes = '' THEN '???' ELSE codes END, coalesce(topics, 'misc'), CASE WHEN sentence <> '' THEN '"' || sentence || '"' END, nullif(moods, ''), nullif(flags, '')) AS line FROM c LEFT JOIN tp USING (id) JOIN ks USING (id))"""
+e AS (SELECT id, doc_id, wing, room, filed_at, content, content AS text, {_CODES} AS e FROM drawers),
+c AS MATERIALIZED (SELECT id, doc_id, wing, room, filed_at, content, array_to_string(list_slice(list_filter(e, lambda x, i: list_position(e, x) = i), 1, 3), '+') AS codes, replace({_DISTINCT3(_FIRST(dialect.MOODS))}, ',', '+') AS moods, replace({_DISTINCT3(_FIRST([(w, f) for f, ws in dialect.FLAGS for w in ws]))}, ',', '+') AS flags FROM e),
+lines AS MATERIALIZED (SELECT id, doc_id, wing, room, filed_at, content, sentence, codes, topics, moods, flags, concat_ws('|', '0:' || CASE WHEN codes = '' THEN '???' ELSE codes END, coalesce(topics, 'misc'), CASE WHEN sentence <> '' THEN '"' || sentence || '"' END, nullif(moods, ''), nullif(flags, '')) AS line FROM c LEFT JOIN tp USING (id) JOIN ks USING (id))"""
 ORACLE_SQL["compress_lines"] = f"{_LINES} SELECT id, line, round(strlen(line) / greatest(strlen(content), 1), 6) AS ratio FROM lines"
 ORACLE_SQL["line_round_trip"] = f"""{_LINES} SELECT d.id, d.wing || CASE WHEN d.doc_id % 4 = 0 THEN '|50%' || chr(10) || '%7C' ELSE '' END AS wing, CASE WHEN d.doc_id % 3 = 0 THEN '?' ELSE d.room END AS room, strftime(d.filed_at, '%Y-%m-%d') AS date,
-  CAST(d.doc_id // 1000 AS VARCHAR) AS stem, replace(codes, '+', ',') AS entities, coalesce(array_to_string(string_split(topics, '_'), ','), '') AS topics, sentence, replace(moods, '+', ',') AS moods, replace(flags, '+', ',') AS flags FROM lines JOIN drawers d USING (id)"""
+  CAST(d.doc_id // 1000 AS VARCHAR) AS stem, replace(codes, '+', ',') AS entities, coalesce(array_to_string(string_split(topics, '_'), ','), '') AS topics, sentence, replace(moods, '+', ',') AS moods, replace(flags, '+', ',') AS flags FROM lines d"""
 ORACLE_SQL["compress_totals"] = f"{_LINES} SELECT CAST(sum(strlen(content)) AS BIGINT) AS bytes, CAST(sum(strlen(line)) AS BIGINT) AS compressed FROM lines"
 QUERIES = {f.__name__: f for f in (memory_types, emotions_flags, topics_top3, key_sentence, token_estimates, compress_lines, line_round_trip, compress_totals, chunk_text, chunk_text_plain, chunk_paragraph, chunk_exchange, chunk_exchange_plain, convo_room, file_room, exchange_pairs, sweep_ids, sweep_new_only, themes_recent, session_saves, slack_roles, entity_candidates, entity_scores, entity_class, fact_issues, similar_names, near_names_of_tables, corpus_origin, documents_origin, query_sanitizer)}
