@@ -70,7 +70,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is the end id alone; a null source is a queue of its own; each
     of repeated rows is packed; an empty table gives none.
     """
-    return pack(docs, op7.TOKENIZER, slots=1 << 20)
+    return pack(docs, op7.TOKENIZER, slots=1 << 19)
 
 
 STAGES = [
