@@ -9,6 +9,7 @@ from tessera.operators.store import Store
 from tessera.plans import model as M
 from tessera.runtime import new_path
 from tessera.sources import ignore
+from tessera.sources.sample import detection_sample
 from tessera.streaming.ingest import message_stream, sweep_into
 
 WING, AGENT = "wing_test diary", "scribe"
@@ -61,12 +62,24 @@ def ignored_paths(spark: SparkSession, sf: str) -> DataFrame:
     return ignore.kept(paths, files.unionAll(top))
 
 
+def detection_files(spark: SparkSession, sf: str) -> DataFrame:
+    """What is read of each source and language as a project; some have little prose."""
+    name = F.concat(F.lit("f"), F.col("doc_id"), F.when((F.col("doc_id") % 9 == 0) | F.col("room").isin("en", "fr"), ".md").when(F.col("doc_id") % 5 == 0, ".log").otherwise(".py"))
+    d = M.drawers(spark, sf).select(F.concat_ws("/", "wing", "room").alias("project"), name.alias("path"), F.regexp_replace("content", r"[^\x00-\x7F]", "x").alias("content"))
+    return detection_sample(d, 8, 2000, 9000).select("project", "path", "place", F.md5(F.col("content").cast("binary")).alias("md5"))
+
+
 _RULES = """('top', 1, false, false, '^(.*/)?[^/]*[.]log$'), ('top', 2, true, false, '^(.*/)?keep_[^/]*[.]log$'), ('top', 3, false, true, '^src1/tmp$'),
 ('source', 0, false, false, '^cache/(.*/)?f[^/]*[.]py$'), ('source', 2, false, false, '^docs/[^/]*/[^/]*[.]md$'), ('source', 3, true, false, '^docs/en/[^/]*[.]md$'), ('source', 4, true, false, '^(.*/)?[^/]*5[.]log$'),
 ('tmp', 0, false, false, '^(.*/)?[^/]*$'), ('tmp', 1, true, false, '^(.*/)?[^/]*[.]md$'), ('tmp', 2, true, true, '^(.*/)?[^/]*$')"""
 _MSG = f"WITH {M.MESSAGES}, d AS (SELECT * FROM messages WHERE role IN ('user', 'assistant') AND trim(text) <> '')"
 _TRIM = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 ORACLE_SQL = {
+    "detection_files": f"""WITH {M.DRAWERS}, d AS (SELECT wing || '/' || room AS project, 'f' || doc_id || CASE WHEN doc_id % 9 = 0 OR room IN ('en', 'fr') THEN '.md' WHEN doc_id % 5 = 0 THEN '.log' ELSE '.py' END AS path, substr(regexp_replace(content, '[^\\x00-\\x7F]', 'x', 'g'), 1, 2000) AS content FROM drawers),
+k AS (SELECT *, CAST(path LIKE '%.py' AS INTEGER) AS kind, count(*) FILTER (path LIKE '%.md') OVER (PARTITION BY project) AS prose FROM d WHERE path NOT LIKE '%.log'),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY kind, path) AS INTEGER) AS place FROM k WHERE kind = 0 OR prose < 5),
+b AS (SELECT *, coalesce(sum(length(content)) OVER (PARTITION BY project ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p WHERE place <= 8)
+SELECT project, path, place, md5(content) AS md5 FROM b WHERE before < 9000""",
     "ignored_paths": f"""WITH r(level, line, keep, folders_only, pattern) AS (VALUES {_RULES}),
 f AS (SELECT doc_id, coalesce(source, 'none') || '/' || ['src', 'tmp', 'docs', 'cache/deep'][doc_id % 4 + 1] || '/' || coalesce(lang, 'xx') || '/' || CASE WHEN doc_id % 7 = 0 THEN 'keep_' ELSE '' END || 'f' || doc_id || ['.md', '.log', '.py'][doc_id % 3 + 1] AS path FROM documents),
 e AS (SELECT doc_id, path, p, unnest(range(1, len(p) + 1)) AS n FROM (SELECT doc_id, path, string_split(path, '/') AS p FROM f)),
@@ -78,4 +91,4 @@ SELECT doc_id, path FROM f WHERE doc_id NOT IN (SELECT doc_id FROM v WHERE NOT k
 SELECT 'diary-wing_test_diary-' || substr(sha256('{WING}' || chr(0) || '{AGENT}' || chr(0) || path), 1, 8) || '-' || substr(path, 7, 10) || '-' || n AS id, path AS source_file, n AS chunk_index, '## ' || role || ' ' || turn || chr(10) || {_TRIM} AS content FROM f WHERE session % 3 <> 1""",
     "stream_sweep_dedup": f"{_MSG} SELECT 'sweep_' || session || '_' || uuid AS id, text AS content FROM d",
 }
-QUERIES = {f.__name__: f for f in (diary_sections, stream_sweep_dedup, ignored_paths)}
+QUERIES = {f.__name__: f for f in (diary_sections, stream_sweep_dedup, ignored_paths, detection_files)}

@@ -41,3 +41,13 @@ def test_edges(spark):
     got = ignore.kept(paths, spark.createDataFrame([("a", "*.md")], "folder string, content string")).collect()
     assert sorted(r.n for r in got) in ([2, 3, 4], [2, 4], [2])
     assert ignore.ignored(paths, lines.limit(0)).count() == 0
+
+
+def test_sample_for_detection(spark):
+    from tessera.sources.sample import detection_sample
+
+    rows = [("rich", f"p{i}.md", "é" * 40) for i in range(6)] + [("rich", "a.py", "code")] + [("poor", "z.txt", "prose"), ("poor", "b.rs", "x" * 500), ("poor", "a.go", None), ("poor", "c.bin", "no")] + [(None, None, "no path"), (None, "n.md", "null project"), (None, "n.md", "null project")]
+    df = spark.createDataFrame(rows, "project string, path string, content string").selectExpr("*", "1 as place", "2 as kind")
+    got = sorted(((r.project or "", r.place, r.path, len(r.content.encode())) for r in detection_sample(df, 4, 51, 120).collect()))
+    assert got == [("", 1, "n.md", 12), ("", 2, "n.md", 12), ("poor", 1, "z.txt", 5), ("poor", 2, "a.go", 0), ("poor", 3, "b.rs", 51), ("rich", 1, "p0.md", 50), ("rich", 2, "p1.md", 50), ("rich", 3, "p2.md", 50)]
+    assert detection_sample(df.limit(0)).count() == 0
