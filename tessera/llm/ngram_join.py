@@ -23,7 +23,7 @@ from tessera.llm.small import small
 from tessera.operators.components import connected_components
 from tessera.runtime import materialize
 
-#: Texts of a prefix shingle up to which its pairs are listed.
+#: Texts of a prefix shingle, or of one of its bands, up to which their pairs are listed.
 LISTED = 24
 #: Texts and shingles of one side of a block.
 BLOCK_TEXTS, BLOCK_SHINGLES = 128, 100_000
@@ -144,14 +144,15 @@ def _verify_block(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"u": ids[keep], "v": low[keep]})
 
 
-def _listed_pairs(hits: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that meet on a listed shingle and pass length and position."""
-    members = hits.filter(F.col("m") <= LISTED).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("cid", "n", "pos"))).alias("x"))
+def _listed_pairs(buckets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that meet in a listed bucket (cid, n, pos, own, and columns that name it) and pass length and position."""
+    by = [c for c in buckets.columns if c not in ("cid", "n", "pos", "own")]
+    members = buckets.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cid", "n", "pos", "own"))).alias("x"))
 
     def passes(p: Column, q: Column) -> Column:
         small, large = F.least(p["n"], q["n"]), F.greatest(p["n"], q["n"])
         most = F.least(p["n"] - p["pos"], q["n"] - q["pos"])
-        return (p["cid"] < q["cid"]) & (small * den >= large * num) & (most >= overlap_needed(p["n"], q["n"], num, den))
+        return (p["cid"] < q["cid"]) & (p["own"] | q["own"]) & (small * den >= large * num) & (most >= overlap_needed(p["n"], q["n"], num, den))
 
     def later(p: Column, i: Column) -> Column:
         rest = F.filter(F.slice(F.col("x"), i + 2, LISTED), lambda q: passes(p, q))
@@ -160,10 +161,25 @@ def _listed_pairs(hits: DataFrame, num: int, den: int) -> DataFrame:
     return members.select(F.explode(F.flatten(F.transform("x", later))).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _clusters(hits: DataFrame) -> DataFrame:
-    """(cid, cluster) of the texts that shingles beyond the listed connect."""
-    edges = hits.filter(F.col("m") > LISTED).select(F.col("cid").alias("u"), F.col("leader").alias("v")).distinct()
-    return connected_components(edges).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
+def _banded(hits: DataFrame, num: int, den: int) -> DataFrame:
+    """Texts of the shingles beyond the listed, by bands of size, with the texts, own texts and leader of each bucket.
+
+    Sizes that can link lie in one band or in neighbouring ones, so a text goes to
+    its own band and, as a guest, to the next.  Two guests meet in the band before.
+    """
+    width = float(np.log(den / num)) + 1e-6
+    hot = hits.filter(F.col("m") > LISTED).select("token", "cid", "n", "pos", F.floor(F.log("n") / width).alias("_band"))
+    rows = hot.select("token", "cid", "n", "pos", F.explode(F.array(F.struct(F.col("_band").alias("band"), F.lit(True).alias("own")), F.struct((F.col("_band") + 1).alias("band"), F.lit(False).alias("own")))).alias("x")).select("token", "cid", "n", "pos", "x.*")
+    sums = rows.groupBy("token", "band").agg(F.count("*").alias("m"), F.count_if("own").alias("k"), F.min("cid").alias("leader")).filter("k > 0 and m > 1")
+    return materialize(rows.join(sums, ["token", "band"]), "ngram-banded")
+
+
+def _clusters(banded: DataFrame) -> DataFrame:
+    """(cid, cluster) of the texts that buckets beyond the listed connect, each band on its own."""
+    node = lambda c: F.xxhash64(c, "band")  # noqa: E731 (equal hashes put clusters together, which loses nothing)
+    met = banded.filter(F.col("m") > LISTED).select("cid", node("cid").alias("u"), node("leader").alias("v"))
+    found = connected_components(met.select("u", "v").distinct()).select(F.col("node").alias("u"), F.col("component").alias("cluster"))
+    return materialize(met.select("cid", "u").distinct().join(found, "u").select("cid", "cluster").distinct(), "ngram-clusters")
 
 
 def _block_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -214,12 +230,15 @@ def ngram_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bit
     often = materialize(entries.groupBy("token").agg(F.count("*").alias("m"), F.min("cid").alias("leader")).filter("m > 1"), "ngram-often")
     hits = _hits(lead, often)
     sizes = lead.select("cid", "n", "cells")
-    pairs = _listed_pairs(hits, num, den)
+    banded = _banded(hits, num, den)
+    bucket = ["cid", "n", "pos", "own", "token"]
+    listed = _listed_pairs(hits.filter(F.col("m") <= LISTED).withColumn("own", F.lit(True)).select(*bucket), num, den)
+    pairs = listed.union(_listed_pairs(banded.filter(F.col("m") <= LISTED).select(*bucket, "band"), num, den)).distinct()
     both = pairs.join(sizes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca")), "a").join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb")), "b")
     # the suffix filter: sets that differ so much in some cells can't share enough
     apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda acc, x: acc + x)
     pairs = materialize(both.filter(apart <= F.col("na") + F.col("nb") - 2 * overlap_needed(F.col("na"), F.col("nb"), num, den)).select("a", "b"), "ngram-pairs")
-    members = _clusters(hits)
+    members = _clusters(banded)
     sets = _sets(docs, pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).union(members.select("cid")).distinct(), n)
     sided = lambda c: sets.select(F.col("cid").alias(c), F.col("items").alias(f"i{c}"))
     common = F.size(F.array_intersect("ia", "ib"))

@@ -94,3 +94,18 @@ def test_shingle_sets_and_filter(spark):
     ids = spark.createDataFrame([(i * 7,) for i in range(1000)], "cid long")
     packed = id_filter(ids, 20)
     assert maybe_in(np.arange(0, 7000, 7), packed).all() and maybe_in(np.arange(10**6, 10**6 + 10**4), packed).mean() < 0.01
+
+
+def test_unlike_texts_of_hot_shingles_form_no_large_cluster(spark, monkeypatch):
+    """Each hot shingle is in a few texts of each of many sizes; together they reach all texts."""
+    monkeypatch.setattr(ngram_join, "LISTED", 4)
+    seen, deal = [], ngram_join._block_links
+    monkeypatch.setattr(ngram_join, "_block_links", lambda members, *rest: seen.append(members.groupBy("cluster").count().collect()) or deal(members, *rest))
+    r = random.Random(4)
+    docs = []
+    for i in range(160):
+        docs.append((i, " ".join(f"hot{k}" for k in r.sample(range(1500), int(20 * 1.25 ** (i // 10))))))
+    docs += [(1000 + i, docs[120][1] + f" end{i}") for i in range(12)]
+    assert rows(ngram_groups(spark.createDataFrame(docs, "doc_id long, text string"), n=1, num=80, den=100)) == brute(docs, 1, 80, 100)
+    sizes = [x["count"] for x in seen[0]]
+    assert 12 < max(sizes) < 60
