@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, functions as F
 
 #: Terms that speak for themselves, and terms that need another sign.
@@ -24,8 +28,13 @@ def corpus_origin(samples: DataFrame, key: str = "corpus", text: str = "text") -
     bytes count the two line ends between texts.
     """
     c = F.coalesce(F.col(text), F.lit(""))
-    count = lambda ps: sum((F.regexp_count(c, F.lit(p)) for p in ps), F.lit(0))
-    per = samples.select(key, F.octet_length(c).alias("b"), count(map(_term, SURE_TERMS)).alias("sure"), count(map(_term, AMBIGUOUS_TERMS)).alias("maybe"), count(f"(?i){p}" for p in TURN_MARKS).alias("turns"))
+    # a pattern is only looked for in texts that hold what every match of it holds
+    rows = samples.select(key, c.alias("_c"), F.lower(c).alias("_low"))
+    held = lambda words: reduce(and_, (F.contains("_low", F.lit(w.lower())) for w in words))
+    count = lambda ps: sum((F.when(held(words), F.regexp_count("_c", F.lit(p))).otherwise(0) for p, words in ps), F.lit(0))
+    terms = lambda ts: [(_term(t), [t]) for t in ts]
+    marks = [(f"(?i){p}", [re.search("[A-Za-z]{2,}", p.replace(r"\b", ""))[0], ">>>" if ">>>" in p else ":"]) for p in TURN_MARKS]
+    per = rows.select(key, F.octet_length("_c").alias("b"), count(terms(SURE_TERMS)).alias("sure"), count(terms(AMBIGUOUS_TERMS)).alias("maybe"), count(marks).alias("turns"))
     sums = per.groupBy(key).agg((F.sum("b") + 2 * (F.count("*") - 1)).alias("bytes"), F.sum("sure").alias("sure"), F.sum("maybe").alias("maybe"), F.sum("turns").alias("turns"))
     context = (F.col("sure") > 0) | (F.col("turns") > 0)
     hits = F.col("sure") + F.when(context, F.col("maybe")).otherwise(0)
