@@ -1,16 +1,3 @@
 """Broadcasting behind a count."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, functions as F
-
-#: Rows up to which a narrow table goes to every executor.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, counted: DataFrame | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has ``most`` rows at most, else as it is.
-
-    ``counted`` is the table to count, which should be written already.
-    """
-    return F.broadcast(df) if (df if counted is None else counted).count() <= most else df
+from tessera.runtime import BROADCAST_ROWS, small  # noqa: F401

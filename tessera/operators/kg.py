@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.text import canonical_time, end_key, entity_id, predicate_id, start_key
+from tessera.runtime import materialize, small
 
 
 def _id(name: str) -> str:
@@ -48,6 +49,9 @@ def facts(triples: DataFrame, entities: DataFrame, name: str, direction: str = "
 
 #: Days of the calendar that intervals are cut by, as a power of two, and the first of them; earlier and later ones share the first and last.
 LEVELS, DAY_ONE = 16, "1900-01-01"
+#: Facts of an entity up to which each time meets all of them.
+FEW = 64
+_FACT = ("id", "predicate", "other", "valid_from", "valid_to")
 
 
 def _day(time: Column) -> Column:
@@ -60,8 +64,8 @@ def as_of_many(triples: DataFrame, asked: DataFrame, direction: str = "outgoing"
     """Facts that hold for each of many (entity, at): the rows of ``asked`` with id, predicate, other, valid_from, valid_to.
 
     ``entity`` is an id and ``at`` a date or UTC time, as in ``valid_at``; a null
-    in either finds nothing, and repeated rows find their facts again.  An
-    interval goes to the nodes of a binary calendar that cover it, two a level at
+    in either finds nothing, and repeated rows find their facts again.  A time
+    meets all facts of an entity that has few.  For the others an interval goes to the nodes of a binary calendar that cover it, two a level at
     most, and a time to the nodes above its day, so a pair of them meets once and
     neither long intervals nor entities with many facts make all pairs.
     """
@@ -74,12 +78,18 @@ def as_of_many(triples: DataFrame, asked: DataFrame, direction: str = "outgoing"
     for k in range(LEVELS + 1):
         a, z = F.expr(f"shiftright(_a + {(1 << k) - 1}, {k})"), F.expr(f"shiftright(_z, {k})")
         nodes += [F.when((a < z) & (a % 2 == 1), a), F.when((a < z) & (z % 2 == 1), z - 1)]
-    cover = triples.select("id", F.col(own).alias("entity"), "predicate", F.col(other).alias("other"), "valid_from", "valid_to", first.alias("_a"), last.alias("_z"))
-    cover = cover.withColumn("_node", F.explode(F.filter(F.array(*nodes), lambda x: x.isNotNull()))).drop("_a", "_z")
+    facts = triples.select("id", F.col(own).alias("entity"), "predicate", F.col(other).alias("other"), "valid_from", "valid_to")
     time = F.regexp_replace("at", r"\+00:00$", "Z")
-    point = asked.withColumn("_key", start_key(time)).withColumn("_node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.call_function("shiftright", _day(F.col("at")) + top, k))))
-    met = point.join(cover, ["entity", "_node"]).filter((F.col("valid_from").isNull() | (start_key(F.col("valid_from")) <= F.col("_key"))) & (F.col("valid_to").isNull() | (end_key(F.col("valid_to")) >= F.col("_key"))))
-    return met.select(*asked.columns, "id", "predicate", "other", "valid_from", "valid_to")
+    times = asked.withColumn("_key", start_key(time)).filter(_day(F.col("at")).isNotNull())
+    many = materialize(facts.groupBy("entity").agg(F.count("*").alias("_k")).filter(F.col("_k") > FEW).select("entity"), "kg-many")
+    near = times.join(facts.join(small(many), "entity", "left_anti"), "entity").select(*asked.columns, "_key", *_FACT)
+    facts, times = (x.join(small(many), "entity", "left_semi") for x in (facts, times))
+    cover = facts.select("*", first.alias("_a"), last.alias("_z"))
+    cover = cover.withColumn("_node", F.explode(F.filter(F.array(*nodes), lambda x: x.isNotNull()))).drop("_a", "_z")
+    point = times.withColumn("_node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.call_function("shiftright", _day(F.col("at")) + top, k))))
+    met = point.join(cover, ["entity", "_node"]).select(*asked.columns, "_key", *_FACT)
+    holds = (F.col("valid_from").isNull() | (start_key(F.col("valid_from")) <= F.col("_key"))) & (F.col("valid_to").isNull() | (end_key(F.col("valid_to")) >= F.col("_key")))
+    return near.unionAll(met).filter(holds).select(*asked.columns, *_FACT)
 
 
 def relationship(triples: DataFrame, entities: DataFrame, subject: str, predicate: str) -> DataFrame:
