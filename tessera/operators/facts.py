@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.text import entity_id
 from tessera.operators.fuzzy import near_names
-from tessera.operators.mentions import mentions
+from tessera.operators.mentions import held
+from tessera.runtime import materialize, small
 
 #: The two forms of a claim.
 SUBJECT_FIRST = r"\b([A-Z][\w-]+)\s+is\s+([A-Z][\w-]+)'s\s+([a-z]{3,20})\b"
@@ -41,6 +42,8 @@ def similar_names(texts: DataFrame, names: DataFrame, ident: str = "i", text: st
 
     ``names`` is a registry of known names and ``ident`` tells texts apart.
     """
-    held = mentions(texts, names, ident, text).select(ident, "name").distinct()
-    near = held.join(near_names(names), "name")
-    return near.join(held.withColumnRenamed("name", "other"), [ident, "other"], "left_anti").select(ident, "name", "other", "distance")
+    names = materialize(names.select("name").distinct(), "registry")
+    near = materialize(near_names(names), "near-names")
+    every = held(texts, names, ident, text).groupBy(ident).agg(F.collect_set("name").alias("_held"))
+    each = every.select(ident, "_held", F.explode("_held").alias("name")).join(small(near), "name")
+    return each.filter(~F.array_contains("_held", F.col("other"))).select(ident, "name", "other", "distance")
