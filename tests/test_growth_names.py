@@ -1,8 +1,13 @@
-"""Names meet texts without anti joins, and contexts only where something can be."""
+"""Names meet texts without anti joins, near names without broadcast keys, and contexts only where something can be."""
+
+import itertools
+import re
 
 from tessera.operators import facts
 from tessera.operators.entities import BESIDE
+from tessera.operators.fuzzy import near_names
 from tessera.operators.mentions import contexts
+from tests.test_names import close
 
 
 def plan(df):
@@ -22,3 +27,20 @@ def test_contexts_beside_a_pattern_only(spark):
     every = {tuple(r) for r in contexts(texts, names).collect()}
     some = {tuple(r) for r in contexts(texts, names, beside=BESIDE).collect()}
     assert some < every and {r[0] for r in every - some} == {0}
+
+
+def test_near_names_broadcast_no_keys(spark, tmp_path):
+    spark.range(900).selectExpr("format_string('Customer#%09d', id) name").write.parquet(f"{tmp_path}/names")
+    found = near_names(spark.read.parquet(f"{tmp_path}/names"))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) > 900 * 200
+    final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    joins = re.findall(r"(\w+Join) \[(\w+)#", final)
+    assert ("SortMergeJoin", "key") in joins and {kind for kind, by in joins if by == "key"} == {"SortMergeJoin"}
+    assert not re.search(r"BroadcastHashJoin (?!\[n#)|BroadcastNestedLoopJoin", final)
+
+
+def test_near_names_meet_once_where_edits_can_be_told_in_many_ways(spark):
+    names = ["".join(p) for n in range(6) for p in itertools.product("ab", repeat=n)] + ["abé", "éab", "ABé", "z" * 23 + "ab", "z" * 22 + "ba", "z" * 24 + "ab", "z" * 24, "z" * 22 + "a"]
+    got = [tuple(r) for r in near_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == close(names)
