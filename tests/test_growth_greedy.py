@@ -15,3 +15,11 @@ def test_pairs_beyond_ten_thousand_are_looked_at(spark):
 def test_the_query_has_no_cut():
     assert "10000" not in graph_queries.ORACLE_SQL["dedup_greedy"]
     assert inspect.signature(dedup.greedy).parameters["most"].default is None
+
+
+def test_low_similarity_writes_no_index(spark, monkeypatch):
+    def index(*_):
+        raise AssertionError("the search index is written")
+
+    monkeypatch.setattr(graph_queries.M, "search_index", index)
+    assert graph_queries.dedup_greedy_low(spark, "/root/testdata/sf0.001").columns == ["source_file", "id"]
